@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cadenza.llm.decontamination import contaminated_spans
+from cadenza.llm.jaccard_join import jaccard_classes
+from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
 from cadenza.llm.token_counts import token_counts
 from cadenza.llm.token_records import token_records
@@ -20,6 +24,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_spans(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    n_hit = F.aggregate("hit", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_docs(spark, sf_dir), k=5, percent=80)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_docs(spark, sf_dir))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -30,7 +48,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op2_token_counts, op9_token_records, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op5_ngram_jaccard_join, op8_language_id, op9_token_records, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

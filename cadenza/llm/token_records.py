@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,8 +37,10 @@ from cadenza.llm.session import fresh_path, partitions
 
 MASK_DELTA = 0xA282EAD8
 #: Encoded words that a worker remembers at most; beyond it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 _FLUSH = 4 << 20
+#: Text that is cut into words at a time.
+_CHUNK = 2 << 20
 #: White space to Python's str.split() but not to the tokenizers library.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
 
@@ -70,8 +73,11 @@ def unframe(data: bytes | memoryview, offset: int = 0) -> tuple[memoryview, int]
 
 
 class WordEncoder(dict):
-    """White-space-delimited word -> bytes of its ids. Exact where tokens never
-    cross white space, which the constructor checks of the tokenizer."""
+    """White-space-delimited word -> bytes of its ids, where tokens never cross
+    white space; the constructor checks this of the tokenizer. Plain Latin
+    words are cut further, into the tokenizer's own pre-tokens, which repeat
+    more often; a batch's new ones are encoded in one call, whose ids fall
+    apart at the tokens that end a word."""
 
     def __init__(self, spec: str):
         super().__init__()
@@ -80,28 +86,67 @@ class WordEncoder(dict):
         self.dtype = width(spec)
         pre = config["pre_tokenizer"]
         steps = pre.get("pretokenizers", [pre])
-        split = steps[0]
+        split, suffix = steps[0], config["model"].get("end_of_word_suffix")
         self.by_word = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"]["Regex"] and not any(s.get("add_prefix_space") for s in steps)
+        self.by_piece = self.by_word and bool(suffix)
+        self.pieces: dict[str, bytes] = {}
+        if self.by_piece:
+            self.cut = regex.compile(split["pattern"]["Regex"]).findall
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            openers = "".join({regex.escape(t["content"][0]) for t in config["added_tokens"]})
+            # Latin letters whose lower case and composed form are undisputed.
+            self.plain = regex.compile(f"[^\u0250-\U0010ffff\u0130{openers}]+").fullmatch
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.ids(word)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or _ODD_SPACE(text):
-            return self.ids(text)
+    def learn(self, words: set[str]) -> None:
+        """Takes in new words, so that looking them up finds them."""
+        cuts = {}
+        for word in words:
+            if self.by_piece and self.plain(word):
+                cuts[word] = self.cut(word.lower())
+            else:
+                self[word] = self.ids(word)
+        fresh = list({p for c in cuts.values() for p in c} - self.pieces.keys())
+        for k in range(0, len(fresh), 5000):
+            part = fresh[k : k + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                self.pieces.update((p, x.tobytes()) for p, x in zip(part, np.split(ids, stops[:-1]), strict=True))
+            else:
+                self.pieces.update((p, self.ids(p)) for p in part)
+        for word, c in cuts.items():
+            self[word] = b"".join(map(self.pieces.__getitem__, c))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        cut = [None if not self.by_word or _ODD_SPACE(t) else t.split() for t in texts]
+        self.learn({w for words in cut if words for w in words} - self.keys())
+        return [self.ids(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, cut, strict=True)]
 
 
 def width(spec: str) -> str:
     return "<u2" if Tokenizer.from_str(spec).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def _encoded(encoder: WordEncoder, texts: list[str | None]) -> Iterator[bytes]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= _CHUNK:
+            yield from encoder.encode(held)
+            held, size = [], 0
+    yield from encoder.encode(held)
+
+
 _encoders: dict[int, WordEncoder] = {}
 
 
@@ -135,12 +180,13 @@ def write_token_records(docs: DataFrame, tokenizer_file: str, out: str | None =
         shard = temporary = stream = None
         pending, size = [], 0
         for batch in batches:
-            for shard_no, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shards, keys, texts = (c.to_pylist() for c in batch.columns)
+            for shard_no, doc_id, encoded in zip(shards, keys, _encoded(encoder, texts), strict=True):
                 if stream is None:
                     shard = f"{root}/shard-{shard_no:06d}"
                     temporary = f"{shard}.{uuid.uuid4().hex}.tmp"
                     stream = fs.open_output_stream(temporary)
-                payload = encoder.encode(text or "") + end
+                payload = encoded + end
                 record = frame(payload)
                 index.append((at, len(payload) // len(end)))
                 ids.append(doc_id)
