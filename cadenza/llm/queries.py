@@ -12,6 +12,7 @@ from cadenza.llm.decontamination import contaminated_spans
 from cadenza.llm.jaccard_join import jaccard_classes
 from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
+from cadenza.llm.substring_dedup import deduplicated
 from cadenza.llm.token_counts import token_counts
 from cadenza.llm.token_records import token_records
 
@@ -34,6 +35,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_docs(spark, sf_dir), k=5, percent=80)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicated(_docs(spark, sf_dir), run=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_docs(spark, sf_dir))
 
@@ -48,7 +54,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op5_ngram_jaccard_join, op8_language_id, op9_token_records, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op5_ngram_jaccard_join, op6_substring_dedup, op8_language_id, op9_token_records, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -110,3 +110,12 @@ def run_owner(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(lengths)), lengths)
     offset = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return first[:-1][text] + offset, text
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words start .. end-1 of each span, of any lengths."""
+    up, down = _power_tables(len(h) + 1)
+    sums = np.empty(len(h) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] ^ ((end - start).astype(np.uint64) * _MIX1))
