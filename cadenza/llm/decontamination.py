@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.llm.wordhash import Words, block, run_owner, runs
 
@@ -31,7 +32,6 @@ BLOCK_BYTES = 16 << 20
 #: Document text that is hashed at a time.
 CHUNK_BYTES = 4 << 20
 
-_CARRIED = "id {kind}, text binary, hit array<struct<start:int,end:int>>, items array<string>"
 
 
 def winnow(grams: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -172,11 +172,14 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     disjoint ascending (start, end) word spans. items: ids, as strings, of the
     items with an occurring window, sorted; items with equal ids are one, a
     null id is "". A null or wordless text (of either side) matches nothing.
-    Rows with equal or null ids each give a row; other columns are not read.
+    id_col may be of any type, as it is only handed on. Rows with equal or null ids each give a row; other columns are not read.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = _CARRIED.format(kind=kind)
+    spans_kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+    def schema(last: bool) -> T.StructType:
+        second = T.StructField("n_words", T.LongType()) if last else T.StructField("text", T.BinaryType())
+        return T.StructType([T.StructField("id", docs.schema[id_col].dataType), second, T.StructField("hit", spans_kind), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def against(sent, last: bool):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,5 +212,12 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(items, item_id_col, item_text_col)] or [None]
     for k, sent in enumerate(blocks):
         last = k == len(blocks) - 1
-        rows = rows.mapInArrow(against(sent, last), schema.replace("text binary", "n_words bigint") if last else schema)
+        rows = rows.mapInArrow(against(sent, last), schema(last))
     return rows.withColumnRenamed("id", id_col)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """docs, with all columns, without the rows in which an item's window occurs."""
+    text_col = options.pop("text_col", "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return contaminated_spans(rows, items, id_col="row", text_col="text", **options).filter(F.size("hit") == 0).select("row.*")

@@ -37,11 +37,11 @@ ANSWER = "batch int, fragment int, key binary, class binary"
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch, id, text): the text as bytes. The batch is a hash of the row, so
-    it holds the same rows whenever it is made again."""
+    """(batch, id, text, hash): the text as bytes, and its hash. The batch is a
+    hash of the row, so it holds the same rows whenever it is made again."""
     n = BATCHES * partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("batch"), "id", "text")
+    return rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("batch"), "id", "text", F.xxhash64("text").alias("hash"))
 
 
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:

@@ -68,8 +68,8 @@ def _least(n: np.ndarray | int, percent: int):
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, unshared, shared, prefix): n shingles; s1, s2 a
-    fingerprint of the set. The last three are null unless enough shingles are
+    """(id, hash, n, s1, s2, unshared, shared, prefix): the text's hash; n
+    shingles; s1, s2 a fingerprint of the set. The last three are null unless enough shingles are
     shared: the number of unshared ones, the shared ones ascending (packed
     64-bit), and the shared ones in the prefix."""
     rows = batched(docs, id_col, text_col)
@@ -97,11 +97,11 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
             length = int(n[i] - _least(n[i], percent) + 1 - (n[i] - common[i]))
             prefix[i] = v[np.lexsort((v, c))[:length]].view(np.int64).tolist()
         unshared = [int(x) if k else None for x, k in zip(n - common, kept, strict=True)]
-        columns = [table.column("id"), pa.array(n, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(unshared, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+        columns = [table.column("id"), table.column("hash"), pa.array(n, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(unshared, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
         return pa.table(dict(zip(kinds, columns, strict=True)))
 
-    kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "unshared": pa.int64(), "shared": pa.binary(), "prefix": pa.list_(pa.int64())}
-    schema = "id bigint, n bigint, s1 bigint, s2 bigint, unshared bigint, shared binary, prefix array<bigint>"
+    kinds = {"id": pa.int64(), "hash": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "unshared": pa.int64(), "shared": pa.binary(), "prefix": pa.list_(pa.int64())}
+    schema = "id bigint, hash bigint, n bigint, s1 bigint, s2 bigint, unshared bigint, shared binary, prefix array<bigint>"
     answers = classes(rows, "lower", extract)
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sets, schema)
 
@@ -156,18 +156,8 @@ def compared(members: DataFrame, probes: DataFrame, sets: DataFrame, percent: in
     return rows.groupBy("leader", "m", "p").applyInArrow(links, "a bigint, b bigint")
 
 
-def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row of docs.
-
-    Words are runs of bytes other than space and 0x09-0x0D, with A-Z
-    lower-cased. A text of fewer than k words, but not none, has its whole
-    sequence as one shingle; a null or wordless text has none, links with
-    nothing, and is its own component. component_id is the smallest id among
-    the rows that links reach. A row with a null id takes part, but names no
-    component: reached by itself alone, its component is null. Rows with equal
-    ids are separate rows, each with the component of its own set. Other
-    columns are not read. Ids are bigint.
-    """
+def row_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, n, component) for each row of docs: see `jaccard_classes`."""
     sets = written(shingle_sets(docs, k, percent, id_col, text_col), "shingle-sets")
     key = ["s1", "s2", "n"]
     classes_ = sets.filter("shared is not null and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
@@ -188,4 +178,32 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     part = components(links.union(rest))
 
     found = classes_.join(part, classes_.rep == part.node, "left").select(*key, F.coalesce("component", "rep").alias("found"))
-    return sets.select("id", *key).join(found, key, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("found", "id").alias("component_id"))
+    return sets.select("id", "hash", *key).join(found, key, "left").select("id", "hash", "n", F.coalesce("found", "id").alias("component"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row of docs.
+
+    Words are runs of bytes other than space and 0x09-0x0D, with A-Z
+    lower-cased. A text of fewer than k words, but not none, has its whole
+    sequence as one shingle; a null or wordless text has none, links with
+    nothing, and is its own component. component_id is the smallest id among
+    the rows that links reach. A row with a null id takes part, but names no
+    component: reached by itself alone, its component is null. Rows with equal
+    ids are separate rows, each with the component of its own set. Other
+    columns are not read. Ids are bigint.
+    """
+    found = row_classes(docs, k, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, but of each component only the row whose id names
+    it. Rows of a component without an id stay; equal rows become one."""
+    found = row_classes(docs, k, percent, id_col, text_col)
+    named = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "hash")).alias("r")).select("r.id", "r.hash")
+    # An unnamed component has null ids alone.
+    kept = named.union(found.filter("component is null").select("id", "hash").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string").cast("binary")).alias("hash"))
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.hash") == F.col("k.hash"))
+    return rows.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

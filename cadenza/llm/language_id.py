@@ -241,3 +241,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = train(rows.filter(~held_out("id")), "id", "text", "lang")
     found = identify(rows.select("id", "text"), model, "id", "text")
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def recognised(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs, with all columns, without the rows that have no language ("und")
+    or none with at least the share `least` of their letters."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    return identify(rows, model, "row", "text").filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select("row.*")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.decontamination import contaminated_spans
 from cadenza.llm.jaccard_join import jaccard_classes
 from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
+from cadenza.llm.pii import BASE, personal_data, written_spans
 from cadenza.llm.substring_dedup import deduplicated
 from cadenza.llm.token_counts import token_counts
 from cadenza.llm.token_records import token_records
@@ -31,6 +32,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_docs(spark, sf_dir))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(written_spans("base").cast("binary"), 256).alias("base_sha256"), written_spans("spans").alias("spans"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_docs(spark, sf_dir), k=5, percent=80)
 
@@ -54,7 +65,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op5_ngram_jaccard_join, op6_substring_dedup, op8_language_id, op9_token_records, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op8_language_id, op9_token_records, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
