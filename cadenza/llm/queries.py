@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.bm25 import top_k
 from cadenza.llm.decontamination import contaminated_spans
+from cadenza.llm.html_text import extracted
 from cadenza.llm.jaccard_join import jaccard_classes
 from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
@@ -22,6 +24,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -51,6 +57,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return top_k(docs, docs.filter(F.col("doc_id") % 100 == 0), k=10)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_docs(spark, sf_dir))
 
@@ -65,7 +76,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op8_language_id, op9_token_records, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
