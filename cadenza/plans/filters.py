@@ -62,16 +62,16 @@ def _comparison(name: str, op: str, literal: str, columns: dict[str, str], at: i
 
 
 def to_column(text: str, columns: dict[str, str] | None = None) -> Column:
-    """The filter as a Column; FilterError if it is malformed."""
-    sql = to_sql(text, columns)
-    try:
-        return F.expr(sql)
-    except ParseException as e:
-        raise FilterError(f"malformed: {text!r}") from e
+    """The filter as a Column. Its grammar is checked where it is first used."""
+    return F.expr(to_sql(text, columns))
 
 
 def filtered(tracks: DataFrame, text: str, columns: dict[str, str] | None = None) -> DataFrame:
-    return tracks.filter(to_column(text, columns))
+    """The tracks that the filter holds for; FilterError if it is malformed."""
+    try:
+        return tracks.filter(to_column(text, columns))
+    except ParseException as e:
+        raise FilterError(f"malformed: {text!r}") from e
 
 
 def filtered_or_error(tracks: DataFrame, text: str, columns: dict[str, str] | None = None) -> DataFrame:
