@@ -15,6 +15,7 @@ from cadenza.llm.jaccard_join import jaccard_classes
 from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
 from cadenza.llm.pii import BASE, personal_data, written_spans
+from cadenza.llm.sql import ORACLES
 from cadenza.llm.substring_dedup import deduplicated
 from cadenza.llm.token_counts import token_counts
 from cadenza.llm.token_records import token_records
@@ -80,4 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those that it can express. HTML rendering, tokenizers, span
+    discovery, a trained model and files have none; they are tested against
+    the libraries, brute force, held-out accuracy and round trips."""
+    return dict(ORACLES)
