@@ -30,7 +30,7 @@ GRAM = 5
 #: Item text in one broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Document text that is hashed at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 

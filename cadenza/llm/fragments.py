@@ -28,7 +28,7 @@ from cadenza.llm.session import partitions
 from cadenza.llm.wordhash import Words, block
 
 #: Text that is hashed at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Batches for each shuffle partition.
 BATCHES = 4
 #: A block of words -> (values, text of each), not yet distinct.

@@ -42,7 +42,8 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A script belongs to a language if it has this share of its letters.
 SCRIPT_SHARE = 0.01
-CHUNK_CHARS = 1 << 20
+#: Characters that are scored at a time, and labelled side by side.
+CHUNK_CHARS, GROUP_CHARS = 1 << 18, 1 << 22
 
 _tables: list[np.ndarray] = []
 
@@ -109,17 +110,17 @@ class Model:
             sums[:, k] = total[words.end] - total[words.start]
         return sums + self.allowed[words.script]
 
-    def label(self, words: Letters) -> np.ndarray:
-        """The language of each word, by Viterbi over each text; the texts of
-        the block go side by side, word by word."""
-        scores = self.word_scores(words)
-        n = np.diff(words.first)
+    def label(self, scores: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The language of each word, by Viterbi over each text; the texts go
+        side by side, word by word. begin: the first word of each text, and the
+        end. scores: of each word, for each language."""
+        n = np.diff(begin)
         order = np.argsort(-n, kind="stable")
         order = order[n[order] > 0]
         out = np.empty(len(scores), np.int64)
         if not len(order):
             return out
-        first, n = words.first[:-1][order], n[order]
+        first, n = begin[:-1][order], n[order]
         best = scores[first].copy()
         came = np.empty(scores.shape, np.int16)
         live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts longer than t words
@@ -142,6 +143,18 @@ class Model:
         return out
 
 
+def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about this many characters together."""
+    begin = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > most:
+            yield begin, i
+            begin, total = i, 0
+        total += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Model | None:
     """A model of the labelled rows of docs (null labels and texts are left
     out), or None if there are none. About `rows` of them, chosen by a hash of
@@ -157,11 +170,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for lang in set(langs):
-                words = Letters([t for t, k in zip(texts, langs, strict=True) if k == lang])
-                inside = words.letters > 0
-                grams = np.bincount(words.bucket[inside], minlength=BUCKETS) + np.bincount(words.bucket2[inside], minlength=BUCKETS)
-                counts[lang] = counts.get(lang, 0) + grams
-                scripts[lang] = scripts.get(lang, 0) + np.bincount(words.letters[inside], minlength=OTHER + 1)
+                mine = [t for t, k in zip(texts, langs, strict=True) if k == lang]
+                for i, j in _chunks(mine, CHUNK_CHARS):
+                    words = Letters(mine[i:j])
+                    inside = words.letters > 0
+                    grams = np.bincount(words.bucket[inside], minlength=BUCKETS) + np.bincount(words.bucket2[inside], minlength=BUCKETS)
+                    counts[lang] = counts.get(lang, 0) + grams
+                    scripts[lang] = scripts.get(lang, 0) + np.bincount(words.letters[inside], minlength=OTHER + 1)
         for lang in counts:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts[lang].astype("<i8").tobytes()], pa.binary()), pa.array([scripts[lang].astype("<i8").tobytes()], pa.binary())], names=["lang", "grams", "scripts"])
 
@@ -180,9 +195,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["grams"], "<i8") for r in got], 1).astype(np.float64), np.stack([np.frombuffer(r["scripts"], "<i8") for r in got]).astype(np.float64))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with columns lang_pred, score and spans in front of none of its
-    own: (all columns of docs, then `_lang_pred`, `_score`, `_spans`).
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """All columns of docs, then `_lang_pred`, `_score` and `_spans`.
 
     _lang_pred: the language with most letters by label; "und" if the text is
     null, has no letter, or there is no model. _score: its share of the letters
@@ -200,28 +214,24 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             langs, scores, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            begin = 0
-            while model and begin < len(texts):
-                stop, total = begin, 0
-                while stop < len(texts) and (stop == begin or total + len(texts[stop]) <= CHUNK_CHARS):
-                    total += len(texts[stop])
-                    stop += 1
-                words = Letters(texts[begin:stop])
-                labels = model.label(words)
-                text = np.repeat(np.arange(stop - begin), np.diff(words.first))
-                letters = np.bincount(text * len(model.langs) + labels, weights=words.end - words.start, minlength=(stop - begin) * len(model.langs)).reshape(-1, len(model.langs))
-                top, total_letters = letters.argmax(1), letters.sum(1)
+            for low, high in _chunks(texts, GROUP_CHARS) if model else ():
+                parts = []
+                for i, j in _chunks(texts[low:high], CHUNK_CHARS):
+                    words = Letters(texts[low + i : low + j])
+                    text = np.repeat(np.arange(i, j), np.diff(words.first))
+                    origin = words.begin[text - i]
+                    parts.append((model.word_scores(words), text, words.start - origin, words.end - origin))
+                word_scores, text, start, end = (np.concatenate(p) for p in zip(*parts, strict=True))
+                labels = model.label(word_scores, np.searchsorted(text, np.arange(high - low + 1)))
+                letters = np.bincount(text * len(model.langs) + labels, weights=end - start, minlength=(high - low) * len(model.langs)).reshape(-1, len(model.langs))
+                top, total = letters.argmax(1), letters.sum(1)
                 new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0)) if len(text) else np.empty(0, np.int64)
-                ends = words.end[np.append(new[1:], len(text)) - 1] if len(new) else new
-                for k, a, b in zip(text[new].tolist(), (words.start[new] - words.begin[text[new]]).tolist(), (ends - words.begin[text[new]]).tolist(), strict=True):
-                    spans[begin + k].append((a, b))
-                names = iter(labels[new].tolist())
-                for k in range(begin, stop):
-                    spans[k] = [{"start": a, "end": b, "lang": model.langs[next(names)]} for a, b in spans[k]]
-                for k in np.flatnonzero(total_letters).tolist():
-                    langs[begin + k] = model.langs[top[k]]
-                    scores[begin + k] = float(letters[k, top[k]] / total_letters[k])
-                begin = stop
+                last = np.append(new[1:], len(text))[: len(new)] - 1
+                for k, a, b, name in zip(text[new].tolist(), start[new].tolist(), end[last].tolist(), labels[new].tolist(), strict=True):
+                    spans[low + k].append({"start": a, "end": b, "lang": model.langs[name]})
+                for k in np.flatnonzero(total).tolist():
+                    langs[low + k] = model.langs[top[k]]
+                    scores[low + k] = float(letters[k, top[k]] / total[k])
             columns = [*batch.columns, pa.array(langs), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out_schema])
 
@@ -239,13 +249,14 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label is allowed; other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(rows.filter(~held_out("id")), "id", "text", "lang")
-    found = identify(rows.select("id", "text"), model, "id", "text")
+    found = identify(rows.select("id", "text"), model)
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def recognised(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs, with all columns, without the rows that have no language ("und")
     or none with at least the share `least` of their letters."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    return identify(rows, model, "row", "text").filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select("row.*")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    found = identify(docs.toDF(*plain), model, text_col=plain[docs.columns.index(text_col)])
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*plain).toDF(*docs.columns)

@@ -26,6 +26,9 @@ _ALNUM[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
+#: Bytes that are hashed at a time (a longer word apart).
+STRETCH = 1 << 19
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -69,13 +72,25 @@ class Words:
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _power_tables(n + 1)
-        sums = np.empty(n + 1, dtype=np.uint64)
+        """64-bit hashes of the words, a stretch of bounded length at a time."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + STRETCH, "right")))
+            out[i:j] = self._hashes(i, j)
+            i = j
+        return out
+
+    def _hashes(self, i: int, j: int) -> np.ndarray:
+        base = self.start[i]
+        start, end = self.start[i:j] - base, self.end[i:j] - base
+        data = self.data[base : self.end[j - 1]]
+        up, down = _power_tables(len(data) + 1)
+        sums = np.empty(len(data) + 1, dtype=np.uint64)
         sums[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) * _MIX2))
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * down[start]
+        return mix(h ^ ((end - start).astype(np.uint64) * _MIX2))
 
 
 def block(texts: list[bytes | None], kind: str = "nonspace") -> Words:
@@ -114,8 +129,18 @@ def run_owner(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the words start .. end-1 of each span, of any lengths."""
-    up, down = _power_tables(len(h) + 1)
-    sums = np.empty(len(h) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] ^ ((end - start).astype(np.uint64) * _MIX1))
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        # Spans come in ascending order of start, and of end.
+        j = max(i + 1, int(np.searchsorted(end, start[i] + STRETCH, "right")))
+        base = start[i]
+        words = h[base : end[j - 1]]
+        up, down = _power_tables(len(words) + 1)
+        sums = np.empty(len(words) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] ^ ((b - a).astype(np.uint64) * _MIX1))
+        i = j
+    return out
