@@ -1,12 +1,16 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions.
 
-Seeds are what fixed expressions find (BASE). The two words in front of a
-token that could be an identifier (it has a digit or an @) are its pattern.
-Patterns and tokens make a graph, on which a few rounds run:
+Seeds are what fixed expressions find (BASE), as a whole; of cards and phones
+their digits count. The words beside a token that could be an identifier (it has
+a digit or an @; digit groups with a space between also make one) are its
+patterns: two words and one word, before it and after it, other such tokens
+and the ends of the text standing as words. Patterns and tokens make a graph, on
+which rounds run until one finds nothing:
 
 - a pattern's confidence for a kind is the share of its distinct tokens that
   are known to be of this kind, if enough of them are;
-- a token is taken into a kind if its patterns, on average, are confident
+- a token is taken into a kind if its patterns of one sort (by side and number
+  of words), on average over those with enough tokens to tell, are confident
   enough and it has the kind's least shape; wherever it occurs it is known then.
 
 Only pairs of (pattern, token) are shuffled, distinct before and counted with
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.session import written
@@ -39,12 +43,19 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: The least that a discovered token of a kind looks like, without punctuation around it.
 SHAPE = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9a-fA-F]+([.:][0-9a-fA-F]+){3,}$", "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^([^0-9]*[0-9]){7,15}[^0-9]*$"}
-ROUNDS = 3
+#: What a digit group looks like that another can follow after a space, and one
+#: that can follow; a token of digit groups as a whole, which its digits stand for.
+GROUP = r"^\p{Punct}*+(?<![@/_])[0-9][0-9().-]*+(?<=[0-9)])$"
+LATER_GROUP = r"^\(?[0-9][0-9().-]*+\p{Punct}*+$"
+NUMBER = r"^[+(]*+[0-9][0-9 ().-]*+$"
+#: The most digits that groups have together.
+MOST_DIGITS = 19
 #: Distinct known tokens that a pattern needs, and its least confidence.
 SUPPORT = 3
 CONFIDENCE = 0.8
 _STEP = 256
 
+PIECE = "array<struct<start:int,end:int,value:string,left:string,right:string,free:boolean,leads:boolean,follows:boolean,digits:int>>"
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -106,73 +117,148 @@ def _holds(kind: str, value: Column) -> Column:
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, base, tokens) of each row, without the text: base spans with
-    kinds numbered as in BASE, and the identifier-like tokens outside them."""
+    kinds numbered as in BASE; and as tokens the base spans, the identifier-like
+    tokens outside them, and what digit groups with a space between make
+    together. first: no longer token starts there; last: its first group starts
+    the groups."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    none = F.array().cast(SPAN)
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
 
     def spans(k: int, kind: str) -> Column:
         hits = F.filter(located(F.col("text"), BASE[kind]), lambda s: _holds(kind, s["value"]))
-        numbered = F.transform(hits, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        numbered = F.transform(hits, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
         return F.when(F.col("text").rlike(HINT[kind]), numbered).otherwise(none)
 
-    found = [spans(k, kind) for k, kind in enumerate(BASE)]
-    rows = rows.withColumn("base", F.flatten(F.array(*found)))
+    rows = rows.withColumn("found", F.flatten(F.array(*(spans(k, kind) for k, kind in enumerate(BASE)))))
+    parts = F.transform(F.split("text", TOKEN, -1), lambda p: F.struct(_edge(p).alias("head"), F.reverse(_edge(F.reverse(p))).alias("tail"), (p == " ").alias("space")))
 
-    def token(base: Column, s: Column) -> Column:
-        lead = F.char_length(F.regexp_extract(s["value"], r"^[\p{Punct}&&[^+(@]]*", 0))
-        tail = F.char_length(F.regexp_extract(s["value"], r"[\p{Punct}&&[^)]]*$", 0))
-        start, end = s["start"] + lead, s["end"] - tail
-        inside = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def piece(base: Column, around: Column, s: Column, i: Column) -> Column:
+        def words(j: Column, side: str) -> Column:
+            return F.nullif(F.get(around, j)[side], F.lit(""))
+
+        left = F.when(i == 0, F.concat_ws(" ", F.lit("^ ^"), words(i, "tail"))).otherwise(F.concat_ws(" ", F.when(i == 1, "^").otherwise("#"), words(i - 1, "tail"), F.lit("#"), words(i, "tail")))
+        right = F.when(i == F.size(around) - 2, F.concat_ws(" ", words(i + 1, "head"), F.lit("$ $"))).otherwise(F.concat_ws(" ", words(i + 1, "head"), F.lit("#"), words(i + 2, "head"), F.when(i == F.size(around) - 3, "$").otherwise("#")))
+        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            F.substring(s["value"], lead + 1, end - start).alias("token"),
-            F.lower(F.regexp_replace(F.regexp_extract(F.right(s["before"], F.lit(100)), r"(?<!\S)(\S{1,40}+\s++\S{1,40}+)\s*+$", 1), r"\s+", " ")).alias("pattern"),
-            F.try_element_at(inside, F.lit(1))["kind"].alias("known"),
-            # A token that starts inside a base span is a later part of it.
-            F.exists(inside, lambda b: b["start"] < s["start"]).alias("part"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            s["value"].alias("value"),
+            F.substring_index(left, " ", -2).alias("left"),
+            F.substring_index(right, " ", 2).alias("right"),
+            free.alias("free"),
+            (free & s["value"].rlike(GROUP)).alias("leads"),
+            (free & F.get(around, i)["space"] & s["value"].rlike(LATER_GROUP)).alias("follows"),
+            F.char_length(F.regexp_replace(s["value"], "[^0-9]", "")).alias("digits"),
         )
 
-    all_tokens = let(F.col("base"), lambda base: F.transform(located(F.col("text"), TOKEN), lambda s: token(base, s)))
-    tokens = F.filter(all_tokens, lambda t: (t["pattern"] != "") & (t["end"] > t["start"]) & ~t["part"])
-    kept = F.when(F.col("text").rlike("[0-9@]"), tokens)
-    return rows.select("id", "hash", "base", kept.alias("tokens"))
+    pieces = let(F.struct(F.col("found").alias("base"), parts.alias("around")), lambda v: F.transform(located(F.col("text"), TOKEN), lambda s, i: piece(v["base"], v["around"], s, i)))
+    rows = rows.withColumn("pieces", F.when(F.col("text").rlike("[0-9@]"), pieces).otherwise(F.array().cast(PIECE)))
+
+    def seed(b: Column) -> Column:
+        inside = F.filter("pieces", lambda s: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        value = F.when(b["kind"] >= 2, F.regexp_replace(b["value"], "[^0-9]", "")).otherwise(b["value"])
+        return let(inside, lambda x: F.struct(b["start"].alias("start"), b["end"].alias("end"), value.alias("token"), F.get(x, F.lit(0))["left"].alias("left"), F.try_element_at(x, F.lit(-1))["right"].alias("right"), F.lit(True).alias("first"), F.lit(True).alias("last"), b["kind"].alias("known")))
+
+    def reading(group: Column, n: Column, longest: Column) -> Column:
+        a, z = F.get(group, F.lit(0)), F.get(group, n - 1)
+        value = F.array_join(F.transform(F.slice(group, F.lit(1), n), lambda s: s["value"]), " ")
+
+        def stripped(value: Column) -> Column:
+            lead = F.char_length(F.regexp_extract(value, r"^[\p{Punct}&&[^+(@]]*", 0))
+            tail = F.char_length(F.regexp_extract(value, r"[\p{Punct}&&[^)]]*$", 0))
+            bare = F.substring(value, lead + 1, F.char_length(value) - lead - tail)
+            token = let(bare, lambda t: F.when(t.rlike(NUMBER) & ~t.rlike(r"^[0-9]+(\.[0-9]+){3,}$"), F.regexp_replace(t, "[^0-9]", "")).otherwise(t))
+            return F.struct((a["start"] + lead).alias("start"), (z["end"] - tail).alias("end"), token.alias("token"), a["left"].alias("left"), z["right"].alias("right"), (n == longest).alias("first"), (~a["follows"]).alias("last"), F.lit(None).cast("int").alias("known"))
+
+        return let(value, stripped)
+
+    def reach(group: Column) -> Column:
+        """How many of the pieces, from the first, can be one token."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("digits"), F.lit(True).alias("on"))
+
+        def step(x: Column, s: Column) -> Column:
+            on = (x["n"] == 0) | (x["on"] & s["follows"] & (x["digits"] + s["digits"] <= MOST_DIGITS))
+            return F.struct((x["n"] + on.cast("int")).alias("n"), (x["digits"] + s["digits"]).alias("digits"), (on & s["leads"]).alias("on"))
+
+        return F.aggregate(group, start, step)["n"]
+
+    def readings(s: Column, i: Column) -> Column:
+        group = F.slice("pieces", i + 1, F.when(s["leads"], MOST_DIGITS).otherwise(1))
+        many = let(group, lambda g: let(reach(g), lambda n: F.transform(F.sequence(F.lit(1), n), lambda m: reading(g, m, n))))
+        return F.when(s["free"], many)
+
+    free = F.flatten(F.filter(F.transform("pieces", readings), lambda r: r.isNotNull()))
+    tokens = F.concat(F.transform("found", seed), F.filter(free, lambda t: t["end"] > t["start"]))
+    base = F.transform("found", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    return rows.select("id", "hash", base.alias("base"), tokens.alias("tokens"))
+
+
+def _edge(text: Column) -> Column:
+    """The first two words of a text, or what there is of them."""
+    return F.lower(F.regexp_replace(F.regexp_extract(text, r"^\s*+(\S++(?:\s++\S++)?+)", 1), r"\s+", " "))
+
+
+def _kinds(token: Column, kind: Column | None = None) -> Column:
+    """Whether a token has the least shape of this kind, or of any."""
+    out = F.lit(False)
+    for k, name in enumerate(BASE):
+        fits = token.rlike(SHAPE[name])
+        out |= fits if kind is None else (kind == k) & fits
+    return out
+
+
+def paired(tokens: DataFrame) -> DataFrame:
+    """Distinct (side, pattern, token, known, counts) of (token, known, left,
+    right, first, last): one pattern of two words and one of one word on each
+    side. counts: the token is the one that the pattern is about there."""
+    sides = [("l2", F.col("left"), "first"), ("l1", F.substring_index("left", " ", -1), "first"), ("r2", F.col("right"), "last"), ("r1", F.substring_index("right", " ", 1), "last")]
+    each = F.array(*(F.struct(F.lit(side).alias("side"), F.when(F.char_length(p) > 80, F.md5(p)).otherwise(p).alias("pattern"), F.col(main).alias("counts")) for side, p, main in sides))
+    flat = tokens.select("token", "known", F.explode(each).alias("e")).select("e.side", "e.pattern", "token", "known", "e.counts")
+    return flat.groupBy("side", "pattern", "token", "known").agg(F.max("counts").alias("counts"))
 
 
-def bootstrapped(pairs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(token, kind) of the tokens that were not known and are discovered.
-    pairs: distinct (pattern, token, known), known null if not of the base."""
+def bootstrapped(pairs: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(token, kind) of the tokens that are known or discovered; rounds: None
+    for as many as find something. pairs: as paired() returns them."""
     known = pairs.filter("known is not null").select("token", F.col("known").alias("kind")).distinct()
-    fits = F.lit(False)
-    for k, kind in enumerate(BASE):
-        fits |= (F.col("kind") == k) & F.col("token").rlike(SHAPE[kind])
-    edges = pairs.select("pattern", "token").distinct()
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    discovered = None
-    for r in range(rounds):
+    edges = pairs.groupBy("side", "pattern", "token").agg(F.max("counts").alias("counts"))
+    # A pattern of fewer tokens is never scored, and says nothing of its tokens.
+    sizes = edges.filter("counts").groupBy("side", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    edges = written(edges.filter(_kinds(F.col("token"))).join(sizes, ["side", "pattern"]), "pii-edges")
+    # Over all patterns of a token on a side: those that know nothing count as 0.
+    degree = edges.groupBy("token", "side").agg(F.count("*").alias("degree"))
+    discovered, before, r = None, 0, 0
+    while rounds is None or r < rounds:
         every = known if discovered is None else known.union(discovered).distinct()
-        scored = edges.join(every, "token").groupBy("pattern", "kind").agg(F.count("*").alias("hits")).filter(F.col("hits") >= support)
-        scored = scored.join(sizes, "pattern").select("pattern", "kind", (F.col("hits") / F.col("n")).alias("confidence"))
-        # Over all patterns of a token: those that know nothing count as 0.
-        degree = edges.groupBy("token").agg(F.count("*").alias("degree"))
-        instances = edges.join(scored, "pattern").groupBy("token", "kind").agg(F.sum("confidence").alias("sum")).join(degree, "token").filter(F.col("sum") / F.col("degree") >= confidence)
-        now = instances.filter(fits).select("token", "kind").join(known.select("token").distinct(), "token", "left_anti")
+        scored = edges.filter("counts").join(every, "token").groupBy("side", "pattern", "kind").agg(F.count("*").alias("hits"), F.first("n").alias("n")).filter(F.col("hits") >= support)
+        scored = scored.select("side", "pattern", "kind", (F.col("hits") / F.col("n")).alias("confidence"))
+        instances = edges.join(scored, ["side", "pattern"]).groupBy("token", "side", "kind").agg(F.sum("confidence").alias("sum")).join(degree, ["token", "side"]).filter(F.col("sum") / F.col("degree") >= confidence)
+        now = instances.filter(_kinds(F.col("token"), F.col("kind"))).select("token", "kind").distinct().join(known.select("token").distinct(), "token", "left_anti")
         discovered = written(now if discovered is None else discovered.union(now).distinct(), f"pii-round-{r}")
-    return discovered.groupBy("token").agg(F.min("kind").alias("kind"))
+        r, after = r + 1, discovered.count()
+        if after == before:
+            break
+        before = after
+    every = known if discovered is None else known.union(discovered)
+    return every.groupBy("token").agg(F.min("kind").alias("kind"))
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base, spans) for each row of docs: arrays of (kind, start, end)
     by kind, numbered as in BASE, then start; code points, end exclusive. spans
-    holds base and what the patterns discover outside of base spans. A null
-    text is empty. Rows with equal ids and texts have equal results; ids may be
-    null. Other columns are not read.
+    holds base and what the patterns discover outside of base spans, of spans of
+    a kind that lie in each other the longest. A null text is empty. Rows with
+    equal ids and texts have equal results; ids may be null. Other columns are
+    not read.
     """
     found = written(scanned(docs, id_col, text_col), "pii-scan")
     each = found.filter(F.size("tokens") > 0).select("id", "hash", F.explode("tokens").alias("t")).select("id", "hash", "t.*")
-    pairs = written(each.groupBy("pattern", "token", "known").agg(F.count("*").alias("n")).drop("n"), "pii-pairs")
+    pairs = written(paired(each), "pii-pairs")
     new = bootstrapped(pairs, rounds, support, confidence)
-    added = each.filter("known is null").join(new, "token").groupBy("id", "hash").agg(F.collect_set(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end")).alias("added"))
+    added = each.filter("known is null").join(new, "token").select("id", "hash", F.col("kind").cast("int").alias("kind"), "start", "end").distinct()
+    earlier = Window.partitionBy("id", "hash", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reached", F.max("end").over(earlier)).filter("reached is null or end > reached")
+    added = added.groupBy("id", "hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     same = F.col("f.id").eqNullSafe(F.col("a.id")) & F.col("f.hash").eqNullSafe(F.col("a.hash"))
     joined = found.alias("f").join(added.alias("a"), same, "left")
     return joined.select(F.col("f.id").alias(id_col), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))).alias("spans"))

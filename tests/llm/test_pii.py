@@ -60,3 +60,19 @@ def test_patterns_discover(spark):
 def test_kinds_are_those_of_the_contract():
     assert list(BASE) == list(KINDS)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def found(spark, texts):
+    rows = list(enumerate(texts))
+    got = personal_data(table(spark, rows)).select("doc_id", written_spans("spans").alias("s")).collect()
+    return {r.doc_id: r.s for r in got}
+
+
+def test_spaced_phones_and_cards_are_discovered(spark):
+    rng = random.Random(5)
+    texts = [f"you can call me on +1 (743) 555-{3000 + i} any day" for i in range(20)]
+    texts += [f"she paid with card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} at noon" for c in (card(rng) for _ in range(20))]
+    texts += ["you can call me on (744) 555-3824 any day", "she paid with card 4111 1111 1111 1112 at noon", "we had 12 34 of them"]
+    got = found(spark, texts)
+    assert got[40] == "phone:19:33" and got[41] == "card:19:38" and got[42] == ""
+    assert got[0] == "phone:19:36"
