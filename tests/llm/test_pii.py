@@ -76,3 +76,23 @@ def test_spaced_phones_and_cards_are_discovered(spark):
     got = found(spark, texts)
     assert got[40] == "phone:19:33" and got[41] == "card:19:38" and got[42] == ""
     assert got[0] == "phone:19:36"
+
+
+def test_context_is_the_text_itself(spark):
+    # Another identifier, the start of the text, long words and padding are context.
+    texts = [f"mail a{i}@b.cc phone +1555{i:07d}" for i in range(20)] + ["mail a@b.cc phone 5551234567"]
+    texts += [f"fax +1666{i:07d} {w}" for i, w in enumerate("a b c d e f g h i j k l m n o p q r s t".split())] + ["fax 6661234567 z"]
+    texts += [f"{'x' * 60} {'y' * 60}{' ' * 200}+1777{i:07d}" for i in range(20)] + [f"{'x' * 60} {'y' * 60} 7771234567"]
+    texts += [f"w{i * 'v'} u{i * 'v'} +1888{i:07d} is my number" for i in range(20)] + ["an other 8881234567 is my number"]
+    got = found(spark, texts)
+    assert got[20] == "email:5:11,phone:18:28"
+    assert got[41] == "phone:4:14" and got[62] == "phone:122:132" and got[83] == "phone:9:19"
+
+
+def test_rounds_go_on_while_something_is_found(spark):
+    # Each group of tokens is found by those of the group before, four times as many, on the other side.
+    texts = [f"la la +1999{i:07d} {'x' * i}" for i in range(256)]
+    for left, right, n in (("la", "rb", 64), ("lc", "rb", 16), ("lc", "rd", 4), ("le", "rd", 1)):
+        texts += [f"{left} {left} 555{n:02d}{i:05d} {right} {right}" for i in range(n)]
+    got = found(spark, texts)
+    assert all(got[i] == "phone:6:16" for i in range(256, len(texts)))
