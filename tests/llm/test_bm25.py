@@ -56,3 +56,13 @@ def test_small_tables(spark):
     assert result(spark, [], 3) == []
     assert result(spark, [(100, None), (200, " ")], 3) == []
     assert [r[:3] for r in result(spark, [(100, "a b"), (200, "c"), (3, "b")], 3)] == [(100, 1, 100), (100, 2, 3), (200, 1, 200)]
+
+
+def test_scores_that_round_alike_are_ties(spark):
+    rows = [(100 - i, "zz " + "w " * (9000 + i)) for i in range(30)] + [(1000 + i, "w " * 9000) for i in range(60)]
+    for k in (1, 2, 5):
+        want = brute(rows, [(7, "zz")], k)
+        got = sorted(map(tuple, top_k(table(spark, rows), table(spark, [(7, "zz")]), k).collect()), key=str)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+    rows = docs()
+    assert [r[:3] for r in result(spark, rows, 10)] == [r[:3] for r in brute(rows, [r for r in rows if r[0] is not None and r[0] % 100 == 0], 10)]
