@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,13 +36,17 @@ from tokenizers import Tokenizer
 from cadenza.llm.session import fresh_path, partitions
 
 MASK_DELTA = 0xA282EAD8
-#: Encoded words that a worker remembers at most; beyond it starts afresh.
-REMEMBERED = 500_000
+#: Bytes of encoded words that a worker remembers at most; beyond it starts
+#: afresh. What one of them takes beside its text and ids.
+REMEMBERED_BYTES, ENTRY = 192 << 20, 160
 _FLUSH = 4 << 20
 #: Text that is cut into words at a time.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 #: White space to Python's str.split() but not to the tokenizers library.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
+#: All but Latin text and common punctuation: where case, composition or what is
+#: a letter or white space could be disputed.
+NOT_PLAIN = "\x1c-\x1f\u0130\u0180-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff"
 
 
 def masked_crc(data: bytes) -> int:
@@ -72,15 +76,14 @@ def unframe(data: bytes | memoryview, offset: int = 0) -> tuple[memoryview, int]
     return payload, offset + 16 + n
 
 
-class WordEncoder(dict):
-    """White-space-delimited word -> bytes of its ids, where tokens never cross
-    white space; the constructor checks this of the tokenizer. Plain Latin
-    words are cut further, into the tokenizer's own pre-tokens, which repeat
-    more often; a batch's new ones are encoded in one call, whose ids fall
-    apart at the tokens that end a word."""
+class WordEncoder:
+    """Texts -> ids, where tokens never cross white space; the constructor
+    checks this of the tokenizer. Plain Latin text is lower-cased and cut into
+    the tokenizer's own pre-tokens, whose ids are remembered; a batch's new ones
+    are encoded in one call, whose ids fall apart at the tokens that end a word.
+    Other text is cut at white space, and its words are remembered."""
 
     def __init__(self, spec: str):
-        super().__init__()
         config = json.loads(spec)
         self.tokenizer = Tokenizer.from_str(spec)
         self.dtype = width(spec)
@@ -89,47 +92,72 @@ class WordEncoder(dict):
         split, suffix = steps[0], config["model"].get("end_of_word_suffix")
         self.by_word = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"]["Regex"] and not any(s.get("add_prefix_space") for s in steps)
         self.by_piece = self.by_word and bool(suffix)
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         if self.by_piece:
-            self.cut = regex.compile(split["pattern"]["Regex"]).findall
             vocab = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-            openers = "".join({regex.escape(t["content"][0]) for t in config["added_tokens"]})
-            # Latin letters whose lower case and composed form are undisputed.
-            self.plain = regex.compile(f"[^\u0250-\U0010ffff\u0130{openers}]+").fullmatch
+            openers = "".join({re.escape(t["content"][0]) for t in config["added_tokens"]})
+            self.plain = re.compile(f"[^{NOT_PLAIN}{openers}]*").fullmatch
+            self.cut = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", _members("L")).replace(r"\p{N}", _members("N"))).findall
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Takes in new words, so that looking them up finds them."""
-        cuts = {}
-        for word in words:
-            if self.by_piece and self.plain(word):
-                cuts[word] = self.cut(word.lower())
-            else:
-                self[word] = self.ids(word)
-        fresh = list({p for c in cuts.values() for p in c} - self.pieces.keys())
+    def learn(self, known: dict[str, bytes], new: set[str], together: bool) -> None:
+        """Takes in new words or pieces, so that looking them up finds them."""
+        fresh = list(new)
         for k in range(0, len(fresh), 5000):
             part = fresh[k : k + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                self.pieces.update((p, x.tobytes()) for p, x in zip(part, np.split(ids, stops[:-1]), strict=True))
-            else:
-                self.pieces.update((p, self.ids(p)) for p in part)
-        for word, c in cuts.items():
-            self[word] = b"".join(map(self.pieces.__getitem__, c))
+            found = None
+            if together:
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) == len(part) and stops[-1] == len(ids):
+                    data, step = ids.tobytes(), ids.itemsize
+                    found = [data[a * step : b * step] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            found = found or [self.ids(p) for p in part]
+            known.update(zip(part, found, strict=True))
+            self.held += sum(map(len, part)) + sum(map(len, found)) + ENTRY * len(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        cut = [None if not self.by_word or _ODD_SPACE(t) else t.split() for t in texts]
-        self.learn({w for words in cut if words for w in words} - self.keys())
-        return [self.ids(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, cut, strict=True)]
+        """Ids of some texts, of about _CHUNK characters together."""
+        if self.held > REMEMBERED_BYTES:
+            self.words, self.pieces, self.held = {}, {}, 0
+        out: list[bytes] = []
+        cut: list[tuple[dict, list[str]] | None] = []
+        for t in texts:
+            if self.by_piece and self.plain(t):
+                cut.append((self.pieces, self.cut(t.lower())))
+            elif self.by_word and not _ODD_SPACE(t):
+                cut.append((self.words, t.split()))
+            else:
+                cut.append(None)
+        for known, together in ((self.pieces, True), (self.words, False)):
+            if new := set().union(*(c[1] for c in cut if c and c[0] is known)) - known.keys():
+                self.learn(known, new, together)
+        for t, c in zip(texts, cut, strict=True):
+            out.append(self.ids(t) if c is None else b"".join(map(c[0].__getitem__, c[1])))
+        return out
+
+
+def _members(category: str) -> str:
+    """The plain code points of a category, as the inside of a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == category)
+
+
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts of about _CHUNK characters, cut at spaces."""
+    begin = 0
+    while len(text) - begin > _CHUNK:
+        end = text.find(" ", begin + _CHUNK)
+        if end < 0:
+            break
+        yield text[begin:end]
+        begin = end
+    yield text[begin:] if begin else text
 
 
 def width(spec: str) -> str:
@@ -137,10 +165,17 @@ def width(spec: str) -> str:
 
 
 def _encoded(encoder: WordEncoder, texts: list[str | None]) -> Iterator[bytes]:
+    """Ids of each text; about _CHUNK characters are cut up at a time."""
     held, size = [], 0
     for t in texts:
-        held.append(t or "")
-        size += len(held[-1])
+        t = t or ""
+        if len(t) > 2 * _CHUNK:
+            yield from encoder.encode(held)
+            held, size = [], 0
+            yield b"".join(encoder.encode([part])[0] for part in (stretches(t) if encoder.by_word else [t]))
+            continue
+        held.append(t)
+        size += len(t)
         if size >= _CHUNK:
             yield from encoder.encode(held)
             held, size = [], 0
@@ -215,7 +250,8 @@ def write_token_records(docs: DataFrame, tokenizer_file: str, out: str | None =
         yield pa.RecordBatch.from_arrays([pa.array([shard_no], pa.int32()), pa.array([len(table)], pa.int64()), pa.array([int(table[:, 1].sum())], pa.int64())], names=["shard", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text").select(F.spark_partition_id().alias("shard"), "id", "text")
+    # The beginning of the text deals out rows of one id, in the order of texts.
+    dealt = rows.repartitionByRange(partitions(spark), "id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text").select(F.spark_partition_id().alias("shard"), "id", "text")
     shards = dealt.mapInArrow(write, "shard int, n_docs bigint, n_ids bigint").collect()
     return out, spark.createDataFrame(sorted(shards), "shard int, n_docs bigint, n_ids bigint")
 
