@@ -110,7 +110,7 @@ class Spans:
         self.b = np.append(self.a[1:], len(self.start))[: len(self.a)]
         self.first = self.start[self.a]
         self.end = self.start[self.b - 1] + run if len(self.a) else self.first
-        self.key = span_hashes(self.h, self.first, self.end)
+        self.key = span_hashes(runs(self.h, gram), self.first, self.end - gram + 1)
 
 
 def anchors_of(h: np.ndarray, start: np.ndarray, run: int, gram: int) -> np.ndarray:

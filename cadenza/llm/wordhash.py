@@ -4,10 +4,16 @@ A *block* is the texts of one Arrow batch laid end to end. Every function here
 works on whole blocks, so the cost per word is a few vector operations and no
 Python loop runs per word. Hashes are 64 bits wide; the same words give the
 same hash in every task.
+
+A word's hash is multilinear: each byte's value times the multiplier of its
+place in the word. Multipliers have no relation to each other (the powers of a
+base modulo 2**64 would make long patterns of two letters collide).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -26,8 +32,10 @@ _ALNUM[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-#: Bytes that are hashed at a time (a longer word apart).
-STRETCH = 1 << 19
+#: Bytes that are hashed at a time.
+STRETCH = 1 << 16
+#: Words of more bytes have another hash.
+LONG = 1 << 16
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -56,6 +64,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: The value of each byte in a hash.
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _RUN_BASE)
+
+
+def _multipliers() -> np.ndarray:
+    if "m" not in _powers:
+        _powers["m"] = mix(np.arange(1, LONG + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    return _powers["m"]
+
+
 class Words:
     """The words of a block: `hash`, byte `start` and `end` in `data`, and
     `first`, an offset for each text (and one past the last) into those."""
@@ -74,23 +92,27 @@ class Words:
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the words, a stretch of bounded length at a time."""
         out = np.empty(len(self.start), dtype=np.uint64)
-        i = 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + STRETCH, "right")))
-            out[i:j] = self._hashes(i, j)
+        size = self.end - self.start
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[self.start[k] : self.end[k]], digest_size=8).digest(), "little")
+        short = np.flatnonzero(size <= LONG)
+        start, size = self.start[short], size[short]
+        ends, i = start + size, 0
+        while i < len(short):
+            j = max(i + 1, int(np.searchsorted(ends, start[i] + STRETCH, "right")))
+            out[short[i:j]] = self._hashes(start[i:j], size[i:j])
             i = j
         return out
 
-    def _hashes(self, i: int, j: int) -> np.ndarray:
-        base = self.start[i]
-        start, end = self.start[i:j] - base, self.end[i:j] - base
-        data = self.data[base : self.end[j - 1]]
-        up, down = _power_tables(len(data) + 1)
-        sums = np.empty(len(data) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start]
-        return mix(h ^ ((end - start).astype(np.uint64) * _MIX2))
+    def _hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        size = size.astype(np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        at = np.arange(begin[-1] + size[-1], dtype=np.int32)
+        place = at - np.repeat(begin, size)
+        data = self.data[start[0] : start[-1] + size[-1]]
+        values = _VALUES[data[np.repeat((start - start[0]).astype(np.int32) - begin, size) + at]]
+        values *= _multipliers()[place]
+        return mix(np.add.reduceat(values, begin) ^ (size.astype(np.uint64) * _MIX2))
 
 
 def block(texts: list[bytes | None], kind: str = "nonspace") -> Words:
@@ -128,7 +150,9 @@ def run_owner(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words start .. end-1 of each span, of any lengths."""
+    """Hash of the elements start .. end-1 of each span, of any lengths. h:
+    hashes of runs of several words, so that no long pattern of two elements
+    makes hashes of different spans equal."""
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 
 from cadenza.llm import decontamination
 from cadenza.llm.decontamination import contaminated_spans
+from cadenza.llm.wordhash import block
 from tests.llm.common import prose, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,3 +68,31 @@ def test_empty_tables(spark):
     docs, items = cases()
     assert result(spark, [], items) == []
     assert result(spark, docs, []) == brute(docs, [])
+
+
+def test_many_blocks_and_pieces_of_items(spark, monkeypatch):
+    docs, items = cases()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 12)
+    items = [(i, t) for i, t in items if i != 34] + [(50, "q " * 11), (50, "q " * 25 + "r")]
+    docs = docs + [(300, "q " * 40), (301, "q " * 9 + "r")]
+    assert result(spark, docs, items) == brute(docs, items)
+
+
+def test_repeated_words_take_little_memory():
+    index = decontamination.ItemIndex(["x", "y", "z"], [b"a " * 1000, b"a " * 1000, b"a a"], 10, 5)
+    tracemalloc.start()
+    hit, items = index.hits(block([b"a " * 32_768], "alnum"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.all() and len(hit) == 32_768 and items == [(0, "x"), (0, "y"), (0, "z")]
+    assert peak < 20 << 20
+
+
+def test_patterns_of_two_letters_do_not_collide():
+    a = "ab"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    for kind in ("alnum", "nonspace"):
+        assert len(set(block([a.encode(), b.encode(), a.encode() * 20, b.encode() * 20], kind).hashes().tolist())) == 4
