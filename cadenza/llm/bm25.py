@@ -1,65 +1,84 @@
-"""Exact BM25 top-k by block-max pruning over sharded inverted indexes.
+"""Exact BM25 top-k by block-max WAND over sharded inverted indexes.
 
 Documents are dealt into shards by a hash of the row; each shard's inverted
 index (postings by term; documents in blocks of BLOCK neighbours) is one row of
-a table in the shared folder. Queries come in blocks of bounded size, each
-broadcast; for each the terms' document frequencies are summed over all shards
-first, so every shard scores with the global statistics, and its k best, with
-those of the other shards, hold the k best of all.
-
-In a shard, a query's bound for a block of documents is the sum of its terms'
-greatest contributions there. Blocks are scored in descending order of bounds,
-and those whose bound stays below the k-th best score so far are never scored.
+a table in the shared folder. Queries are packed into blocks of bounded size,
+with the inverse document frequencies of their terms over all shards, so every
+shard scores with the global statistics. A block of queries is a file in the
+shared folder, which the tasks that hold a shard read: neither queries nor
+results pass the driver.
+
+In a shard, pruning goes by upper bounds, as in WAND, for all documents at once.
+A query's terms are sorted by their greatest contributions to a score; those
+that together stay below the floor can't lift a document above it alone, so only
+documents with another term are looked at. Of these the blocks' own greatest
+contributions say which can still reach the floor, and only in the blocks that
+hold such documents are the postings of the weak terms read.
+
+Shards are searched in rounds, for each block of queries first 1 shard, then 3,
+12, 48 and so on, another shard for each block to begin with. After a round the
+k best so far of a query give it a floor, a (score, id) that the k-th best of
+all can't be behind. Shards send only what is before the floor: about 3 k rows
+a round, so the rows of a query grow with the logarithm of the shards, not with
+the shards.
+
 Inside a shard documents are ordered by their most frequent word, which brings
-texts of one language together and makes bounds tight.
+texts of one language together and makes bounds tight. Terms are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.fragments import chunks
-from cadenza.llm.session import partitions, written
+from cadenza.llm.fragments import chunks, narrow, split_value
+from cadenza.llm.session import fresh_path, partitions, written
 from cadenza.llm.wordhash import block
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: Query text in one broadcast block.
-QUERY_BYTES = 16 << 20
-#: Blocks that are scored to set the threshold, and at a time after.
-STEP = 4
+#: Query text in a block, of which each query counts as some bytes at least;
+#: and the least number of blocks, which are searched side by side.
+QUERY_BYTES, QUERY_LEAST, QUERY_BLOCKS = 16 << 20, 1 << 12, 32
+#: Each round searches so many times the shards of all rounds before.
+GROWTH = 3
 #: Scores round to the same 4 decimals only within one step of them; and float error.
 _SLACK = 1e-4 + 1e-6
-_CHUNK = 1 << 16
+#: The place of a null id: before all others.
+_FIRST = -(1 << 63)
+HIT = "block int, q int, query_id bigint, doc bigint, score double"
 
 
 def term_counts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count) of distinct terms, by text then term; text lengths."""
-    parts, lengths = [], []
+    parts = [(np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64))]
     for i, j in chunks(texts):
         words = block(texts[i:j], "alnum")
         n = np.diff(words.first)
-        text = np.repeat(np.arange(i, j), n)
+        text = np.repeat(np.arange(i, j, dtype=np.int32), n)
         h = words.hashes()
         order = np.lexsort((h, text))
         h, text = h[order], text[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         at = np.flatnonzero(new)
-        parts.append((text[at], h[at], np.diff(np.append(at, len(h)))))
-        lengths.append(n)
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return *(np.concatenate(c) for c in zip(*parts, strict=True)), np.concatenate(lengths)
+        parts.append((text[at], h[at], np.diff(np.append(at, len(h))).astype(np.int32), n))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _wide(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1")
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per shard: (n_docs, n_words, and packed: ids, lengths, terms,
+    """One row per shard: (shard, n_docs, n_words, and packed: ids, lengths, terms,
     starts, docs, counts). Rows without words are left out: nothing finds them,
     but n_docs counts them."""
     n = partitions(docs.sparkSession)
@@ -67,86 +86,182 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
-        ids = table.column("id").fill_null(-(1 << 63)).to_numpy()
+        ids = table.column("id").fill_null(_FIRST).to_numpy()
         text, term, count, lengths = term_counts(table.column("text").to_pylist())
-        # Neighbours: texts with the same most frequent word, then by length.
+        # Neighbours: texts with the same most frequent word (by some bits of its
+        # hash, below those of the count), then by length.
         top = np.zeros(len(ids), np.uint64)
-        order = np.lexsort((term, count, text))
-        last = np.flatnonzero(np.diff(text[order], append=-1))
-        top[text[order][last]] = term[order][last]
-        place = np.empty(len(ids), np.int64)
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        if len(first):
+            rank = (count.astype(np.uint64) << np.uint64(32)) | (term >> np.uint64(32))
+            top[text[first]] = np.maximum.reduceat(rank, first) & np.uint64((1 << 32) - 1)
+        place = np.empty(len(ids), np.int32)
         seat = np.lexsort((ids, lengths, top))
         place[seat] = np.arange(len(ids))
         order = np.lexsort((place[text], term))
         terms, starts = np.unique(term[order], return_index=True)
-        cells = (ids[seat].astype("<i8"), lengths[seat].astype("<u4"), terms.astype("<u8"), np.append(starts, len(term)).astype("<u4"), place[text][order].astype("<u4"), count[order].astype("<u4"))
-        out = {"n_docs": pa.array([len(ids)], pa.int64()), "n_words": pa.array([int(lengths.sum())], pa.int64())}
+        cells = (ids[seat].astype("<i8"), lengths[seat].astype("<u4"), terms.astype("<u8"), np.append(starts, len(term)).astype("<u4"), narrow(place[text][order]), narrow(count[order]))
+        out = {"shard": table.column("shard").slice(0, 1), "n_docs": pa.array([len(ids)], pa.int64()), "n_words": pa.array([int(lengths.sum())], pa.int64())}
+        pa.default_memory_pool().release_unused()
         return pa.table(out | {name: pa.array([c.tobytes()], pa.binary()) for name, c in zip(("ids", "lengths", "terms", "starts", "docs", "counts"), cells, strict=True)})
 
-    return rows.groupBy("shard").applyInArrow(build, "n_docs bigint, n_words bigint, ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary")
+    return rows.groupBy("shard").applyInArrow(build, "shard int, n_docs bigint, n_words bigint, ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary")
 
 
 class Shard:
-    """An index row, ready to be searched."""
+    """An index row, ready to be searched. It reads the row's buffers where they
+    are, and holds a weight for each posting beside them."""
 
-    def __init__(self, row: dict, mean: float):
+    def __init__(self, row: dict[str, pa.Buffer], mean: float):
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<u4")
         self.terms, self.starts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        self.docs = np.frombuffer(row["docs"], "<u4").astype(np.int64)
-        tf = np.frombuffer(row["counts"], "<u4").astype(np.float64)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / mean))
+        n = int(self.starts[-1])
+        self.docs = _wide(row["docs"], n)
+        self.weight = _wide(row["counts"], n).astype(np.float64)
+        slack = (K1 * (1 - B + B * lengths / mean))[self.docs]
+        slack += self.weight
+        self.weight *= K1 + 1
+        self.weight /= slack
+        del slack
         # The greatest weight of each term in each block that has it.
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
         cell = self.docs // BLOCK
-        new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0)) if len(term) else np.empty(0, np.int64)
-        self.cell, self.cell_at = cell[new], np.append(new, len(term))
-        self.cell_max = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        edge = np.ones(n, dtype=bool)
+        np.not_equal(cell[1:], cell[:-1], out=edge[1:])
+        edge[self.starts[:-1]] = True
+        new = np.flatnonzero(edge)
+        self.cell, self.cell_at = cell[new], np.append(new, n)
+        self.cell_max = np.maximum.reduceat(self.weight, new) if n else np.empty(0)
         self.cell_start = np.searchsorted(new, self.starts)
+        self.term_max = np.maximum.reduceat(self.cell_max, self.cell_start[:-1]) if n else np.empty(0)
         self.blocks = -(-len(self.ids) // BLOCK)
 
-    def _gather(self, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    def _scores(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Each document's score by these terms alone."""
+        low, high = self.starts[at].tolist(), self.starts[at + 1].tolist()
+        docs = np.concatenate([self.docs[:0], *[self.docs[a:b] for a, b in zip(low, high)]])
+        weight = np.concatenate([self.weight[:0], *[self.weight[a:b] for a, b in zip(low, high)]])
+        weight *= np.repeat(idf, self.starts[at + 1] - self.starts[at])
+        return np.bincount(docs, weight, minlength=len(self.ids))
+
+    def _rest(self, at: np.ndarray, idf: np.ndarray, acc: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of those whose score acc by other terms can reach
+        the floor with these terms; the scores are by all terms."""
+        low, high = self.cell_start[at].tolist(), self.cell_start[at + 1].tolist()
+        cell = np.concatenate([self.cell[:0], *[self.cell[a:b] for a, b in zip(low, high)]])
+        most = np.concatenate([self.cell_max[:0], *[self.cell_max[a:b] for a, b in zip(low, high)]])
+        n = self.cell_start[at + 1] - self.cell_start[at]
+        idf = np.repeat(idf, n)
+        bound = np.bincount(cell, most * idf, minlength=self.blocks)
+        found = np.flatnonzero((acc > 0) & (acc + np.repeat(bound, BLOCK)[: len(acc)] >= floor - _SLACK))
+        inside = np.zeros(self.blocks, bool)
+        inside[found // BLOCK] = True
+        mine = np.flatnonzero(inside[cell])
+        number = (np.repeat(self.cell_start[at] - (np.cumsum(n) - n), n) + np.arange(len(cell)))[mine]
+        m = self.cell_at[number + 1] - self.cell_at[number]
+        posting = np.repeat(self.cell_at[number] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        acc = acc + np.bincount(self.docs[posting], self.weight[posting] * np.repeat(idf[mine], m), minlength=len(acc))
+        return found, acc[found]
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of at least this shard's k best, with ties."""
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, rounded scores) of this shard's k best, by score and then id,
+        if they are before (floor, before) in that order."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, idf = at[have], idf[have]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        low, n = self.cell_start[at], self.cell_start[at + 1] - self.cell_start[at]
-        cells = self._gather(low, n)
-        owner = np.repeat(np.arange(len(at)), n)
-        bound = np.bincount(self.cell[cells], self.cell_max[cells] * idf[owner], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_ids, best, floor, i, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, STEP
-        while i < len(order) and bound[order[i]] >= floor - _SLACK:
-            chosen = order[i : i + step]
-            i, step = i + step, step * 4
-            chosen = chosen[bound[chosen] >= floor - _SLACK]
-            inside = np.zeros(self.blocks, bool)
-            inside[chosen] = True
-            mine = inside[self.cell[cells]]
-            c, o = cells[mine], owner[mine]
-            m = self.cell_at[c + 1] - self.cell_at[c]
-            posting = self._gather(self.cell_at[c], m)
-            scores = np.bincount(self.docs[posting], self.weight[posting] * np.repeat(idf[o], m), minlength=len(self.ids))
-            found = np.flatnonzero(scores)
-            best_ids, best = np.concatenate([best_ids, self.ids[found]]), np.concatenate([best, scores[found]])
-            if len(best) >= k:
-                floor = np.partition(best, len(best) - k)[len(best) - k]
-                kept = best >= floor - _SLACK
-                best_ids, best = best_ids[kept], best[kept]
-        return best_ids, best
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list[int | None], list[int], list[bytes]]]:
-    total = queries.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // QUERY_BYTES)
-    for k in range(n):
-        got = queries.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        yield [r["id"] for r in got], [r["query"] for r in got], [bytes(r["text"]) for r in got]
+        bound = self.term_max[at] * idf
+        order = np.argsort(bound, kind="stable")
+        at, idf = at[order], idf[order]
+        weak = int(np.searchsorted(np.cumsum(bound[order]), floor - _SLACK, "left")) if floor > _SLACK else 0
+        acc = self._scores(at[weak:], idf[weak:])
+        found = np.flatnonzero(acc)
+        scores = acc[found]
+        if weak and len(found):
+            found, scores = self._rest(at[:weak], idf[:weak], acc, floor)
+        ids, scores = self.ids[found], np.round(scores.astype(np.float64), 4)
+        keep = scores >= floor if before is None else (scores > floor) | ((scores == floor) & (ids < before))
+        ids, scores = ids[keep], scores[keep]
+        if len(ids) > k:
+            high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[high], scores[high]
+        first = np.lexsort((ids, -scores))[:k]
+        return ids[first], scores[first]
+
+
+def _put(fs: pyarrow.fs.FileSystem, path: str, table: pa.Table) -> None:
+    """Writes a file under its name at once, so that a task can run again."""
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(temporary) as f, pa.ipc.new_stream(f, table.schema) as w:
+        w.write_table(table)
+    fs.move(temporary, path)
+
+
+def _get(fs: pyarrow.fs.FileSystem, path: str) -> pa.Table | None:
+    if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(path) as f:
+        return pa.ipc.open_stream(f).read_all()
+
+
+def query_blocks(index: DataFrame, queries: DataFrame, n_docs: int, out: str) -> int:
+    """Writes the queries (id, text) as files out/block-N: a row of (id, terms,
+    idf) each, terms and idf packed. Returns the number of blocks."""
+    n = partitions(index.sparkSession)
+    size = queries.agg(F.sum(F.length("text") + QUERY_LEAST)).first()[0] or 0
+    blocks = max(QUERY_BLOCKS, -(-size // QUERY_BYTES))
+    asked = queries.distinct().withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        text, term, _, _ = term_counts(table.column("text").to_pylist())
+        edges = np.searchsorted(text, np.arange(table.num_rows + 1)).tolist()
+        parts = [term[a:b].astype("<u8").tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.table({"block": table.column("block"), "id": table.column("id"), "terms": pa.array(parts, pa.binary())})
+
+    def cut(terms: np.ndarray) -> Iterator[tuple[int, slice]]:
+        fragment, _ = split_value(terms, n)
+        edges = np.flatnonzero(np.diff(fragment, prepend=-1, append=n)).tolist()
+        return ((int(fragment[a]), slice(a, b)) for a, b in zip(edges, edges[1:]))
+
+    def wanted(table: pa.Table) -> pa.Table:
+        terms = np.unique(np.concatenate([np.frombuffer(b, "<u8") for b in table.column("terms").to_pylist()]))
+        parts = [(f, terms[s].tobytes()) for f, s in cut(terms)]
+        return pa.table({"fragment": pa.array([f for f, _ in parts], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()), "terms": pa.array([b for _, b in parts], pa.binary())})
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, starts in zip(batch.column("terms"), batch.column("starts"), strict=True):
+                terms, df = np.frombuffer(terms.as_buffer(), "<u8"), np.diff(np.frombuffer(starts.as_buffer(), "<u4")).astype("<u4")
+                parts = [(f, terms[s].tobytes(), df[s].tobytes()) for f, s in cut(terms)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[j] for p in parts], pa.binary()) for j in (1, 2))], names=["fragment", "terms", "df"])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        terms = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, "<u8") for b in held.column("terms").to_pylist())])
+        terms, place = np.unique(terms, return_inverse=True)
+        df = np.bincount(place, np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(b, "<u4") for b in held.column("df").to_pylist())]), minlength=len(terms))
+        out = []
+        for b in asked.column("terms").to_pylist():
+            at = np.minimum(np.searchsorted(terms, mine := np.frombuffer(b, "<u8")), max(len(terms) - 1, 0))
+            out.append(np.where(terms[at] == mine, df[at], 0).astype("<i8").tobytes() if len(terms) else bytes(8 * len(mine)))
+        return pa.table({"block": asked.column("block"), "terms": asked.column("terms"), "df": pa.array(out, pa.binary())})
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"block": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        get = lambda c, t: np.concatenate([np.empty(0, t), *(np.frombuffer(b, t) for b in answers.column(c).to_pylist())])
+        terms, df = get("terms", "<u8"), get("df", "<i8")
+        order = np.argsort(terms)
+        terms, idf = terms[order], np.log1p((n_docs - df[order] + 0.5) / (df[order] + 0.5))
+        of = [idf[np.searchsorted(terms, np.frombuffer(b, "<u8"))].tobytes() for b in table.column("terms").to_pylist()]
+        fs, root = pyarrow.fs.FileSystem.from_uri(out)
+        block = table.column("block")[0].as_py()
+        _put(fs, f"{root}/block-{block}", pa.table({"id": table.column("id"), "terms": table.column("terms"), "idf": pa.array(of, pa.binary())}))
+        return pa.table({"block": pa.array([block], pa.int32()), "n": pa.array([table.num_rows], pa.int64())})
+
+    packed = written(asked.groupBy("block").applyInArrow(pack, "block int, id bigint, terms binary"), "bm25-queries")
+    terms = packed.groupBy("block").applyInArrow(wanted, "fragment int, block int, terms binary")
+    held = index.select("terms", "starts").mapInArrow(known, "fragment int, terms binary, df binary")
+    answers = terms.groupBy("fragment").cogroup(held.groupBy("fragment")).applyInArrow(answer, "block int, terms binary, df binary")
+    packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "block int, n bigint").agg(F.sum("n")).first()
+    return blocks
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,60 +275,75 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     and wordless texts find nothing and are not found. Ids are bigint.
     """
     spark = docs.sparkSession
+    shards = partitions(spark)
     index = written(build_index(docs, id_col, text_col), "bm25-index")
     total = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("w")).first()
-    asked = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text is not null").distinct().withColumn("query", F.xxhash64("id", "text"))
-    schema = f"query_id bigint, query bigint, {id_col} bigint, score double"
-    found = spark.createDataFrame([], schema)
-    for ids, names, texts in _query_blocks(asked) if total["w"] else ():
-        text, term, _, _ = term_counts(texts)
-        terms, place = np.unique(term, return_inverse=True)
-        df = _document_frequencies(index, terms)
-        idf = np.log1p((total["n"] - df + 0.5) / (df + 0.5))
-        first = np.searchsorted(text, np.arange(len(ids) + 1))
-        sent = spark.sparkContext.broadcast((ids, names, first, term, idf[place], total["w"] / total["n"]))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, names, first, term, idf, mean = sent.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, mean)
-                    q, d, s = [], [], []
-                    for i in range(len(ids)):
-                        a, b = first[i], first[i + 1]
-                        hit, score = shard.search(term[a:b], idf[a:b], k)
-                        score = np.round(score, 4)
-                        best = np.lexsort((hit, -score))[:k]
-                        q += [i] * len(best)
-                        d.append(hit[best])
-                        s.append(score[best])
-                    docs_ = pa.array(np.concatenate([np.empty(0, np.int64), *d]))
-                    docs_ = pa.compute.if_else(pa.compute.equal(docs_, -(1 << 63)), None, docs_)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.int64()), pa.array([names[i] for i in q], pa.int64()), docs_, pa.array(np.concatenate([np.empty(0), *s]))], names=["query_id", "query", id_col, "score"])
-
-        found = found.union(index.mapInArrow(search, schema))
-    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc_nulls_first(id_col)))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
-
-
-def _document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """In how many documents of all shards each of a block's terms occurs."""
-    sent = index.sparkSession.sparkContext.broadcast(terms)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value), np.int64)
+    state = spark.createDataFrame([], f"{HIT}, rank int")
+    if total["w"]:
+        mean = total["w"] / total["n"]
+        out = fresh_path(spark, "bm25-blocks")
+        fs, root = pyarrow.fs.FileSystem.from_uri(out)
+        fs.create_dir(root, recursive=True)
+        asked = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text is not null")
+        blocks = query_blocks(index, asked, total["n"], out)
+        low, high = 0, 1
+        while low < shards:
+            found = written(index.mapInArrow(_searched(out, low, high, shards, blocks, mean, k), HIT), "bm25-found")
+            merged = state.drop("rank").union(found).groupBy("block").applyInArrow(_merged(out, high, k), f"{HIT}, rank int")
+            state = written(merged, "bm25-best")
+            low, high = high, min(high * (GROWTH + 1), shards) if high < shards else shards + 1
+    doc = F.when(F.col("doc") != _FIRST, F.col("doc"))
+    return state.select("query_id", F.col("rank").cast("int").alias("rank"), doc.alias(id_col), "score")
+
+
+def _searched(out: str, low: int, high: int, shards: int, blocks: int, mean: float, k: int):
+    """The search of a round: of the shards by their distance from a block's
+    first one, those from low to below high; floors are those of round low."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(out)
         for batch in batches:
-            for row in batch.to_pylist():
-                known, starts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["starts"], "<u4").astype(np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, sent.value), len(known) - 1)
-                    total += np.where(known[at] == sent.value, starts[at + 1] - starts[at], 0)
-        parts = range(0, len(total), _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array([p // _CHUNK for p in parts], pa.int32()), pa.array([total[p : p + _CHUNK].astype("<i8").tobytes() for p in parts], pa.binary())], names=["part", "df"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(b, "<i8") for b in table.column("df").to_pylist()], axis=0)
-        return pa.table({"part": table.column("part").slice(0, 1), "df": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    got = index.select("terms", "starts").mapInArrow(count, "part int, df binary").groupBy("part").applyInArrow(add, "part int, df binary").collect()
-    return np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["df"], "<i8") for r in sorted(got))])
+            for i in range(batch.num_rows):
+                number = batch.column("shard")[i].as_py()
+                row = {name: batch.column(name)[i].as_buffer() for name in ("ids", "lengths", "terms", "starts", "docs", "counts")}
+                mine = [b for b in range(blocks) if low <= (number - b * shards // blocks) % shards < high]
+                shard = Shard(row, mean) if mine else None
+                for b in mine:
+                    queries = _get(fs, f"{root}/block-{b}")
+                    if queries is None:
+                        continue
+                    floor, before = np.zeros(queries.num_rows), [None] * queries.num_rows
+                    floors = _get(fs, f"{root}/floor-{low}-{b}") if low else None
+                    if floors is not None:
+                        for q, s, d in zip(*(c.to_pylist() for c in floors.columns), strict=True):
+                            floor[q], before[q] = s, d
+                    n, d, s = [], [], []
+                    for q, (terms, idf) in enumerate(zip(queries.column("terms").to_pylist(), queries.column("idf").to_pylist(), strict=True)):
+                        hit, score = shard.search(np.frombuffer(terms, "<u8"), np.frombuffer(idf, "<f8"), k, floor[q], before[q])
+                        n.append(len(hit))
+                        d.append(hit)
+                        s.append(score)
+                    q = np.repeat(np.arange(len(n), dtype=np.int32), n)
+                    names = queries.column("id").combine_chunks().take(pa.array(q))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), b, np.int32)), pa.array(q), names, pa.array(np.concatenate(d)), pa.array(np.concatenate(s))], names=["block", "q", "query_id", "doc", "score"])
+
+    return search
+
+
+def _merged(out: str, high: int, k: int):
+    """The k best of each query of a block; writes their floors for the round
+    that begins at high."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        q, doc, score = (table.column(c).to_numpy() for c in ("q", "doc", "score"))
+        order = np.lexsort((doc, -score, q))
+        first = np.flatnonzero(np.diff(q[order], prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) + 1
+        order, rank = order[rank <= k], rank[rank <= k]
+        last = order[rank == k]
+        fs, root = pyarrow.fs.FileSystem.from_uri(out)
+        _put(fs, f"{root}/floor-{high}-{table.column('block')[0].as_py()}", pa.table({"q": q[last], "score": score[last], "doc": doc[last]}))
+        return table.take(pa.array(order)).append_column("rank", pa.array(rank.astype(np.int32)))
+
+    return merge

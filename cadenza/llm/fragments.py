@@ -72,6 +72,12 @@ def doc_values(texts: list[bytes | None], kind: str, extract: Extract) -> tuple[
     return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in as few bytes each as the greatest needs: 1, 2 or 4."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+
+
 def split_value(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(fragment, key in it) of values."""
     fragment = ((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
@@ -94,13 +100,13 @@ def classes(batches: DataFrame, kind: str, extract: Extract) -> DataFrame:
                 "fragment": pa.array([int(fragment[a]) for a, _ in parts], pa.int32()),
                 "batch": pa.array([table.column("batch")[0].as_py()] * len(parts), pa.int32()),
                 "key": pa.array([key[a:b].tobytes() for a, b in parts], pa.binary()),
-                "count": pa.array([np.minimum(count[a:b], 65535).astype("<u2").tobytes() for a, b in parts], pa.binary()),
+                "count": pa.array([narrow(count[a:b]).tobytes() for a, b in parts], pa.binary()),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(b, "<u4") for b in table.column("key").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, "<u2") for b in table.column("count").to_pylist()])
+        counts = np.concatenate([np.frombuffer(b, f"<u{len(b) // len(k)}") for b, k in zip(table.column("count").to_pylist(), keys, strict=True)])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts)
         found = np.floor(np.log2(total)).astype(np.uint8)[place]
