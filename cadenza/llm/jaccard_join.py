@@ -13,8 +13,8 @@ are done. Of the others, only the shared shingles are kept from here on.
    global order: linked sets have a prefix shingle in common. Each prefix
    shingle has a leader, the representative with the smallest part of unshared
    shingles: the middle of a group of near copies, if there is one.
-3. Representatives are compared with the leaders of their shingles, which
-   links groups of near copies without their pairs.
+3. Representatives are compared with the leaders of their shingles, if their
+   sizes allow a link, which links groups of near copies without their pairs.
 4. What is then still in another component than its leader is compared with
    all that this leader leads; with that, every pair that shares a prefix
    shingle is linked, in one component already, or has been compared.
@@ -23,6 +23,7 @@ are done. Of the others, only the shared shingles are kept from here on.
 A comparison counts the overlap fragment by fragment and sums per pair, giving
 up pairs whose remaining shingles can't reach the threshold. Compared groups
 are cut into blocks, so no task holds more than BLOCK members of a group.
+Shingles are told apart by 64-bit hashes, and sets by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ from cadenza.llm.wordhash import Words, mix, run_owner, runs
 SHINGLE = 5
 #: A link: PERCENT of the union is in both.
 PERCENT = 80
-#: Members (and probes) of a compared block.
-BLOCK = 2000
+#: Members of a block that is compared with a leader, and members (and probes)
+#: of one that is compared with what is still apart.
+LED, BLOCK = 256, 1000
 #: Parts of the hash order in which a comparison counts overlaps.
 PARTS = 8
 
@@ -106,11 +108,11 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sets, schema)
 
 
-def compared(members: DataFrame, probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compared(members: DataFrame, probes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between a group's probes and its members. members, probes:
-    distinct (leader, id). Both are cut into blocks of about BLOCK; each block
+    distinct (leader, id). Both are cut into blocks of about `block`; each block
     of probes meets each block of members of its group."""
-    size = lambda df, name: df.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    size = lambda df, name: df.groupBy("leader").agg(F.ceil(F.count("*") / block).alias(name))
     blocks = size(members, "mb").join(size(probes, "pb"), "leader")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -160,25 +162,35 @@ def row_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     """(id, hash, n, component) for each row of docs: see `jaccard_classes`."""
     sets = written(shingle_sets(docs, k, percent, id_col, text_col), "shingle-sets")
     key = ["s1", "s2", "n"]
-    classes_ = sets.filter("shared is not null and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
-    reps = sets.filter("shared is not null").join(classes_, key).filter("id = rep").drop("rep").dropDuplicates(["id", *key])
-    reps = written(reps.select("id", "n", "unshared", "shared", "prefix"), "representatives")
+    # A class of null ids alone goes by a hash of its set.
+    classes_ = sets.filter("shared is not null").groupBy(*key).agg(F.min("id").alias("real")).withColumn("rep", F.coalesce("real", F.xxhash64(*key)))
+    reps = sets.filter("shared is not null").join(classes_, key).filter("real is null or id = real").dropDuplicates(key)
+    reps = written(reps.select(F.col("rep").alias("id"), "n", "unshared", "shared", "prefix"), "representatives")
 
-    rank = F.struct((F.col("unshared") / F.col("n")).alias("part"), F.col("id").alias("id"))
+    rank = F.struct((F.col("unshared") / F.col("n")).alias("part"), F.col("id").alias("id"), "n", "unshared")
     prefix = reps.select("id", rank.alias("rank"), F.explode("prefix").alias("shingle"))
-    leaders = prefix.groupBy("shingle").agg(F.min("rank").alias("first"), F.count("*").alias("df")).filter("df > 1").select("shingle", F.col("first.id").alias("leader"))
-    led = written(prefix.join(leaders, "shingle").select("leader", "id").filter("leader <> id").distinct(), "led")
-    heads = led.select("leader").distinct().select("leader", F.col("leader").alias("id"))
-
-    links = written(compared(led, heads, reps, percent), "links")
+    leaders = prefix.groupBy("shingle").agg(F.min("rank").alias("first"), F.count("*").alias("df")).filter("df > 1").select("shingle", F.col("first").alias("l"))
+    pairs = prefix.join(leaders, "shingle").filter("l.id <> id").select(F.col("l.id").alias("leader"), "id", "l", "rank")
+    # What overlap the sizes allow: a leader gets only the sets it could link with.
+    most = F.least(F.col("l.n") - F.col("l.unshared"), F.col("rank.n") - F.col("rank.unshared"))
+    union = F.greatest(F.col("l.n") + F.col("rank.unshared"), F.col("rank.n") + F.col("l.unshared"))
+    led = written(pairs.select("leader", "id", (100 * most >= percent * union).alias("near")).distinct(), "led")
+    near = led.filter("near").select("leader", "id")
+    led = led.select("leader", "id")
+    heads = near.select("leader").distinct().select("leader", F.col("leader").alias("id"))
+
+    links = written(compared(near, heads, reps, percent, LED), "links")
     part = components(links)
     named = led.join(part.toDF("id", "c"), "id", "left").join(part.toDF("leader", "lc"), "leader", "left")
     apart = named.filter(F.coalesce("c", "id") != F.coalesce("lc", "leader")).select("leader", "id")
-    rest = compared(led, written(apart, "apart"), reps, percent)
+    rest = compared(led, written(apart, "apart"), reps, percent, BLOCK)
     part = components(links.union(rest))
 
-    found = classes_.join(part, classes_.rep == part.node, "left").select(*key, F.coalesce("component", "rep").alias("found"))
-    return sets.select("id", "hash", *key).join(found, key, "left").select("id", "hash", "n", F.coalesce("found", "id").alias("component"))
+    found = classes_.join(part, classes_.rep == part.node, "left").select(*key, "real", F.coalesce("component", "rep").alias("group"))
+    # A component is named by its least id, not by a class of null ids.
+    names = found.groupBy("group").agg(F.min("real").alias("name"))
+    found = found.join(names, "group").select(*key, "name", F.lit(True).alias("known"))
+    return sets.select("id", "hash", *key).join(found, key, "left").select("id", "hash", "n", F.when(F.col("known"), F.col("name")).otherwise(F.col("id")).alias("component"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +213,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     """docs, with all columns, but of each component only the row whose id names
     it. Rows of a component without an id stay; equal rows become one."""
     found = row_classes(docs, k, percent, id_col, text_col)
-    named = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "hash")).alias("r")).select("r.id", "r.hash")
+    named = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("r")).select("r.id", "r.hash")
     # An unnamed component has null ids alone.
     kept = named.union(found.filter("component is null").select("id", "hash").distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string").cast("binary")).alias("hash"))

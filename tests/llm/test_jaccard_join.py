@@ -2,7 +2,7 @@ import random
 
 from cadenza.llm import jaccard_join
 from cadenza.llm.components import components
-from cadenza.llm.jaccard_join import jaccard_classes
+from cadenza.llm.jaccard_join import jaccard_classes, one_of_each
 from tests.llm.common import prose, table
 
 
@@ -74,6 +74,7 @@ def test_against_brute_force(spark):
 
 def test_small_blocks_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "LED", 5)
     rows = cases()
     rows += rows[:5]
     assert result(spark, rows) == brute(rows)
@@ -85,6 +86,15 @@ def test_null_ids_and_empty(spark):
     assert result(spark, rows) == brute(rows)
 
 
+def test_a_row_without_an_id_links_others(spark):
+    words = [f"v{i}" for i in range(200)]
+    first, last = ["e"] * 20 + words[20:], words[:180] + ["f"] * 20
+    rows = [(8, " ".join(first)), (3, " ".join(last)), (None, " ".join(words)), (None, "u " + " ".join(words))]
+    want = brute(rows)
+    assert result(spark, rows) == want and {w[2] for w in want} == {3}
+    assert [r.doc_id for r in one_of_each(table(spark, rows)).collect()] == [3]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 300)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(250)]
