@@ -35,8 +35,11 @@ SCRIPTS = {
     "han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)],
 }
 OTHER = len(SCRIPTS) + 1
-#: Labelled rows that training reads, about; chosen by a hash of id and text.
+#: Labelled rows that training reads, about, in equal parts for each language
+#: (all rows of one that has fewer); chosen by a hash of id and text.
 TRAINING_ROWS = 20_000
+#: Languages that a model can hold, each with BUCKETS counts; more raise.
+MOST_LANGUAGES = 1000
 BUCKETS = 1 << 16
 #: Log-likelihood that a switch of language costs.
 SWITCH = 12.0
@@ -143,6 +146,18 @@ class Model:
         return out
 
 
+def _stretches(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text in parts of about CHUNK_CHARS, cut at spaces."""
+    begin = 0
+    while len(text) - begin > 2 * CHUNK_CHARS:
+        end = text.find(" ", begin + CHUNK_CHARS)
+        if end < 0:
+            break
+        yield begin, text[begin:end]
+        begin = end
+    yield begin, text[begin:]
+
+
 def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about this many characters together."""
     begin = total = 0
@@ -158,11 +173,17 @@ def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Model | None:
     """A model of the labelled rows of docs (null labels and texts are left
     out), or None if there are none. About `rows` of them, chosen by a hash of
-    id and text, are read; they are read whole."""
+    id and text, are read, whole; every language has an equal part, so a rare
+    one is learned whatever the others' sizes. ValueError for more than
+    MOST_LANGUAGES."""
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    n = docs.filter(F.col(lang_col).isNotNull()).count()
-    if n > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(rows / n * (1 << 20)) + 1)
+    sizes = {r["lang"]: r["count"] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    part = {lang: rows / len(sizes) / n for lang, n in sizes.items()}
+    if any(p < 1 for p in part.values()):
+        share = F.create_map(*[F.lit(x) for lang, p in part.items() for x in (lang, min(1.0, p))])[F.col("lang")]
+        labelled = labelled.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 52)) < share * (1 << 52))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -172,11 +193,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang in set(langs):
                 mine = [t for t, k in zip(texts, langs, strict=True) if k == lang]
                 for i, j in _chunks(mine, CHUNK_CHARS):
-                    words = Letters(mine[i:j])
-                    inside = words.letters > 0
-                    grams = np.bincount(words.bucket[inside], minlength=BUCKETS) + np.bincount(words.bucket2[inside], minlength=BUCKETS)
-                    counts[lang] = counts.get(lang, 0) + grams
-                    scripts[lang] = scripts.get(lang, 0) + np.bincount(words.letters[inside], minlength=OTHER + 1)
+                    for group in [[t] for _, t in _stretches(mine[i])] if j - i == 1 else [mine[i:j]]:
+                        words = Letters(group)
+                        inside = words.letters > 0
+                        grams = np.bincount(words.bucket[inside], minlength=BUCKETS) + np.bincount(words.bucket2[inside], minlength=BUCKETS)
+                        counts[lang] = counts.get(lang, 0) + grams
+                        scripts[lang] = scripts.get(lang, 0) + np.bincount(words.letters[inside], minlength=OTHER + 1)
         for lang in counts:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts[lang].astype("<i8").tobytes()], pa.binary()), pa.array([scripts[lang].astype("<i8").tobytes()], pa.binary())], names=["lang", "grams", "scripts"])
 
@@ -217,10 +239,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             for low, high in _chunks(texts, GROUP_CHARS) if model else ():
                 parts = []
                 for i, j in _chunks(texts[low:high], CHUNK_CHARS):
-                    words = Letters(texts[low + i : low + j])
-                    text = np.repeat(np.arange(i, j), np.diff(words.first))
-                    origin = words.begin[text - i]
-                    parts.append((model.word_scores(words), text, words.start - origin, words.end - origin))
+                    for shift, group in ([(o, [t]) for o, t in _stretches(texts[low + i])] if j - i == 1 else [(0, texts[low + i : low + j])]):
+                        words = Letters(group)
+                        text = np.repeat(np.arange(i, j), np.diff(words.first))
+                        origin = words.begin[text - i] - shift
+                        parts.append((model.word_scores(words), text, words.start - origin, words.end - origin))
                 word_scores, text, start, end = (np.concatenate(p) for p in zip(*parts, strict=True))
                 labels = model.label(word_scores, np.searchsorted(text, np.arange(high - low + 1)))
                 letters = np.bincount(text * len(model.langs) + labels, weights=end - start, minlength=(high - low) * len(model.langs)).reshape(-1, len(model.langs))
