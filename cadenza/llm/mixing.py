@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.session import partitions, written
 
+#: Copies of a row that are written out at a time.
+_COPIES = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -98,7 +100,7 @@ def mix_decisions(docs: DataFrame, weigh: Callable[[list[str | None]], dict[str
     budget = min(budget_share, most_passes) * total
     targets = fair_targets(sizes, weigh(list(sizes)), budget, most_passes) if total else dict.fromkeys(sizes, 0.0)
     plan = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source string, source_size bigint, target double")
-    planned = rows.alias("r").join(F.broadcast(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", "p.source_size", "p.target")
+    planned = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", "p.source_size", "p.target")
 
     # Slices of the hash hold equal shares of each source.
     planned = planned.withColumn("slice", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("bigint") * n / (1 << 32)).cast("int"))
@@ -141,7 +143,9 @@ def mix_sources(docs: DataFrame, weigh: Callable[[list[str | None]], dict[str |
     columns are not read. The order is a hash's, so reruns agree.
     """
     decided = mix_decisions(docs, weigh, most_passes, budget_share, id_col, text_col, source_col)
-    each = decided.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    # In two steps, so that no array is as long as a row has copies.
+    some = decided.withColumn("_some", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / _COPIES))))
+    each = some.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(_COPIES), F.col("copies") - F.col("_some") * _COPIES).cast("int"))))
     return each.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
 
 
@@ -149,6 +153,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as `mix_sources` takes it,
     with all its columns."""
     names = [options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))]
-    decided = mix_decisions(docs, **options).filter("passes > 0").select(F.col("turn").alias("_turn"), F.col("passes").alias("_passes"))
-    rows = docs.withColumn("_key", turn_of(*names)).join(decided, F.col("_key") == F.col("_turn"))
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    decided = mix_decisions(docs, **options).filter("passes > 0").select("turn", "passes")
+    # The row as one column, so that its names clash with none here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), turn_of(*names).alias("turn")).join(decided, "turn")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass")).select("row.*")

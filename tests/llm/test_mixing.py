@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from cadenza.llm.mixing import cycle_123, fair_targets, mix_sources, mixed_documents
 from tests.llm.common import prose, table
 
@@ -65,3 +67,20 @@ def test_mixed_documents(spark):
     mixed = mixed_documents(t)
     assert mixed.columns == t.columns
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == want
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    names = ["_key", "_turn", "_passes", "_pass", "turn", "passes", "row", "pass"]
+    t = table(spark, docs())
+    for n in names:
+        t = t.withColumn(n, F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    mixed = mixed_documents(t)
+    assert mixed.columns == t.columns
+    for r in mixed.collect():
+        assert all(r[n] == f"{n} of {'-' if r.doc_id is None else r.doc_id}" for n in names)
+
+
+def test_many_copies_of_a_row(spark):
+    t = table(spark, [(1, "a b c", "en", "s")]).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("i")
+    got = mix_sources(t).collect()
+    assert len(got) == 10_000 and len(set(got)) == 1
