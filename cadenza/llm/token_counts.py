@@ -24,8 +24,9 @@ from tokenizers import Tokenizer
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: As above with white space as the library has it: without 0x1C-0x1F.
 _PATTERN = BYTE_LEVEL.replace(r"\S", r"[^\p{White_Space}]").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
-#: Merged counts that a worker remembers at most; beyond it starts afresh.
-REMEMBERED = 400_000
+#: Bytes of merged pre-tokens that a worker remembers at most; beyond it starts
+#: afresh. What each takes beside its text; longer ones are not remembered.
+REMEMBERED_BYTES, ENTRY, LONGEST = 128 << 20, 130, 200
 
 
 def prove_whole_tokens(spec: str) -> list[str]:
@@ -50,7 +51,7 @@ class Counter(dict):
         if config["pre_tokenizer"]["type"] != "ByteLevel" or config["normalizer"]:
             raise ValueError("the shortcut is proven for byte-level tokenizers without a normalizer")
         super().__init__(dict.fromkeys(whole, 1))
-        self.whole = whole
+        self.whole, self.held = whole, 0
         self.tokenizer = Tokenizer.from_str(spec)
         self.pieces = regex.compile(_PATTERN).findall
         special = [t["content"] for t in config["added_tokens"]]
@@ -59,12 +60,16 @@ class Counter(dict):
     def __missing__(self, piece: str) -> int:
         if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
             raise Unassigned
-        n = self[piece] = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= LONGEST:
+            self[piece] = n
+            self.held += ENTRY + len(piece)
         return n
 
     def count(self, text: str) -> int:
-        if len(self) > REMEMBERED + len(self.whole):
+        if self.held > REMEMBERED_BYTES:
             self.clear()
+            self.held = 0
             self.update(dict.fromkeys(self.whole, 1))
         parts = self.special.split(text) if self.special else [text]
         try:
