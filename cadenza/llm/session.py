@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from
-    `spark.checkpoint.dir`. Where that is unset (local mode, tests), a fresh
-    local folder is set and used."""
+    `spark.checkpoint.dir`. Where that is unset in local mode (tests), a fresh
+    local folder is set and used; on a cluster that is an error, since each
+    machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
