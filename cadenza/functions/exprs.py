@@ -7,6 +7,7 @@ left after subtracting the remainder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,16 +18,21 @@ MAX_LONG = (1 << 63) - 1
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def wide(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
 def floor_div(a: Column, b: Column) -> Column:
     """a // b of non-negative wide integers, saturating at the largest bigint;
-    null where b is 0."""
+    null where b is 0, or either is null."""
     x, y = wide(a), wide(b)
     q = wide((x - x % y) / y)
-    return F.when(y != 0, F.least(q, F.lit(MAX_LONG).cast("decimal(38,0)"))).cast("bigint")
+    return F.when((y != 0) & x.isNotNull(), F.least(q, F.lit(MAX_LONG).cast("decimal(38,0)"))).cast("bigint")
 
 
 def ceil_div(a: Column, b: Column) -> Column:
@@ -79,10 +85,16 @@ TIMESTAMP = r"^(?:\+?([0-9]+):)?\+?([0-9]+):\+?([0-9]+)\.([0-9]{3})$"
 def timestamp_ms(text: Column) -> Column:
     """ms of `[h:]m:s.mmm`; null if it is no timestamp: more than 59 minutes or
     seconds, more than three fields, other than three decimals, or past 32 bits."""
-    part = lambda k: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, TIMESTAMP, k), F.lit("")), F.lit("9" * 18)), F.lit(0)).cast("decimal(38,0)")
-    total = part(1) * 3600000 + part(2) * 60000 + part(3) * 1000 + part(4)
-    fits = text.rlike(TIMESTAMP) & (part(2) <= 59) & (part(3) <= 59) & (total <= MAX_U32)
-    return F.when(fits, total.cast("bigint"))
+
+    def total(fields: Column) -> Column:
+        part = lambda k: F.coalesce(F.try_to_number(F.ltrim(F.try_element_at(fields, F.lit(-k)), F.lit("+")), F.lit("9" * 18)), F.lit(0)).cast("decimal(38,0)")
+        return let(F.struct(part(4).alias("h"), part(3).alias("m"), part(2).alias("s"), part(1).alias("ms")), checked)
+
+    def checked(v: Column) -> Column:
+        ms = v["h"] * 3600000 + v["m"] * 60000 + v["s"] * 1000 + v["ms"]
+        return F.when((v["m"] <= 59) & (v["s"] <= 59) & (ms <= MAX_U32), ms.cast("bigint"))
+
+    return let(text, lambda t: F.when(t.rlike(TIMESTAMP), let(F.split(t, "[:.]"), total)))
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -216,9 +228,10 @@ def adaptation_key(kind: Column, codec: Column, timescale: Column, language: Col
 
 
 def sprite_height(width: Column, tiles: Column, video_width: Column, video_height: Column) -> Column:
-    """The scaled height, cut to a multiple of the tiles; 0 where a guard is 0."""
+    """The scaled height, cut to a multiple of the tiles, if there are any; 0
+    for a video without a width."""
     scaled = floor_div(wide(width) * wide(video_height), video_width)
-    return F.when((video_width > 0) & (tiles > 0), scaled - scaled % F.nullif(tiles, F.lit(0))).otherwise(F.lit(0).cast("bigint"))
+    return F.when(video_width > 0, scaled - F.coalesce(scaled % F.nullif(tiles, F.lit(0)), F.lit(0))).otherwise(F.lit(0).cast("bigint"))
 
 
 def sprite_bandwidth(width: Column, height: Column, duration: Column) -> Column:

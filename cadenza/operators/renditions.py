@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from cadenza.functions import exprs as X
 
 
-def ordered_groups(tracks: DataFrame, key: Column, pos: str = "pos", member: str = "id") -> DataFrame:
-    """(group_id, key, first_pos, members): groups in the order in which they
-    first appear, members in input order."""
-    groups = tracks.groupBy(key.alias("key")).agg(F.min(pos).alias("first_pos"), F.array_sort(F.collect_list(F.struct(pos, member))).alias("m"))
-    return groups.select((F.row_number().over(Window.orderBy("first_pos")) - 1).cast("bigint").alias("group_id"), "key", "first_pos", F.transform("m", lambda x: x[member]).alias("members"))
+def ordered_groups(tracks: DataFrame, key: Column, by: list[str], pos: str = "pos", member: str = "id") -> DataFrame:
+    """(by, group_id, key, first_pos, members): the groups of each asset in the
+    order in which they first appear, members in input order."""
+    groups = tracks.groupBy(*by, key.alias("key")).agg(F.min(pos).alias("first_pos"), F.array_sort(F.collect_list(F.struct(pos, member))).alias("m"))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("first_pos")) - 1
+    return groups.select(*by, number.cast("bigint").alias("group_id"), "key", "first_pos", F.transform("m", lambda x: x[member]).alias("members"))
 
 
 def nearest_source(tracks: DataFrame, target: int, by: list[str], width: str = "width", pos: str = "pos", id_col: str = "id") -> DataFrame:
@@ -22,6 +23,26 @@ def nearest_source(tracks: DataFrame, target: int, by: list[str], width: str = "
     return tracks.filter(F.col(width).isNotNull()).groupBy(*by).agg(F.coalesce(wide, F.min_by(id_col, F.struct((-F.col(width)).alias("w"), pos))).alias("source_id"))
 
 
+def resolved_thumbnails(thumbnails: DataFrame, sources: DataFrame, cadences: DataFrame) -> DataFrame:
+    """thumbnails (asset, pos, id, tile_size, width) with source_id, height,
+    tile_width, tile_height, frame_ms, sprite_ms, bandwidth and
+    source_duration_ms. sources: all videos of the assets, before any filter
+    (asset, pos, id, width, height, timescale, duration_ms). cadences: (id,
+    cadence) in ticks. A thumbnail without a source raises."""
+    target = X.floor_div(F.col("width"), F.greatest("tile_size", F.lit(1)))
+    videos = sources.select("asset", F.struct(F.col("width").alias("w"), "pos", "id", "height", "timescale", "duration_ms").alias("v"))
+    wide = F.min_by("v", F.when(F.col("v.w") >= F.col("target"), F.struct("v.w", "v.pos")))
+    widest = F.min_by("v", F.when(F.col("v.w").isNotNull(), F.struct((-F.col("v.w")).alias("w"), "v.pos")))
+    own = ["asset", "pos", "id", "tile_size", "width"]
+    picked = thumbnails.withColumn("target", target).join(videos, "asset", "left").groupBy(*own).agg(F.coalesce(wide, widest).alias("v"))
+    found = F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("no source for thumbnail "), "id"))).otherwise(F.col("v"))
+    rows = picked.withColumn("v", found).withColumn("source_id", F.col("v.id")).join(cadences.select(F.col("id").alias("source_id"), "cadence"), "source_id", "left")
+    rows = rows.withColumn("height", X.sprite_height(F.col("width"), F.col("tile_size"), F.col("v.w"), F.col("v.height"))).withColumn("frame_ms", F.coalesce(X.ticks_to_ms(F.col("cadence"), F.col("v.timescale")), F.lit(0).cast("bigint")))
+    rows = rows.withColumn("sprite_ms", (F.col("tile_size") * F.col("tile_size") * F.col("frame_ms")).cast("bigint"))
+    tile = lambda name: X.floor_div(F.col(name), F.greatest("tile_size", F.lit(1)))
+    return rows.select(*own, "source_id", "height", tile("width").alias("tile_width"), tile("height").alias("tile_height"), "frame_ms", "sprite_ms", X.sprite_bandwidth(F.col("width"), F.col("height"), F.col("sprite_ms")).alias("bandwidth"), F.col("v.duration_ms").alias("source_duration_ms"))
+
+
 def default_audio(tracks: DataFrame, by: list[str], pos: str = "pos", id_col: str = "id") -> DataFrame:
     """Of each group the first audio track with role main, else the first
     without a role, else null."""
@@ -84,11 +105,12 @@ def hoisted(rows: DataFrame, by: list[str], fields: list[str], least: int = 2) -
     return rows.groupBy(*by).agg(F.count("*").alias("members"), *shared)
 
 
-def upserted(stored: DataFrame, given: DataFrame, key: str, fields: list[str], pos: str = "pos") -> DataFrame:
-    """stored with the rows of given: a known key keeps what is stored but for
-    fields that are given; new keys are appended in input order."""
-    s = stored.select(F.col(key), F.col(pos).alias("_s"), *[F.col(f).alias(f"_s_{f}") for f in fields])
-    g = given.select(F.col(key), F.col(pos).alias("_g"), *[F.col(f).alias(f"_g_{f}") for f in fields])
-    both = s.join(g, key, "full_outer")
-    rank = F.struct(F.col("_s").isNull().alias("new"), F.coalesce("_s", "_g").alias("at"))
-    return both.select(key, *[F.coalesce(f"_g_{f}", f"_s_{f}").alias(f) for f in fields], rank.alias("rank"))
+def upserted(stored: DataFrame, given: DataFrame, by: list[str], key: str, fields: list[str], pos: str = "pos") -> DataFrame:
+    """(by, pos, key, fields): the stored rows of each asset with the rows of
+    given: a known key keeps its place and what is stored but for fields that
+    are given; new keys are appended in input order. pos counts from 0."""
+    s = stored.select(*by, key, F.col(pos).alias("_s"), *[F.col(f).alias(f"_s_{f}") for f in fields])
+    g = given.select(*by, key, F.col(pos).alias("_g"), *[F.col(f).alias(f"_g_{f}") for f in fields])
+    both = s.join(g, [*by, key], "full_outer")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_s").isNull(), F.coalesce("_s", "_g"))) - 1
+    return both.select(*by, place.cast("bigint").alias(pos), key, *[F.coalesce(f"_g_{f}", f"_s_{f}").alias(f) for f in fields])

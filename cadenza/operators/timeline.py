@@ -11,6 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.exprs import let
+
+#: Segments that a fold takes at a time.
+STRETCH = 256
+
 
 def _ordered(track: str, order: str) -> "Window":
     return Window.partitionBy(track).orderBy(order)
@@ -34,13 +39,14 @@ def cut_after(segments: DataFrame, boundaries: Sequence[int], track: str = "trac
     return segments.withColumn("_next", following).withColumn("cut", F.col("_next").isNotNull() & hit).drop("_next")
 
 
-def snapped(segments: DataFrame, boundaries: DataFrame, track: str = "track", start_ms: str = "sm") -> DataFrame:
-    """(track, boundary, position): for each boundary of `boundaries(ms)` and
-    track, the number of segments that start before it. Sorted merge of both,
-    one running count; no join of all pairs of segments and boundaries."""
-    tracks = segments.select(track).distinct()
-    edges = tracks.crossJoin(F.broadcast(boundaries.select(F.col("ms").cast("bigint").alias("at")).distinct()))
-    merged = segments.select(track, F.col(start_ms).alias("at"), F.lit(1).alias("n")).union(edges.select(track, "at", F.lit(0)))
+def snapped(segments: DataFrame, boundaries: Sequence[int], track: str = "track", start_ms: str = "sm") -> DataFrame:
+    """(track, boundary, position): for each boundary and track, the number of
+    segments that start before it. Boundaries, in ms, are a short list, as in
+    `cut_after`. Each track's are merged with its segments and counted: a window,
+    no join."""
+    listed = F.array(*[F.lit(b).cast("bigint") for b in sorted({int(b) for b in boundaries})]).cast("array<bigint>")
+    edges = segments.select(track).distinct().select(track, F.explode(listed).alias("at"), F.lit(0).alias("n"))
+    merged = segments.select(track, F.col(start_ms).cast("bigint").alias("at"), F.lit(1).alias("n")).union(edges)
     before = Window.partitionBy(track).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0)
     return merged.withColumn("position", F.sum("n").over(before)).filter("n = 0").select(track, F.col("at").alias("boundary"), F.col("position").cast("bigint").alias("position"))
 
@@ -53,7 +59,8 @@ def served_groups(segments: DataFrame, minimum_ms: int, boundaries: Sequence[int
     track; a short tail stays. minimum_ms 0 gives every segment its own group
     and no heed to boundaries. Groups restart at cuts, so the fold runs per
     (track, cut span); its memory is one span. The fold keeps the places where
-    groups start, which are then sliced out: linear in the segments."""
+    groups start, which are then sliced out. It goes by stretches of STRETCH
+    segments, so that appending a place copies a stretch's places at most."""
     if minimum_ms == 0:
         groups = segments.select(track, F.col(order).alias("first_order"), F.col(start).alias("start"), F.col(end).alias("end"), F.col(start_ms).alias("start_ms"), F.col(end_ms).alias("end_ms"), F.col(size).cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("n_segments"))
     else:
@@ -69,8 +76,13 @@ def served_groups(segments: DataFrame, minimum_ms: int, boundaries: Sequence[int
             since = F.coalesce(s["open"], x["sm"].cast("bigint"))
             return F.struct((s["i"] + 1).alias("i"), F.when(x["em"] - since >= minimum_ms, none).otherwise(since).alias("open"), F.when(opens, F.array_append(s["starts"], s["i"])).otherwise(s["starts"]).alias("starts"))
 
-        seed = F.struct(F.lit(0).alias("i"), none.alias("open"), F.array().cast("array<int>").alias("starts"))
-        starts = held.withColumn("starts", F.aggregate("a", seed, step)["starts"])
+        def stretch(s: Column, part: Column) -> Column:
+            seed = F.struct(s["i"].alias("i"), s["open"].alias("open"), F.array().cast("array<int>").alias("starts"))
+            return let(F.aggregate(part, seed, step), lambda r: F.struct(r["i"].alias("i"), r["open"].alias("open"), F.array_append(s["parts"], r["starts"]).alias("parts")))
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("a") - 1) / STRETCH).cast("int")), lambda k: F.slice("a", k * STRETCH + 1, STRETCH))
+        seed = F.struct(F.lit(0).alias("i"), none.alias("open"), F.array().cast("array<array<int>>").alias("parts"))
+        starts = held.withColumn("starts", F.flatten(F.aggregate(parts, seed, stretch)["parts"]))
         pieces = F.transform("starts", lambda s, k: F.slice("a", s + 1, F.coalesce(F.get("starts", k + 1), F.size("a")) - s))
         g = starts.select(track, F.explode(pieces).alias("g")).select(track, F.element_at("g", 1).alias("f"), F.element_at("g", -1).alias("l"), F.aggregate("g", F.lit(0).cast("bigint"), lambda n, x: n + x["sz"]).alias("bytes"), F.size("g").cast("bigint").alias("n_segments"))
         groups = g.select(track, F.col("f.o").alias("first_order"), F.col("f.st").alias("start"), F.col("l.en").alias("end"), F.col("f.sm").alias("start_ms"), F.col("l.em").alias("end_ms"), "bytes", "n_segments")
@@ -149,21 +161,28 @@ def period_relationships(pieces: DataFrame, timescale: int, track: str = "track"
     else "connected"; null without a previous period."""
     offset = F.floor(F.col("period_start") * timescale / 1000).cast("bigint")
     rows = pieces.withColumn("offset", offset)
-    each = rows.groupBy(track, "period_id", "offset").agg(F.collect_set(end).alias("ends"), F.bool_or(F.col(start) == F.col("offset")).alias("starts"))
-    emitted = pieces.select("period_id").distinct()
-    order = emitted.select("period_id", F.lag("period_id").over(Window.orderBy("period_id")).alias("_before"))
+    # The periods that were emitted, with their neighbours: few, one array.
+    emitted = rows.agg(F.array_sort(F.collect_set(F.struct("period_id", "offset"))).alias("p")).select("p", F.posexplode("p").alias("i", "own"))
+    at = lambda i, name: F.when(i >= 0, F.get("p", i))[name]
+    order = emitted.select(F.col("own.period_id").alias("period_id"), at(F.col("i") - 1, "period_id").alias("_before"), at(F.col("i") + 1, "offset").alias("_next"))
+    each = rows.join(order, "period_id").groupBy(track, "period_id", "offset", "_before").agg(F.bool_or(F.col(end) == F.col("_next")).alias("_reaches"), F.bool_or(F.col(start) == F.col("offset")).alias("_starts"))
     w = Window.partitionBy(track).orderBy("period_id")
-    linked = each.join(F.broadcast(order), "period_id").withColumns({"_own": F.lag("period_id").over(w), "_ends": F.lag("ends").over(w)})
+    linked = each.withColumns({"_own": F.lag("period_id").over(w), "_reached": F.lag("_reaches").over(w)})
     has = F.col("_own") == F.col("_before")
-    joined = F.col("starts") & F.array_contains("_ends", F.col("offset"))
+    joined = F.col("_starts") & F.coalesce("_reached", F.lit(False))
     return linked.select(track, "period_id", F.when(has, F.col("_own")).alias("previous_period"), "offset", F.when(has, F.when(joined, "continuous").otherwise("connected")).alias("relation"))
 
 
-def number_shift(segments: DataFrame, pieces: DataFrame, first_number: int = 1, track: str = "track", order: str = "idx") -> DataFrame:
+def numbered(segments: DataFrame, track: str = "track", order: str = "idx") -> DataFrame:
+    """segments with `number`, from 0, in each track: for `number_shift`."""
+    return segments.withColumn("number", (F.row_number().over(_ordered(track, order)) - 1).cast("bigint"))
+
+
+def number_shift(pieces: DataFrame, first_number: int = 1, track: str = "track") -> DataFrame:
     """(track, period_id, start_number): the first number plus the segments
-    that come before the period's first one."""
-    counted = segments.select(track, order, (F.row_number().over(_ordered(track, order)) - 1).alias("_n"))
-    return pieces.select(track, order, "period_id").join(counted, [track, order]).groupBy(track, "period_id").agg((F.min("_n") + first_number).cast("bigint").alias("start_number"))
+    that come before the period's first one. pieces: `numbered` segments by
+    period, as `overlap` gives them."""
+    return pieces.groupBy(track, "period_id").agg((F.min("number") + first_number).cast("bigint").alias("start_number"))
 
 
 def cue_samples(parts: DataFrame, cues: DataFrame, bucket_ms: int, track: str = "track") -> DataFrame:

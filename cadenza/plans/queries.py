@@ -13,6 +13,7 @@ from cadenza.operators import timeline as L
 from cadenza.plans import filters, playlists
 from cadenza.plans.tables import BOUNDARIES, CUES, DAY, HALF_DAY, SEGMENTS, START, TIMESCALE, TRACKS, cues, segments, table, tracks
 from cadenza.sources import webvtt
+from cadenza.sources.languages import with_language_names
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -77,7 +78,7 @@ def segment_index(spark, sf_dir):
 
 @query(f"WITH {SEGMENTS}, b(boundary) AS (VALUES {EDGES}) SELECT track, boundary, count(*) FILTER (sm < boundary) AS position FROM seg CROSS JOIN b GROUP BY ALL")
 def boundary_snap(spark, sf_dir):
-    return L.snapped(segments(spark, sf_dir), spark.createDataFrame([(b,) for b in BOUNDARIES], "ms bigint"))
+    return L.snapped(segments(spark, sf_dir), BOUNDARIES)
 
 
 @query(f"WITH {GREEDY}, r AS (SELECT *, {BITS.format(b='bytes', d='(\"end\" - \"start\")')} AS br FROM served) SELECT track, max(br) AS max_bitrate, {BITS.format(b='sum(bytes)', d='CAST(sum(\"end\" - \"start\") AS BIGINT)')} AS avg_bitrate FROM r GROUP BY track")
@@ -109,14 +110,14 @@ def timeline_rle(spark, sf_dir):
     return runs.groupBy("track", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
-#: Every seventh row is dropped and times are cut to quarter days, so that there are gaps and repeats.
-COARSE = f"{SEGMENTS}, q AS (SELECT track, idx, idx * 6 AS st, idx * 6 + CASE WHEN sz % 4 = 0 THEN 5 ELSE 6 END AS en FROM seg WHERE idx % 7 <> 3)"
+#: Times are cut to quarter days and slip after every seventh row, so that there are gaps and repeats.
+COARSE = f"{SEGMENTS}, q AS (SELECT track, idx, idx * 6 + idx // 7 AS st, idx * 6 + idx // 7 + CASE WHEN sz % 4 = 0 THEN 5 ELSE 6 END AS en FROM seg)"
 RUNS = f"""{COARSE}, f AS (SELECT *, en - st AS d, (lag(en) OVER w IS DISTINCT FROM st) AS gap, lag(en - st) OVER w AS pd FROM q WINDOW w AS (PARTITION BY track ORDER BY idx)), g AS (SELECT *, sum(CASE WHEN gap OR pd <> d THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY idx) - 1 AS run FROM f)"""
 
 
 def _coarse(spark, sf_dir):
-    s = segments(spark, sf_dir).filter("idx % 7 <> 3")
-    return s.select("track", "idx", (F.col("idx") * 6).alias("st"), (F.col("idx") * 6 + F.when(F.col("sz") % 4 == 0, 5).otherwise(6)).cast("bigint").alias("en"))
+    st = F.col("idx") * 6 + F.expr("idx div 7")
+    return segments(spark, sf_dir).select("track", "idx", st.alias("st"), (st + F.when(F.col("sz") % 4 == 0, 5).otherwise(6)).cast("bigint").alias("en"))
 
 
 @query(f"WITH {RUNS} SELECT track, CAST(run AS BIGINT) AS run, CASE WHEN arg_min(gap, idx) THEN min(st) END AS t, any_value(d) AS d, CASE WHEN count(*) > 1 THEN count(*) - 1 END AS r FROM g GROUP BY track, run")
@@ -141,14 +142,14 @@ def period_overlap(spark, sf_dir):
 
 
 #: A timeline that touches midnights: hours, six-hour steps, every fifth day left out.
-STEPS = f"st6 AS (SELECT c_custkey AS track, CAST(i AS BIGINT) AS idx, {START} + i * 21600000 AS sm, {START} + i * 21600000 + CASE WHEN (i + c_custkey) % 3 = 0 THEN 18000000 ELSE 21600000 END AS em FROM customer CROSS JOIN range(40) t(i) WHERE c_custkey % 10 = 1 AND (i // 4) % 5 <> 2)"
+STEPS = f"st6 AS (SELECT c_custkey AS track, CAST(i AS BIGINT) AS idx, {START} + i * 21600000 AS sm, {START} + i * 21600000 + CASE WHEN (i + c_custkey) % 3 = 0 THEN 18000000 ELSE 21600000 END AS em FROM customer CROSS JOIN range(40) t(i) WHERE (i // 4) % 5 <> 2)"
 LINKS = f"""{STEPS}, {PERIODS}, x AS (SELECT track, idx, sm, em, period_id, period_start FROM st6 JOIN per ON sm < period_end AND period_start < em),
 em0 AS (SELECT period_id, lag(period_id) OVER (ORDER BY period_id) AS b FROM (SELECT DISTINCT period_id FROM x)),
 g AS (SELECT x.track, x.period_id, any_value(em0.b) AS b, any_value(period_start) AS ps, bool_or(sm = period_start) AS starts, list(em) AS ends FROM x JOIN em0 USING (period_id) GROUP BY x.track, x.period_id)"""
 
 
 def _steps(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 1").select(F.col("c_custkey").alias("track"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("idx")).filter("(idx div 4) % 5 <> 2")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("idx")).filter("(idx div 4) % 5 <> 2")
     sm = F.col("idx") * 21_600_000 + START
     em = sm + F.when((F.col("idx") + F.col("track")) % 3 == 0, 18_000_000).otherwise(21_600_000)
     return c.select("track", "idx", sm.alias("sm"), em.alias("em"))
@@ -162,10 +163,9 @@ def period_relationship(spark, sf_dir):
 
 @query(f"WITH {STEPS}, {PERIODS}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY idx) - 1 AS k FROM st6) SELECT track, period_id, min(k) + 1 AS start_number, any_value(period_start - {START}) * 90 AS slid FROM n JOIN per ON sm < period_end AND period_start < em GROUP BY track, period_id")
 def template_shift(spark, sf_dir):
-    s = _steps(spark, sf_dir)
-    numbers = L.number_shift(s, L.overlap(s, _days(spark), DAY))
+    numbers = L.number_shift(L.overlap(L.numbered(_steps(spark, sf_dir)), _days(spark), DAY))
     slid = X.floor_div((F.col("start_ms") - START) * 90_000, F.lit(1000))
-    return numbers.join(F.broadcast(_days(spark)), "period_id").select("track", "period_id", "start_number", slid.alias("slid"))
+    return numbers.join(_days(spark), "period_id").select("track", "period_id", "start_number", slid.alias("slid"))
 
 
 PARTS = f"""{CUES}, edge AS (SELECT DISTINCT track, e FROM (SELECT track, start_ms AS e FROM cue UNION ALL SELECT track, end_ms FROM cue UNION ALL SELECT track, 0 FROM cue)), parts AS (SELECT track, e AS "start", lead(e) OVER (PARTITION BY track ORDER BY e) AS "end" FROM edge), part2 AS (SELECT * FROM parts WHERE "end" IS NOT NULL)"""
@@ -202,11 +202,11 @@ def text_grid(spark, sf_dir):
 KEY = "CASE type WHEN 'video' THEN concat_ws(':', type, split_part(codec, '.', 1), timescale) WHEN 'audio' THEN concat_ws(':', type, split_part(codec, '.', 1), timescale, language, coalesce(role, ''), sample_rate, channels) ELSE concat_ws(':', type, split_part(codec, '.', 1), timescale, language, coalesce(role, '')) END"
 
 
-@query(f"WITH {TRACKS}, k AS (SELECT *, {KEY} AS key FROM trk) SELECT row_number() OVER (ORDER BY min(pos)) - 1 AS group_id, key, min(pos) AS first_pos, string_agg(id, ',' ORDER BY pos) AS members FROM k GROUP BY key")
+@query(f"WITH {TRACKS}, k AS (SELECT *, {KEY} AS key FROM trk) SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY min(pos)) - 1 AS group_id, key, min(pos) AS first_pos, string_agg(id, ',' ORDER BY pos) AS members FROM k GROUP BY asset, key")
 def adaptation_groups(spark, sf_dir):
     c = F.col
     key = X.adaptation_key(c("type"), c("codec"), c("timescale"), c("language"), c("role"), c("sample_rate"), c("channels"))
-    return R.ordered_groups(tracks(spark, sf_dir), key).withColumn("members", F.array_join("members", ","))
+    return R.ordered_groups(tracks(spark, sf_dir), key, ["asset"]).withColumn("members", F.array_join("members", ","))
 
 
 @query(f"WITH {TRACKS} SELECT asset, coalesce(arg_min(id, (width, pos)) FILTER (width >= 1000), arg_min(id, (-width, pos))) AS source_id FROM trk WHERE width IS NOT NULL GROUP BY asset")
@@ -222,13 +222,9 @@ def default_rendition(spark, sf_dir):
     return R.default_audio(tracks(spark, sf_dir), ["asset"])
 
 
-def _sql_case(key: str, table: dict[str, str], otherwise: str = "NULL") -> str:
-    return f"CASE {key} " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in table.items()) + f" ELSE {otherwise} END"
-
-
-NAME = _sql_case("lower(split_part(language, '-', 1))", X.LANGUAGES, "language")
-TRAITS = _sql_case("role", X.ROLE_CHARACTERISTICS)
-LABEL = _sql_case("role", X.ROLE_LABELS)
+NAME = "CASE language WHEN 'en' THEN 'English' WHEN 'deu' THEN 'German' WHEN 'fr-CA' THEN 'French' ELSE language END"
+TRAITS = "CASE role WHEN 'description' THEN 'public.accessibility.describes-video' WHEN 'caption' THEN 'public.accessibility.transcribes-spoken-dialog,public.accessibility.describes-music-and-sound' END"
+LABEL = "CASE role WHEN 'main' THEN 'Main' WHEN 'caption' THEN 'Captions' WHEN 'description' THEN 'Audio Description' END"
 
 
 @query(f"WITH {TRACKS}, d AS (SELECT asset, {DEFAULT} AS did FROM trk GROUP BY asset), m AS (SELECT t.*, {TRAITS} AS traits, coalesce(role = 'forced-subtitle', false) AS forced, coalesce(id = did, false) AS is_default FROM trk t JOIN d USING (asset) WHERE type IN ('audio', 'text')) SELECT asset, pos, id, CASE type WHEN 'audio' THEN 'AUDIO' ELSE 'SUBTITLES' END AS media_type, CASE type WHEN 'audio' THEN 'audio' ELSE 'subtitles' END AS group_name, language, {NAME} || CASE WHEN role IS NULL THEN '' ELSE ' (' || {LABEL} || ')' END AS name, is_default, is_default OR count(*) OVER (PARTITION BY asset, type, language, forced, traits) = 1 AS autoselect, forced, traits AS characteristics, CASE type WHEN 'audio' THEN CAST(channels AS VARCHAR) END AS channels FROM m")
@@ -364,13 +360,13 @@ def dash_roles(spark, sf_dir):
     return tracks(spark, sf_dir).select("id", X.dash_role(F.col("type"), F.col("role")).alias("dash_role"), X.dash_accessibility(F.col("type"), F.col("role")).alias("accessibility"), X.mime_type(F.col("type")).alias("mime"))
 
 
-@query("""WITH s AS (SELECT c_name AS path, c_custkey AS p, c_mktsegment AS language, CAST(c_nationkey AS VARCHAR) AS role FROM customer WHERE c_custkey % 3 <> 0), g AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_name || '-new' ELSE c_name END AS path, c_custkey AS p, CASE WHEN c_custkey % 4 = 0 THEN 'nl' END AS language, CASE WHEN c_custkey % 7 = 0 THEN 'main' END AS role FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT coalesce(s.path, g.path) AS path, coalesce(g.language, s.language) AS language, coalesce(g.role, s.role) AS role, s.p IS NULL AS nw, coalesce(s.p, g.p) AS place FROM s FULL JOIN g ON s.path = g.path) SELECT path, language, role, row_number() OVER (ORDER BY nw, place) - 1 AS pos FROM f""")
+#: A nation's customers are the tracks of its descriptor; a third is not in it yet, and half are given anew.
+@query("""WITH s AS (SELECT c_nationkey AS asset, c_name AS path, c_custkey AS p, c_mktsegment AS language, CAST(c_nationkey AS VARCHAR) AS role FROM customer WHERE c_custkey % 3 <> 0), g AS (SELECT c_nationkey AS asset, CASE WHEN c_custkey % 5 = 0 THEN c_name || '-new' ELSE c_name END AS path, c_custkey AS p, CASE WHEN c_custkey % 4 = 0 THEN 'nl' END AS language, CASE WHEN c_custkey % 7 = 0 THEN 'main' END AS role FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0), f AS (SELECT coalesce(s.asset, g.asset) AS asset, coalesce(s.path, g.path) AS path, coalesce(g.language, s.language) AS language, coalesce(g.role, s.role) AS role, s.p IS NULL AS nw, coalesce(s.p, g.p) AS place FROM s FULL JOIN g ON s.asset = g.asset AND s.path = g.path) SELECT asset, path, language, role, row_number() OVER (PARTITION BY asset ORDER BY nw, place) - 1 AS pos FROM f""")
 def descriptor_upsert(spark, sf_dir):
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    stored = c.filter(k % 3 != 0).select(F.col("c_name").alias("path"), k.alias("pos"), F.col("c_mktsegment").alias("language"), F.col("c_nationkey").cast("string").alias("role"))
-    given = c.filter(k % 2 == 0).select(F.when(k % 5 == 0, F.concat("c_name", F.lit("-new"))).otherwise(F.col("c_name")).alias("path"), k.alias("pos"), F.when(k % 4 == 0, "nl").alias("language"), F.when(k % 7 == 0, "main").alias("role"))
-    out = R.upserted(stored, given, "path", ["language", "role"])
-    return out.select("path", "language", "role", (F.row_number().over(Window.orderBy("rank")) - 1).cast("bigint").alias("pos"))
+    c, k = table(spark, sf_dir, "customer").withColumn("asset", F.col("c_nationkey")), F.col("c_custkey")
+    stored = c.filter(k % 3 != 0).select("asset", F.col("c_name").alias("path"), k.alias("pos"), F.col("c_mktsegment").alias("language"), F.col("c_nationkey").cast("string").alias("role"))
+    given = c.filter((k % 2 == 0) | (k % 3 == 0)).select("asset", F.when(k % 5 == 0, F.concat("c_name", F.lit("-new"))).otherwise(F.col("c_name")).alias("path"), k.alias("pos"), F.when(k % 4 == 0, "nl").alias("language"), F.when(k % 7 == 0, "main").alias("role"))
+    return R.upserted(stored, given, ["asset"], "path", ["language", "role"])
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS pos, r_name AS name FROM region UNION ALL SELECT CAST(n_nationkey + 5 AS BIGINT), n_name FROM nation")
@@ -386,9 +382,9 @@ def codec_union(spark, sf_dir):
     return tracks(spark, sf_dir).groupBy("asset").agg(F.array_join(R.ordered_union(of(audio), of(~audio)), ",").alias("codecs"))
 
 
-@query(f"SELECT doc_id, lang, {_sql_case('lang', X.LANGUAGES, 'lang')} AS name FROM documents")
+@query("SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS name FROM documents")
 def language_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", X.language_name(F.col("lang")).alias("name"))
+    return with_language_names(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang")
 
 
 @query(f"WITH {GREEDY}, l AS (SELECT *, CAST(((\"end\" - \"start\") * 1000 + 500000) // 1000000 AS BIGINT) AS ms FROM served) SELECT track, '#EXTM3U\n#EXT-X-VERSION:6\n#EXT-X-TARGETDURATION:' || max(((\"end\" - \"start\") + 500000) // 1000000) || '\n#EXT-X-PLAYLIST-TYPE:VOD\n' || count(*) || ' entries' AS head FROM l GROUP BY track")
@@ -404,11 +400,11 @@ def timeline_xml(spark, sf_dir):
     return playlists.timeline_xml(L.run_length_encoded(_coarse(spark, sf_dir)))
 
 
-@query(f"WITH {GREEDY} SELECT track, group_id, \"start\", bytes FROM served WHERE track % 3 = 0 AND \"start\" % 2 = 0")
+@query(f"WITH {GREEDY} SELECT served.track, group_id, \"start\", bytes FROM served JOIN seg ON seg.track = served.track AND seg.st = served.\"start\"")
 def segment_lookup(spark, sf_dir):
-    g = _served(spark, sf_dir)
-    wanted = segments(spark, sf_dir).filter("track % 3 = 0 and st % 2 = 0").select("track", F.col("st").alias("start"))
-    return g.join(wanted, ["track", "start"], "left_semi").select("track", "group_id", "start", "bytes")
+    """Every segment's start is asked for; those inside a group find none."""
+    wanted = segments(spark, sf_dir).select("track", F.col("st").alias("start"))
+    return _served(spark, sf_dir).join(wanted, ["track", "start"]).select("track", "group_id", "start", "bytes")
 
 
 @query(f"WITH {TRACKS} SELECT pos, id, 40 * (1 + pos % 9) AS sprite_width, CASE WHEN width > 0 THEN (40 * (1 + pos % 9) * height // width) - (40 * (1 + pos % 9) * height // width) % 3 ELSE 0 END AS sprite_height, greatest(1, (40 * (1 + pos % 9) * height * 1000 + pos * 7 - 1) // (pos * 7)) AS bandwidth FROM trk WHERE type = 'video'")

@@ -1,16 +1,19 @@
 """Headers of fragmented MP4 files: a row per file, then segments in Spark.
 
-Only the boxes moov, sidx and moof are looked at; the walk over a file's top
-level ends when all three are there. What they hold becomes columns; offsets,
-times, codec strings and checks are column expressions from there on.
+Of a file only the headers of its top-level boxes are read, and the bodies of
+moov, sidx and moof; the walk ends when all three are there. So what is read
+does not grow with the media in a file, and a file may be of any size. What the
+boxes hold becomes columns; offsets, times, codec strings and checks are column
+expressions from there on.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +52,47 @@ def child(data: memoryview, at: int, end: int, *path: str) -> tuple[int, int] |
     return at, end
 
 
-def header(content: bytes) -> dict:
-    """The columns of HEADER, but for path, of one file's bytes."""
-    data, found = memoryview(content), {}
-    for kind, start, body, end in walk(data, 0, len(data)):
-        if kind in ("moov", "sidx", "moof"):
-            found[kind] = (body, end)
-            if len(found) == 3:
-                break
-    if missing := {"moov", "sidx", "moof"} - found.keys():
+#: Boxes that a header needs.
+NEEDED = ("moov", "sidx", "moof")
+#: (offset, size) -> bytes, as many as there are.
+Reader = Callable[[int, int], bytes]
+
+
+def top_level(read: Reader, length: int) -> dict[str, tuple[int, bytes]]:
+    """The end in the file and the body of each box of NEEDED; the last of
+    those that come before all three are there. ValueError if one is missing or
+    cut short."""
+    found: dict[str, tuple[int, bytes]] = {}
+    at = 0
+    while at < length and len(found) < len(NEEDED):
+        head = read(at, 16)
+        if len(head) < 8:
+            raise ValueError(f"box header cut short at {at}")
+        size, kind = struct.unpack_from(">I4s", head)
+        body = at + 8
+        if size == 1:
+            if len(head) < 16:
+                raise ValueError(f"box header cut short at {at}")
+            (size,) = struct.unpack_from(">Q", head, 8)
+            body += 8
+        stop = length if size == 0 else at + size
+        if stop > length or stop < body:
+            raise ValueError(f"box {kind!r} at {at} is cut short")
+        if (name := kind.decode("latin-1")) in NEEDED:
+            found[name] = stop, read(body, stop - body)
+        at = stop
+    if missing := set(NEEDED) - found.keys():
         raise ValueError(f"no {', '.join(sorted(missing))}")
-    return {"init_end": found["moov"][1], **_movie(data, *found["moov"]), **_index(data, *found["sidx"]), **_duration(data, found)}
+    return found
+
+
+def header(content: bytes | None, read: Reader | None = None, length: int = 0) -> dict:
+    """The columns of HEADER, but for path, of one file's bytes or reader."""
+    if read is None:
+        length, read = len(content), lambda at, n: content[at : at + n]
+    found = top_level(read, length)
+    moov, sidx, moof = (memoryview(found[k][1]) for k in NEEDED)
+    return {"init_end": found["moov"][0], **_movie(moov, 0, len(moov)), **_index(sidx, found["sidx"][0]), **_duration(moov, moof)}
 
 
 def _movie(data: memoryview, at: int, end: int) -> dict:
@@ -110,8 +143,8 @@ def _specific(raw: bytes) -> int:
     raise ValueError("no decoder settings")
 
 
-def _index(data: memoryview, at: int, end: int) -> dict:
-    wide = data[at] > 0
+def _index(data: memoryview, end: int) -> dict:
+    at, wide = 0, data[0] > 0
     timescale, = struct.unpack_from(">I", data, at + 8)
     earliest, first = struct.unpack_from(">QQ" if wide else ">II", data, at + 12)
     at += 28 if wide else 20
@@ -123,40 +156,63 @@ def _index(data: memoryview, at: int, end: int) -> dict:
     return {"sidx_timescale": timescale, "earliest": earliest, "first_byte": end + first, "refs": refs}
 
 
-def _duration(data: memoryview, found: dict) -> dict:
+def _duration(moov: memoryview, moof: memoryview) -> dict:
     """The first sample's duration: its own, the fragment's, or the movie's."""
-    traf = child(data, *found["moof"], "traf")
-    if traf and (run := child(data, *traf, "trun")):
-        flags = int.from_bytes(data[run[0] + 1 : run[0] + 4])
+    traf = child(moof, 0, len(moof), "traf")
+    if traf and (run := child(moof, *traf, "trun")):
+        flags = int.from_bytes(moof[run[0] + 1 : run[0] + 4])
         if flags & 0x100:
-            return {"sample_duration": struct.unpack_from(">I", data, run[0] + 8 + 4 * bool(flags & 1) + 4 * bool(flags & 4))[0]}
-    if traf and (head := child(data, *traf, "tfhd")):
-        flags = int.from_bytes(data[head[0] + 1 : head[0] + 4])
+            return {"sample_duration": struct.unpack_from(">I", moof, run[0] + 8 + 4 * bool(flags & 1) + 4 * bool(flags & 4))[0]}
+    if traf and (head := child(moof, *traf, "tfhd")):
+        flags = int.from_bytes(moof[head[0] + 1 : head[0] + 4])
         if flags & 8:
-            return {"sample_duration": struct.unpack_from(">I", data, head[0] + 8 + 8 * bool(flags & 1) + 4 * bool(flags & 2))[0]}
-    trex = child(data, *found["moov"], "mvex", "trex")
-    return {"sample_duration": struct.unpack_from(">I", data, trex[0] + 12)[0] if trex else None}
+            return {"sample_duration": struct.unpack_from(">I", moof, head[0] + 8 + 8 * bool(flags & 1) + 4 * bool(flags & 2))[0]}
+    trex = child(moov, 0, len(moov), "mvex", "trex")
+    return {"sample_duration": struct.unpack_from(">I", moov, trex[0] + 12)[0] if trex else None}
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """A HEADER row for each row (path, content) of files. A malformed file raises."""
+def _batch(rows: list[dict]) -> pa.RecordBatch:
     names = [c.split(" ")[0] for c in ("path", "timescale", "handler", "entry", "language", "width", "height", "channels", "sample_rate", "config", "sample_duration", "init_end", "sidx_timescale", "earliest", "first_byte", "refs")]
     reference = pa.struct([("idx", pa.int64()), ("size", pa.int64()), ("duration", pa.int64()), ("media", pa.bool_()), ("sap", pa.bool_())])
     kinds = {"path": pa.string(), "handler": pa.string(), "entry": pa.string(), "language": pa.string(), "config": pa.list_(pa.int32()), "refs": pa.list_(reference)}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.int64())) for n in names], names=names)
+
+
+def _of(path: str, *source) -> dict:
+    try:
+        return {"path": path, **header(*source)}
+    except (ValueError, struct.error, IndexError) as e:
+        raise ValueError(f"{path}: {e}") from e
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """A HEADER row for each row (path, content) of files that are in memory. A
+    malformed file raises."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows.append({"path": path, **header(content)})
-                except (ValueError, struct.error, IndexError) as e:
-                    raise ValueError(f"{path}: {e}") from e
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.int64())) for n in names], names=names)
+            yield _batch([_of(path, content) for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
     return validated(files.select("path", "content").mapInArrow(scan, HEADER))
 
 
+def stored_headers(files: DataFrame) -> DataFrame:
+    """A HEADER row for each row (path, length) of stored files, of which tasks
+    read the ranges that a header needs. Paths are what pyarrow's file systems
+    know (local files, HDFS, S3, GCS). A malformed file raises."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, at = pyarrow.fs.FileSystem.from_uri(path)
+                with fs.open_input_file(at) as f:
+                    rows.append(_of(path, None, lambda at, n, f=f: f.read_at(n, at), length))
+            yield _batch(rows)
+
+    return validated(files.select("path", "length").mapInArrow(scan, HEADER))
+
+
 def validated(rows: DataFrame) -> DataFrame:
     """rows, whose use raises where a header can't be served from."""
     fail = lambda text: F.raise_error(F.concat("path", F.lit(f": {text}")))
@@ -170,8 +226,14 @@ def validated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("refs", checks.otherwise(F.col("refs")))
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files under path; none of their bytes are read."""
+    local = F.regexp_replace("path", "^file:/(?!/)", "file:///")
+    return spark.read.format("binaryFile").load(path).select(local.alias("path"), "length")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return headers(spark.read.format("binaryFile").load(path).select("path", "content"))
+    return stored_headers(listed(spark, path))
 
 
 def codec(entry=None, config=None):
@@ -210,8 +272,25 @@ def segments(rows: DataFrame) -> DataFrame:
 
 def ranged(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """(path, idx, data): the bytes of each range (path, idx, start_byte,
-    end_byte); a range past the end raises."""
+    end_byte) of files in memory (path, content); a range past the end raises."""
     rows = ranges.join(files.select("path", "content"), "path")
     data = F.substring("content", (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
     inside = F.col("end_byte") <= F.length("content")
     return rows.select("path", "idx", F.when(inside, data).otherwise(F.raise_error(F.lit("the range ends past the file"))).alias("data"))
+
+
+def stored_ranges(ranges: DataFrame) -> DataFrame:
+    """(path, idx, data) as `ranged`, of stored files; tasks read the ranges,
+    which may lie anywhere in a file of any size."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, idx, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, at = pyarrow.fs.FileSystem.from_uri(path)
+                with fs.open_input_file(at) as f:
+                    data = f.read_at(end - start, start)
+                if len(data) < end - start:
+                    raise ValueError(f"{path}: the range ends past the file")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([idx], pa.int64()), pa.array([data], pa.binary())], names=["path", "idx", "data"])
+
+    return ranges.select("path", F.col("idx").cast("bigint").alias("idx"), "start_byte", "end_byte").mapInArrow(fetch, "path string, idx bigint, data binary")

@@ -17,6 +17,9 @@ TRACK = T.StructType(
 DESCRIPTOR = T.StructType([T.StructField("$schema", T.StringType()), T.StructField("boundaries", T.ArrayType(T.LongType())), T.StructField("tracks", T.ArrayType(TRACK))])
 
 
+TYPES = ("video", "audio", "text", "thumbnail")
+
+
 def parsed(documents: DataFrame, content: str = "content") -> DataFrame:
     """documents with `asset`, the descriptor. An unknown key at the top, an
     unknown type or role, or broken JSON raises; unknown keys of tracks are
@@ -25,7 +28,7 @@ def parsed(documents: DataFrame, content: str = "content") -> DataFrame:
     known = F.forall(keys, lambda k: k.isin("$schema", "boundaries", "tracks"))
     asset = F.when(F.coalesce(known, F.lit(False)), F.from_json(content, DESCRIPTOR, {"mode": "FAILFAST"})).otherwise(F.raise_error(F.lit("not a descriptor")))
     rows = documents.withColumn("asset", asset)
-    good = F.forall("asset.tracks", lambda t: t["type"].isin("video", "audio", "text", "thumbnail") & (t["role"].isNull() | t["role"].isin(*ROLE_LABELS)))
+    good = F.forall("asset.tracks", lambda t: t["type"].isin(*TYPES) & (t["role"].isNull() | t["role"].isin(*ROLE_LABELS)))
     tracks = F.transform(F.when(F.coalesce(good, F.lit(True)), F.coalesce(F.col("asset.tracks"), F.array())).otherwise(F.raise_error(F.lit("unknown type or role"))), lambda t: t.withField("language", F.when(t["type"].isin("audio", "text"), F.coalesce(t["language"], F.lit("und")))))
     return rows.withColumn("asset", F.struct(F.col("asset.`$schema`").alias("$schema"), F.coalesce(F.col("asset.boundaries"), F.array().cast("array<bigint>")).alias("boundaries"), tracks.alias("tracks")))
 
@@ -36,8 +39,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tracks_of(assets: DataFrame) -> DataFrame:
-    """One row per track, with its place `pos` and `kind` (cmaf, webvtt or thumbnail)."""
-    rows = assets.select("path", F.posexplode("asset.tracks").alias("pos", "t")).select("path", F.col("pos").cast("bigint").alias("pos"), "t.*")
+    """One row per track, with its descriptor's path, its place `pos` and `kind` (cmaf, webvtt or thumbnail)."""
+    rows = assets.select(F.col("path").alias("descriptor"), F.posexplode("asset.tracks").alias("pos", "t")).select("descriptor", F.col("pos").cast("bigint").alias("pos"), "t.*")
     kind = F.when(F.col("type") == "thumbnail", "thumbnail").when(F.col("format") == "webvtt", "webvtt").otherwise("cmaf")
     return rows.withColumn("kind", kind)
 
@@ -48,7 +51,22 @@ def written_json(assets: DataFrame) -> DataFrame:
 
 
 def json_schema() -> str:
-    return json.dumps(json.loads(DESCRIPTOR.json()), indent=2)
+    """The JSON Schema of a descriptor."""
+    plain = {"string": {"type": "string"}, "integer": {"type": "integer", "minimum": 0}, "long": {"type": "integer", "minimum": 0}}
+
+    def of(kind) -> dict:
+        if isinstance(kind, T.ArrayType):
+            return {"type": "array", "items": of(kind.elementType)}
+        if isinstance(kind, T.StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in kind.fields}}
+        return dict(plain[kind.typeName()])
+
+    top = of(DESCRIPTOR)
+    track = top["properties"]["tracks"]["items"]
+    track["properties"]["type"]["enum"] = list(TYPES)
+    track["properties"]["role"]["enum"] = list(ROLE_LABELS)
+    track["required"] = ["type"]
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "Asset", **top, "additionalProperties": False}, indent=2)
 
 
 def parse_input(text: str) -> dict[str, str]:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from cadenza.plans import file_queries, manifest_queries
 from cadenza.plans import queries as Q
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,13 +25,18 @@ def rows(names, values):
     return sorted(tuple(str(v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+QUERIES = {n: (f, m.oracle_sql()[n]) for m in (Q, manifest_queries, file_queries) for n, f in m.queries().items()}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
-    got = Q.queries()[name](spark, SF_DIR)
-    want = duck.sql(Q.oracle_sql()[name])
+    run, sql = QUERIES[name]
+    got = run(spark, SF_DIR)
+    want = duck.sql(sql)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
 def test_every_query_has_sql():
-    assert set(Q.queries()) == set(Q.oracle_sql())
+    for m in (Q, manifest_queries, file_queries):
+        assert set(m.queries()) == set(m.oracle_sql())

@@ -131,8 +131,8 @@ def test_periods(spark):
 def test_start_number_after_a_boundary(spark):
     rows = [("t", i, i * 4000, i * 4000 + 4000) for i in range(100)]
     segs = spark.createDataFrame(rows, "track string, idx long, sm long, em long")
-    pieces = L.overlap(segs, L.period_spans(spark, [90000], 400000), 60000)
-    got = {r.period_id: r.start_number for r in L.number_shift(segs, pieces).collect()}
+    pieces = L.overlap(L.numbered(segs), L.period_spans(spark, [90000], 400000), 60000)
+    got = {r.period_id: r.start_number for r in L.number_shift(pieces).collect()}
     assert got == {0: 1, 1: 23}
 
 

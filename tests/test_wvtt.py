@@ -30,25 +30,35 @@ def read_samples(content, start, end):
     return out
 
 
-def test_round_trip():
-    content = wvtt.package(SEGMENTS)
+def samples(spark, segments):
+    rows = []
+    for k, (start, parts) in enumerate(segments):
+        for duration, cues in parts:
+            rows.append(("t", 5 * k, start, start + duration, cues))
+            start += duration
+    return spark.createDataFrame(rows, "track string, segment long, start long, end long, active array<string>")
+
+
+def test_round_trip(spark):
+    content = bytes(wvtt.packaged(samples(spark, SEGMENTS)).first()["content"])
     head = boxes.header(content)
     assert (head["handler"], head["entry"], head["timescale"], head["language"]) == ("text", "wvtt", 1000, "und")
     at = head["first_byte"]
-    for ref, (_, samples) in zip(head["refs"], SEGMENTS, strict=True):
-        assert ref["duration"] == sum(d for d, _ in samples) and ref["sap"]
-        assert read_samples(content, at, at + ref["size"]) == samples
+    for ref, (_, parts) in zip(head["refs"], SEGMENTS, strict=True):
+        assert ref["duration"] == sum(d for d, _ in parts) and ref["sap"]
+        assert read_samples(content, at, at + ref["size"]) == parts
         at += ref["size"]
     assert at == len(content)
-    assert len(wvtt.fragment(1, 1, 0, [(1000, ["12345"])])) == 153
+    assert len(wvtt.fragments(samples(spark, [(0, [(1000, ["12345"])])])).first()["fragment"]) == 153
 
 
-def test_guards():
+def test_guards(spark):
     for bad in ({"track_id": 0}, {"timescale": 0}):
         with pytest.raises(ValueError):
-            wvtt.package(SEGMENTS, **bad)
-    with pytest.raises(ValueError):
-        wvtt.package([])
+            wvtt.packaged(samples(spark, SEGMENTS), **bad)
+    with pytest.raises(Exception, match="no time is covered"):
+        wvtt.packaged(samples(spark, [(0, [(0, [])])])).collect()
+    assert wvtt.packaged(samples(spark, SEGMENTS).limit(0)).collect() == []
 
 
 def test_from_document_to_segments(spark):
