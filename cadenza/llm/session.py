@@ -2,38 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from cadenza.sources.stored import fresh_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from
-    `spark.checkpoint.dir`. Where that is unset in local mode (tests), a fresh
-    local folder is set and used; on a cluster that is an error, since each
-    machine would write to its own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts lineage
-    so that a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "partitions", "shared_dir", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
