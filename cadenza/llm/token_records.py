@@ -38,7 +38,7 @@ from cadenza.llm.session import fresh_path, partitions
 MASK_DELTA = 0xA282EAD8
 #: Bytes of encoded words that a worker remembers at most; beyond it starts
 #: afresh. What one of them takes beside its text and ids.
-REMEMBERED_BYTES, ENTRY = 192 << 20, 160
+REMEMBERED_BYTES, ENTRY = 96 << 20, 220
 _FLUSH = 4 << 20
 #: Text that is cut into words at a time.
 _CHUNK = 1 << 20
