@@ -43,7 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Members of a block that is compared with a leader, and members (and probes)
 #: of one that is compared with what is still apart.
-LED, BLOCK = 256, 1000
+LED, BLOCK = 256, 2000
 #: Parts of the hash order in which a comparison counts overlaps.
 PARTS = 8
 
