@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.bm25 import top_k
 from cadenza.llm.decontamination import contaminated_spans
+from cadenza.llm.filter_audit import filter_audit
 from cadenza.llm.html_text import extracted
 from cadenza.llm.jaccard_join import jaccard_classes
 from cadenza.llm.language_id import language_id
@@ -75,9 +76,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_docs(spark, sf_dir))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

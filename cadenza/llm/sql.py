@@ -64,10 +64,24 @@ sp AS (SELECT turn, sum(weight) OVER (ORDER BY finish, turn, e ROWS UNBOUNDED PR
 ps AS (SELECT turn, count(*) AS passes FROM sp WHERE spent <= (SELECT sum(n) FROM s) GROUP BY turn)
 SELECT doc_id, size, source_size, target, size * coalesce(passes, 0) AS taken FROM q LEFT JOIN ps USING (turn), range(copies) c(i)"""
 
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+lb AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, coalesce(regexp_extract_all(t, '{_SPACED}'), []) AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+x AS (SELECT k, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+ [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS f FROM w LEFT JOIN lb USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+p AS (SELECT a.c || b.c || e.c || g.c || h.c AS filter_order FROM l a, l b, l e, l g, l h WHERE length(replace(replace(replace(replace(replace('ABCDE', a.c, ''), b.c, ''), e.c, ''), g.c, ''), h.c, '')) = 0),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, [strpos('ABCDE', filter_order[j]) for j in range(1, step)] AS earlier, strpos('ABCDE', filter_order[step]) AS nxt FROM p, range(1, 6) r(step)),
+c AS (SELECT part, filter_order, step, nxt, len([j for j in earlier if f[j]]) = 0 AS alive, f[nxt] AS fails, len([b for b in f if b]) AS n_fails, good, toxic FROM x, s),
+o AS (SELECT part, filter_order, step, nxt, count(*) FILTER (alive AND NOT fails) AS kept, count(*) FILTER (alive AND fails) AS removed, count(*) FILTER (NOT alive AND fails) AS redundant, count(*) FILTER (fails AND n_fails = 1) AS unique_fails, count(*) FILTER (alive AND fails AND good) AS good_lost, count(*) FILTER (alive AND fails AND toxic) AS toxic_lost FROM c GROUP BY ALL)
+SELECT * EXCLUDE (nxt), CAST(sum(removed) OVER (PARTITION BY part, nxt) AS BIGINT) AS shapley FROM o"""
+
 ORACLES = {
     "op3_decontamination": DECONTAMINATION,
     "op5_ngram_jaccard_join": JACCARD_JOIN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op7_exact_top_k": TOP_K,
     "op10_mix_sources": MIX_SOURCES,
+    "op12_filter_audit": FILTER_AUDIT,
 }

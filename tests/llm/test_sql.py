@@ -10,7 +10,7 @@ from tests.test_oracles import SF_DIR, rows
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     got, want = Q.queries()[name](spark, SF_DIR), c.sql(Q.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
