@@ -15,6 +15,7 @@ from cadenza.llm.html_text import extracted
 from cadenza.llm.jaccard_join import jaccard_classes
 from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
+from cadenza.llm.packing import Limits, pack_documents
 from cadenza.llm.pii import BASE, personal_data, written_spans
 from cadenza.llm.sql import ORACLES
 from cadenza.llm.substring_dedup import deduplicated
@@ -80,9 +81,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), Limits(1024), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources, op12_filter_audit, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
