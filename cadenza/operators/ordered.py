@@ -41,19 +41,20 @@ def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str],
     return summed(rows, groups, "_part", ["_at"], {k: f"_v_{k}" for k in sums}).drop("_part", "_at", *(f"_v_{k}" for k in sums))
 
 
-def summed(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[Column | str], sums: Mapping[str, str]) -> DataFrame:
+def summed(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[Column | str], sums: Mapping[str, str], xors: Mapping[str, str] | None = None) -> DataFrame:
     """rows with running sums by (part, order) in each group, where `part` cuts
-    a group into parts that fit a task."""
+    a group into parts that fit a task. xors: as sums, of exclusive or."""
+    kinds = {k: (v, F.sum) for k, v in sums.items()} | {k: (v, F.bit_xor) for k, v in (xors or {}).items()}
     within = Window.partitionBy(*groups, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*groups, part).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
+    totals = rows.groupBy(*groups, part).agg(*[f(v).alias(f"_t_{k}") for k, (v, f) in kinds.items()])
     before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*groups, part, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
-    inside = rows.withColumns({f"_w_{k}": F.sum(v).over(within) for k, v in sums.items()})
+    totals = totals.select(*groups, part, *[F.coalesce(f(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k, (_, f) in kinds.items()])
+    inside = rows.withColumns({f"_w_{k}": f(v).over(within) for k, (v, f) in kinds.items()})
     same = F.col(f"r.{part}") == F.col(f"t.{part}")
     for g in groups:
         same &= F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}"))
-    joined = inside.alias("r").join(totals.alias("t"), same)
-    return joined.select(*[f"r.{c}" for c in rows.columns], *[(F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+    both = {k: F.col(f"_b_{k}") + F.col(f"_w_{k}") if f is F.sum else F.col(f"_b_{k}").bitwiseXOR(F.col(f"_w_{k}")) for k, (_, f) in kinds.items()}
+    return inside.alias("r").join(totals.alias("t"), same).select(*[f"r.{c}" for c in rows.columns], *[v.alias(k) for k, v in both.items()])
 
 
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], out: str = "number", what: str = "numbered") -> DataFrame:
