@@ -17,6 +17,8 @@ from cadenza.llm.language_id import language_id
 from cadenza.llm.mixing import mix_sources
 from cadenza.llm.packing import Limits, pack_documents
 from cadenza.llm.pii import BASE, personal_data, written_spans
+from cadenza.llm.prefix_trie import ordered_turns, prefix_trie, spliced
+from cadenza.llm.session import written
 from cadenza.llm.sql import ORACLES
 from cadenza.llm.substring_dedup import deduplicated
 from cadenza.llm.token_counts import token_counts
@@ -77,6 +79,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_docs(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "ordered-turns")
+    return prefix_trie(spliced(turns, F.expr("conv - conv % 5"), F.crc32(F.col("conv").cast("string").cast("binary")) % 9))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -87,7 +94,7 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources, op12_filter_audit, op13_best_fit_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_decontamination, op4_pii, op5_ngram_jaccard_join, op6_substring_dedup, op7_exact_top_k, op8_language_id, op9_token_records, op10_mix_sources, op11_conversation_trie, op12_filter_audit, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,11 +77,31 @@ c AS (SELECT part, filter_order, step, nxt, len([j for j in earlier if f[j]]) =
 o AS (SELECT part, filter_order, step, nxt, count(*) FILTER (alive AND NOT fails) AS kept, count(*) FILTER (alive AND fails) AS removed, count(*) FILTER (NOT alive AND fails) AS redundant, count(*) FILTER (fails AND n_fails = 1) AS unique_fails, count(*) FILTER (alive AND fails AND good) AS good_lost, count(*) FILTER (alive AND fails AND toxic) AS toxic_lost FROM c GROUP BY ALL)
 SELECT * EXCLUDE (nxt), CAST(sum(removed) OVER (PARTITION BY part, nxt) AS BIGINT) AS shapley FROM o"""
 
+# The crc32 of the decimal digits, bit by bit.
+_CRC32 = "xor(list_reduce([4294967295] || [CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END for i in range(8 * length(s))], lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+
+CONVERSATION_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, md5(concat(length(r), ':', r, x))) AS p FROM t),
+k AS (SELECT c, c - c % 5 AS base, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)),
+hd AS (SELECT k.c, p, r, x FROM k JOIN o ON o.c = base AND p <= h),
+hn AS (SELECT c, count(*) AS m FROM hd GROUP BY c),
+rb AS (SELECT * FROM hd UNION ALL SELECT o.c, p - h + coalesce(m, 0), r, x FROM o JOIN k USING (c) LEFT JOIN hn USING (c) WHERE p > h),
+e AS (SELECT c, p AS d, strlen(x) AS b, string_agg(concat(length(r), ':', r, length(x), ':', x), '') OVER (PARTITION BY c ORDER BY p) AS beginning FROM rb UNION ALL SELECT c, 0, 0, '' FROM k),
+n AS (SELECT beginning, d, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM e GROUP BY beginning, d),
+up AS (SELECT n.conv_id AS below, n.d, e.beginning FROM n JOIN e ON e.c = n.conv_id AND e.d = n.d - 1),
+kids AS (SELECT beginning, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+sub AS (SELECT e.beginning, e.d, sum((n_convs - 1) * n.b) AS saved, count(*) FILTER (n_children IS NULL) AS n_leaves FROM n LEFT JOIN kids USING (beginning, d) JOIN e ON e.c = n.conv_id AND e.d <= n.d GROUP BY e.beginning, e.d),
+en AS (SELECT beginning, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, d, beginning, max(d) OVER (PARTITION BY c) AS last FROM e) WHERE d = last GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sub USING (beginning, d) LEFT JOIN kids USING (beginning, d) LEFT JOIN en USING (beginning, d) LEFT JOIN up ON up.below = n.conv_id AND up.d = n.d LEFT JOIN n p ON p.beginning = up.beginning AND p.d = n.d - 1"""
+
 ORACLES = {
     "op3_decontamination": DECONTAMINATION,
     "op5_ngram_jaccard_join": JACCARD_JOIN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op7_exact_top_k": TOP_K,
     "op10_mix_sources": MIX_SOURCES,
+    "op11_conversation_trie": CONVERSATION_TRIE,
     "op12_filter_audit": FILTER_AUDIT,
 }
