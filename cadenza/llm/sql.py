@@ -51,18 +51,19 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 
 MIX_SOURCES = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_SPACED}')), 0) AS BIGINT) AS size, md5(concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(source, chr(0)), coalesce(md5(text), chr(0)))) AS turn FROM documents),
-u AS (SELECT turn, doc_id, source, size, count(*) AS copies, size * count(*) AS weight FROM d GROUP BY turn, doc_id, source, size),
-s AS (SELECT source, CAST(sum(weight) AS BIGINT) AS n FROM u GROUP BY source),
+u AS (SELECT *, row_number() OVER (PARTITION BY turn) - 1 AS copy FROM d),
+v AS (SELECT doc_id, source, size, CASE WHEN copy = 0 THEN turn ELSE md5(concat(turn, '/', copy)) END AS place FROM u),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM v GROUP BY source),
 w AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS wt FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY 3 * n / CAST(wt AS DOUBLE), source NULLS LAST) AS k FROM w),
 lv AS (SELECT *, (sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(wt) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM o),
 f AS (SELECT min(k) AS k0, arg_min(level, k) AS level0 FROM lv WHERE level * wt <= 3 * n),
 tg AS (SELECT source, n, CASE WHEN k0 IS NOT NULL AND k >= k0 THEN level0 * wt ELSE CAST(3 * n AS DOUBLE) END AS target FROM lv, f),
-q AS (SELECT u.*, tg.n AS source_size, target, sum(weight) OVER (PARTITION BY u.source ORDER BY turn) AS upto FROM u JOIN tg ON u.source IS NOT DISTINCT FROM tg.source),
-st AS (SELECT turn, weight, e, (e * source_size + upto) / target AS finish FROM q, range(3) r(e) WHERE size > 0 AND target > 0),
-sp AS (SELECT turn, sum(weight) OVER (ORDER BY finish, turn, e ROWS UNBOUNDED PRECEDING) AS spent FROM st),
-ps AS (SELECT turn, count(*) AS passes FROM sp WHERE spent <= (SELECT sum(n) FROM s) GROUP BY turn)
-SELECT doc_id, size, source_size, target, size * coalesce(passes, 0) AS taken FROM q LEFT JOIN ps USING (turn), range(copies) c(i)"""
+q AS (SELECT v.*, tg.n AS source_size, target, sum(size) OVER (PARTITION BY v.source ORDER BY place) AS upto FROM v JOIN tg ON v.source IS NOT DISTINCT FROM tg.source),
+st AS (SELECT place, size, e, (e * source_size + upto) / target AS finish FROM q, range(3) r(e) WHERE size > 0 AND target > 0),
+sp AS (SELECT place, sum(size) OVER (ORDER BY finish, place, e ROWS UNBOUNDED PRECEDING) AS spent FROM st),
+ps AS (SELECT place, count(*) AS passes FROM sp WHERE spent <= (SELECT sum(n) FROM s) GROUP BY place)
+SELECT doc_id, size, source_size, target, size * coalesce(passes, 0) AS taken FROM q LEFT JOIN ps USING (place)"""
 
 FILTER_AUDIT = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),

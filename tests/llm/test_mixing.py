@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm.mixing import cycle_123, fair_targets, mix_sources, mixed_documents
+from cadenza.llm.mixing import cycle_123, fair_targets, mix_sources, mixed_documents, weights
 from tests.llm.common import prose, table
 
 
@@ -20,16 +21,48 @@ def reshare(sizes, weights, budget, most):
         full |= over
 
 
-def test_targets():
+def by_code_point(sources):
+    ordered = sorted((s for s in sources if s is not None), key=lambda s: s.encode()) + [s for s in sources if s is None]
+    return {s: float(1 + i % 3) for i, s in enumerate(ordered)}
+
+
+def test_targets(spark):
     rng = random.Random(3)
-    for _ in range(200):
+    for _ in range(6):
         sizes = {f"s{i}": rng.choice([0, 5, 100, 10_000]) for i in range(rng.randint(1, 9))}
         sizes[None] = rng.randint(1, 1000)
-        weights = cycle_123(list(sizes))
         total = sum(sizes.values())
-        got, want = fair_targets(sizes, weights, total, 3), reshare(sizes, weights, total, 3)
-        assert all(abs(got[s] - want[s]) < 1e-6 * total for s in sizes)
-    assert cycle_123(["b", None, "a", "c", "d"]) == {"a": 1, "b": 2, "c": 3, "d": 1, None: 2}
+        got = {r.source: r for r in fair_targets(cycle_123(spark.createDataFrame(list(sizes.items()), "source string, n bigint")), total, 3).collect()}
+        assert {s: r.weight for s, r in got.items()} == by_code_point(sizes)
+        want = reshare(sizes, by_code_point(sizes), total, 3)
+        assert got.keys() == want.keys() and all(abs(got[s].target - want[s]) < 1e-6 * total for s in sizes)
+
+
+def queue(rows, weight):
+    """The mix row by row: every row of a source, copies too, in a queue that
+    is shuffled anyhow, its finish times, the stream and the cut. Words taken
+    of each source."""
+    rng, sizes, stream = random.Random(0), defaultdict(int), []
+    of = defaultdict(list)
+    for _, text, _, source in rows:
+        of[source].append(len((text or "").split()))
+        sizes[source] += of[source][-1]
+    targets = reshare(sizes, weight(list(sizes)), sum(sizes.values()), 3)
+    for s, words in of.items():
+        rng.shuffle(words)
+        upto = 0
+        for e in range(3):
+            for w in words:
+                upto += w
+                if w:
+                    stream.append((upto / targets[s], rng.random(), s, w))
+    taken, left = defaultdict(int), sum(sizes.values())
+    for _, _, s, w in sorted(stream):
+        if w > left:
+            break
+        left -= w
+        taken[s] += w
+    return targets, taken
 
 
 def docs():
@@ -47,7 +80,7 @@ def test_mix(spark):
     for i, t, _, s in rows:
         size[s] += len((t or "").split())
         source[i].add(s)
-    want = reshare(size, cycle_123(list(size)), sum(size.values()), 3)
+    want = reshare(size, by_code_point(size), sum(size.values()), 3)
     taken, by_target = defaultdict(int), {}
     for r in got:
         s = [s for s in source[r.doc_id] if size[s] == r.source_size][0]
@@ -80,7 +113,26 @@ def test_names_that_the_operator_uses_itself(spark):
         assert all(r[n] == f"{n} of {'-' if r.doc_id is None else r.doc_id}" for n in names)
 
 
+@pytest.mark.parametrize("given", [None, {"a": 3, "b": 2}, {"a": 1, "b": 5}])
+def test_a_repeated_row_gets_its_share(spark, given):
+    rows = [(7, "w w w", "en", "a")] * 1000 + [(i, f"x{i} y z", "en", "b") for i in range(1000)]
+    t = table(spark, rows)
+    options = {"weigh": weights(given)} if given else {}
+    targets, taken = queue(rows, (lambda _: given) if given else by_code_point)
+    got = mix_sources(t, **options).collect()
+    of = {s: sum(r.taken for r in got if (r.doc_id == 7 and r.target == targets["a"]) == (s == "a")) for s in "ab"}
+    assert all(abs(of[s] - targets[s]) <= 3 and abs(of[s] - taken[s]) <= 3 for s in "ab")
+    assert all(0 <= r.taken <= 9 for r in got)
+    mixed = mixed_documents(t, **options).groupBy("source").count().collect()
+    assert {r["source"]: 3 * r["count"] for r in mixed} == of
+
+
 def test_many_copies_of_a_row(spark):
     t = table(spark, [(1, "a b c", "en", "s")]).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("i")
     got = mix_sources(t).collect()
-    assert len(got) == 10_000 and len(set(got)) == 1
+    assert len(got) == 10_000 and sum(r.taken for r in got) == 30_000 and mixed_documents(t).count() == 10_000
+
+
+def test_copies_that_differ_in_another_column(spark):
+    t = table(spark, [(1, "a b c", "en", "s"), (1, "a b c", "de", "s"), (1, "a b c", "de", "s"), (2, "d e f", None, "s")])
+    assert sorted(str(r.lang) for r in mixed_documents(t).collect()) == ["None", "de", "de", "en"]
