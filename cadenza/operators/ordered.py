@@ -61,3 +61,19 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str]
     """df with `out`, 1, 2, ... by `order` in each group; rows that are equal
     in the order get their numbers in any order."""
     return running(df, groups, order, {out: F.lit(1).cast("bigint")}, what)
+
+
+def followed(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[str], nexts: Mapping[str, str]) -> DataFrame:
+    """rows with the next row's values, by (part, order) in each group: nexts
+    names them. Null behind a group's last row. As `summed`, no window spans
+    more than a part of a group."""
+    within = Window.partitionBy(*groups, part).orderBy(*order)
+    first = F.min_by(F.struct(*[F.col(v).alias(f"_n_{k}") for k, v in nexts.items()]), F.struct(*order))
+    firsts = rows.groupBy(*groups, part).agg(first.alias("_f"))
+    after = firsts.select(*groups, part, F.lead("_f").over(Window.partitionBy(*groups).orderBy(part)).alias("_f"))
+    inside = rows.withColumn("_w", F.lead(F.struct(*[F.col(v).alias(f"_n_{k}") for k, v in nexts.items()])).over(within))
+    same = F.col(f"r.{part}") == F.col(f"t.{part}")
+    for g in groups:
+        same &= F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}"))
+    following = F.coalesce("r._w", "t._f")
+    return inside.alias("r").join(after.alias("t"), same).select(*[f"r.{c}" for c in rows.columns], *[following[f"_n_{k}"].alias(k) for k in nexts])

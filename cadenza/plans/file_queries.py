@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.operators import text as demand
 from cadenza.operators import timeline as L
+from cadenza.plans import playlists, requests
+from cadenza.plans.filters import Options
 from cadenza.plans.queries import _SQL as PLAN_SQL
-from cadenza.plans.tables import CUES, TRACKS, cues, tracks
+from cadenza.plans.tables import CUES, DAY, TRACKS, cues, tracks
 from cadenza.sources import assets, boxes, descriptors, webvtt, wvtt
 
 HOUR6 = 6 * 3_600_000
@@ -114,3 +117,36 @@ def appended_tracks(spark, sf_dir):
     t = tracks(spark, sf_dir).select(F.concat("asset", F.lit("/list.json")).alias("descriptor"), "pos", F.concat(F.lit("x/"), "id").alias("path"))
     more = t.select("descriptor").distinct().select("descriptor", F.explode(F.array(F.lit("media/0.mp4"), F.concat(F.substring_index("descriptor", "/", 1), F.lit("/media/1.mp4")))).alias("path"))
     return assets.appended(t, more.withColumn("id", F.lit(None).cast("string")))
+
+
+#: Cuts of text on demand, in ms: unsorted, one twice, two outside.
+TEXT_CUTS = [3 * DAY + 1000, 7 * 3_600_000, 3 * DAY + 1000, 0, 99 * DAY]
+INDEX = f"""{CUES}, dn AS (SELECT track, max(end_ms) AS d FROM cue GROUP BY track HAVING max(end_ms) > 0),
+ct AS (SELECT DISTINCT track, p FROM (SELECT track, i * {HOUR6} AS p FROM dn, range(0, d // {HOUR6} + 1) r(i) UNION ALL SELECT track, v FROM dn, (VALUES {", ".join(f"({b})" for b in TEXT_CUTS)}) b(v)) JOIN dn USING (track) WHERE p < d),
+ed AS (SELECT DISTINCT track, e FROM (SELECT track, start_ms AS e FROM cue UNION ALL SELECT track, end_ms FROM cue UNION ALL SELECT track, p FROM ct) JOIN dn USING (track) WHERE e < d),
+sa AS (SELECT ed.track, e AS a, coalesce(sum(16 + strlen(text)), 8) AS bytes FROM ed LEFT JOIN cue c ON c.track = ed.track AND c.start_ms <= e AND e < c.end_ms GROUP BY ALL),
+nu AS (SELECT sa.*, count(p) OVER (PARTITION BY sa.track ORDER BY a) - 1 AS idx FROM sa LEFT JOIN ct ON ct.track = sa.track AND p = a),
+fg AS (SELECT track, idx, min(a) AS st, count(*) AS n_samples, CAST(28 + 88 + 8 * count(*) + 8 + sum(bytes) AS BIGINT) AS sz FROM nu GROUP BY ALL),
+ix AS (SELECT track, idx, st, lead(st, 1, d) OVER w AS en, sz, CAST(619 + 12 * count(*) OVER (PARTITION BY track) + sum(sz) OVER w AS BIGINT) AS end_byte, n_samples FROM fg JOIN dn USING (track) WINDOW w AS (PARTITION BY track ORDER BY idx))"""
+
+
+@query(f"WITH {INDEX} SELECT track, idx, st, en, sz, end_byte - sz AS start_byte, end_byte, n_samples FROM ix")
+def text_index(spark, sf_dir):
+    """Cues cut every six hours and at some points: sizes without the bytes."""
+    return demand.text_index(cues(spark, sf_dir), HOUR6, TEXT_CUTS).drop("sm", "em")
+
+
+def _whole_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cues(spark, sf_dir).select(F.format_string("u%d", "track").alias("id"), "pos", F.expr("start_ms div 1000 * 1000").alias("start_ms"), F.expr("end_ms div 1000 * 1000").alias("end_ms"), "text")
+
+
+#: Six hours divide half a day, and the cuts lie on days: groups of half a day start at its multiples.
+@query(f"""WITH {CUES}, dn AS (SELECT 'u' || track AS id, max(end_ms) // 1000 AS d FROM cue GROUP BY track HAVING max(end_ms) >= 1000),
+g AS (SELECT id, i, i * 43200 AS a, least((i + 1) * 43200, d) AS b FROM dn, range(0, (d + 43199) // 43200) r(i))
+SELECT id, '#EXTM3U\n#EXT-X-TARGETDURATION:' || max(b - a) || '\n#EXT-X-PLAYLIST-TYPE:VOD\n' || string_agg('#EXTINF:' || (b - a) || ',\n' || id || '/' || (a * 1000) || '.vtt\n', '' ORDER BY i) || '#EXT-X-ENDLIST\n' AS document FROM g GROUP BY id""")
+def text_manifest(spark, sf_dir):
+    """Playlists of all text tracks, at the request's text and minimum lengths."""
+    options, cuts = Options("a", min_length=2 * HOUR6, text_length=HOUR6), [10 * DAY, 5 * DAY, 10 * DAY, 99 * DAY]
+    none = spark.createDataFrame([], "id string, idx long, st long, en long, sm long, em long, sz long")
+    index = requests.with_text(none, _whole_seconds(spark, sf_dir), options, cuts)
+    return playlists.media_playlist(requests.served(index, options, cuts), F.lit(demand.TIMESCALE), True, "id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
 from cadenza.operators import renditions as R
+from cadenza.operators import text as demand
 from cadenza.operators import timeline as L
 from cadenza.plans import filters, mpd, playlists
 from cadenza.plans.filters import Options
@@ -29,6 +30,15 @@ def served(segments: DataFrame, options: Options, boundaries: Sequence[int] = ()
     return L.served_groups(segments, options.min_length, boundaries, track="id")
 
 
+def with_text(segments: DataFrame, cues: DataFrame | None, options: Options, boundaries: Sequence[int] = ()) -> DataFrame:
+    """segments with those that each text track of cues (id, start_ms, end_ms,
+    text) has at the request's own text length. Nothing is packaged."""
+    if cues is None:
+        return segments
+    index = demand.text_index(cues, options.text_length, boundaries, "id")
+    return segments.select("id", "idx", "st", "en", "sm", "em", "sz").unionByName(index.select("id", "idx", "st", "en", "sm", "em", "sz"))
+
+
 def track_rates(tracks: DataFrame, groups: DataFrame) -> DataFrame:
     """(id, max_bitrate, avg_bitrate)"""
     g = groups.join(tracks.select("id", "timescale"), "id")
@@ -58,10 +68,12 @@ def master(tracks: DataFrame, groups: DataFrame, wvtt: bool, thumbnails: DataFra
     return playlists.master_playlist(R.media_entries(tracks, ["asset"]), variants, ["asset"], thumbnails)
 
 
-def manifest(tracks: DataFrame, segments: DataFrame, resource: str, options: Options, filter_text: str | None = None, boundaries: Sequence[int] = (), thumbnails: DataFrame | None = None) -> DataFrame:
+def manifest(tracks: DataFrame, segments: DataFrame, resource: str, options: Options, filter_text: str | None = None, boundaries: Sequence[int] = (), thumbnails: DataFrame | None = None, cues: DataFrame | None = None) -> DataFrame:
     """(asset or id, document) of `index.mpd`, `master.m3u8` or `<id>.m3u8`.
-    thumbnails: (asset, pos, id, tile_size, width). NotFound for another name,
-    or where the filter leaves no track."""
+    thumbnails: (asset, pos, id, tile_size, width). cues: of the text tracks
+    that segments doesn't have; they are cut as the request's text length asks.
+    NotFound for another name, or where the filter leaves no track."""
+    segments = with_text(segments, cues, options, boundaries)
     images = None if thumbnails is None else thumbnails_of(tracks, segments, thumbnails)
     if filter_text is not None:
         tracks, images = _kept(tracks, images, filter_text)
@@ -123,16 +135,31 @@ def sprite(thumbnails: DataFrame, thumbnail_id: str, number: str) -> DataFrame:
     return rows.withColumns({"start_ms": start, "end_ms": start + F.col("image_ms")})
 
 
-def text_segment(segments: DataFrame, cues: DataFrame, track_id: str, start: str, options: Options, boundaries: Sequence[int] = ()) -> DataFrame:
+def text_segment(cues: DataFrame, track_id: str, start: str, options: Options, boundaries: Sequence[int] = ()) -> DataFrame:
     """(id, content): the cues of the served segment that starts there, clipped
-    to it, as a document; without a such segment, no row. segments: those that
-    the text is packaged in. cues: (id, pos, start_ms, end_ms, text)."""
-    group = segment(segments, track_id, start, options, boundaries).select("id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    to it, as a document; without a such segment, no row. cues: (id, pos,
+    start_ms, end_ms, text). Segments are those of the request's text length,
+    then grouped as those of any track are."""
+    own = cues.filter(F.col("id") == track_id)
+    group = segment(demand.text_index(own, options.text_length, boundaries, "id"), track_id, start, options, boundaries).select("id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
     inside = (F.col("g.id") == F.col("c.id")) & (F.col("c.start_ms") < F.col("g.b")) & (F.col("c.end_ms") > F.col("g.a"))
-    held = group.alias("g").join(cues.alias("c"), inside, "left").select("g.id", "c.pos", F.greatest("c.start_ms", "g.a").alias("start_ms"), F.least("c.end_ms", "g.b").alias("end_ms"), "c.text")
+    held = group.alias("g").join(own.alias("c"), inside, "left").select("g.id", "c.pos", F.greatest("c.start_ms", "g.a").alias("start_ms"), F.least("c.end_ms", "g.b").alias("end_ms"), "c.text")
     return webvtt.formatted(held, "id")
 
 
+def initialization(tracks: DataFrame, cues: DataFrame, track_id: str) -> DataFrame:
+    """(id, mime_type, path, start_byte, end_byte, content): what `init.mp4` of
+    a track is, at most one row. Of a stored track the range of its file (path,
+    init_end, as headers give them); of a text track on demand, which has no
+    file, the bytes."""
+    one = tracks.filter(F.col("id") == track_id)
+    made = demand.initialization(cues.filter(F.col("id") == track_id), "id")
+    stored = {c: F.col(c) if c in tracks.columns else F.lit(None) for c in ("path", "init_end")}
+    rows = one.join(made, "id", "left").withColumns({"path": stored["path"].cast("string"), "init_end": stored["init_end"].cast("bigint")})
+    end = F.coalesce(F.length("content").cast("bigint"), "init_end")
+    return rows.select("id", X.mime_type(F.col("type")).alias("mime_type"), "path", F.lit(0).cast("bigint").alias("start_byte"), end.alias("end_byte"), "content")
+
+
 def segment(segments: DataFrame, track_id: str, start: str, options: Options, boundaries: Sequence[int] = ()) -> DataFrame:
     """The served group of a track that starts exactly there, at most one row;
     a start inside a group, or that is no number, gives none."""

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.plans import requests
 from cadenza.plans.filters import FilterError, Options
@@ -93,10 +94,30 @@ def test_files_of_tracks(asset):
             requests.dispatch("wide", bad)
 
 
+CUES = [("notes", 0, 500, 2500, "one"), ("notes", 1, 3900, 4100, "two"), ("notes", 2, 6000, 6000, "")]
+
+
 def test_text_of_a_served_segment(spark):
-    s = spark.createDataFrame([("notes", k, 2000 * k, 2000 * k + 2000, 2000 * k, 2000 * k + 2000, 10) for k in range(3)], "id string, idx long, st long, en long, sm long, em long, sz long")
-    cues = spark.createDataFrame([("notes", 0, 500, 2500, "one"), ("notes", 1, 3900, 4100, "two")], "id string, pos long, start_ms long, end_ms long, text string")
-    text = lambda start, **o: [r.content for r in requests.text_segment(s, cues, "notes", start, Options("gig", **o)).collect()]
-    assert text("2000") == ["WEBVTT\n\n00:00:02.000 --> 00:00:02.500\none\n\n00:00:03.900 --> 00:00:04.000\ntwo\n"]
-    assert text("0", min_length=4000) == ["WEBVTT\n\n00:00:00.500 --> 00:00:02.500\none\n\n00:00:03.900 --> 00:00:04.000\ntwo\n"]
-    assert text("2000", min_length=4000) == []
+    cues = spark.createDataFrame(CUES, "id string, pos long, start_ms long, end_ms long, text string")
+    text = lambda start, cuts=(), **o: [r.content for r in requests.text_segment(cues, "notes", start, Options("gig", **o), cuts).collect()]
+    second = "WEBVTT\n\n00:00:02.000 --> 00:00:02.500\none\n\n00:00:03.900 --> 00:00:04.000\ntwo\n"
+    assert text("2000", text_length=2000) == [second] and text("2000", text_length=2000, min_length=3000) == []
+    assert text("2000", text_length=2000, min_length=3000, cuts=[2000]) == [second.replace("04.000", "04.100")]
+    assert text("0") == ["WEBVTT\n\n00:00:00.500 --> 00:00:02.500\none\n\n00:00:03.900 --> 00:00:04.100\ntwo\n"]
+    assert text("2000") == [] and text("x", text_length=2000) == []
+
+
+def test_text_is_cut_as_the_request_asks(asset, spark):
+    t, s, sheets = asset
+    cues = spark.createDataFrame(CUES, "id string, pos long, start_ms long, end_ms long, text string")
+    stored = s.filter("id <> 'notes'")
+    t = t.withColumn("timescale", F.when(F.col("id") == "notes", 1000).otherwise(F.col("timescale")))
+    playlist = lambda cuts=(), **o: requests.manifest(t, stored, "notes.m3u8", Options("gig", **o), None, cuts, cues=cues).first()["document"]
+    assert [x for x in playlist(text_length=2000).split("\n") if x.startswith("notes/")] == ["notes/0.vtt", "notes/2000.vtt", "notes/4000.vtt"]
+    assert "notes/4000.m4s" in playlist(text_length=2000, wvtt=True) and playlist().count("#EXTINF:6,") == 1
+    assert playlist([700], text_length=5000).count("#EXTINF") == 3
+    assert 'timescale="1000"' in requests.manifest(t, stored, "index.mpd", Options("gig", text_length=2000), None, cues=cues).first()["document"]
+    made = requests.initialization(t, cues, "notes").first()
+    assert made.mime_type and made.start_byte == 0 and made.end_byte == 579 == len(made.content) and bytes(made.content[4:8]) == b"ftyp"
+    stored = requests.initialization(t.withColumns({"path": F.lit("a.mp4"), "init_end": F.lit(700)}), cues, "wide").first()
+    assert (stored.path, stored.start_byte, stored.end_byte, stored.content) == ("a.mp4", 0, 700, None)
