@@ -9,10 +9,13 @@ for each group and partition, are summed apart.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.sources.stored import written
 
@@ -33,12 +36,81 @@ def ordered(df: DataFrame, order: Sequence[Column | str], what: str = "ordered")
     return rows.withColumns({"_part": F.shiftright("_id", _ROW_BITS), "_at": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_id")
 
 
-def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column | str], what: str = "running") -> DataFrame:
-    """df with a running sum for each name of `sums`: of that column over the
-    rows of the same group up to and with this one, by `order`, which should be
-    total. Groups may be null. No groups: over the whole table."""
-    rows = ordered(df.withColumns({f"_v_{k}": F.col(v) if isinstance(v, str) else v for k, v in sums.items()}), [*groups, *order], what)
-    return summed(rows, groups, "_part", ["_at"], {k: f"_v_{k}" for k in sums}).drop("_part", "_at", *(f"_v_{k}" for k in sums))
+def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column | str], xors: Mapping[str, Column | str] | None = None, what: str = "running") -> DataFrame:
+    """df with a running sum for each name of `sums`, and a running exclusive or
+    for each of `xors`: of that column, bigint or double, over the rows of the
+    same group up to and with this one, by `order`, which should be total.
+    Groups may be null. No groups: over the whole table.
+
+    Rows move once. In a sorted range only the first group can have begun
+    before, so one row for each range, the driver's share, says what it had by
+    then. Overflow raises."""
+    values = {**sums, **(xors or {})}
+    df = df.withColumns({f"_v_{k}": F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)) for k, v in values.items()}).withColumn("_g", F.xxhash64(*groups) if groups else F.lit(0).cast("bigint"))
+    df = df.withColumns({f"_v_{k}": F.col(f"_v_{k}").cast("bigint") for k in values if df.schema[f"_v_{k}"].dataType != T.DoubleType()})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*groups, *order, "_read"]
+    rows = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_read")
+    kinds = {k: rows.schema[f"_v_{k}"].dataType.simpleString() for k in values}
+    plain = [c for c in rows.columns if c != "_g" and c not in {f"_v_{k}" for k in values}]
+
+    names, added, zero = list(values), set(sums), {k: 0.0 if t == "double" else 0 for k, t in kinds.items()}
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        passed = False
+        carry = dict(zero)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column("_g").to_numpy()
+            first = int(g[0]) if first is None else first
+            bounds = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+            size = np.diff(np.append(bounds, len(g)))
+            found = []
+            for k in names:
+                v = batch.column(f"_v_{k}").to_numpy()
+                inside = carry[k] if int(g[0]) == last else 0
+                if k in added:
+                    total = np.cumsum(v)
+                    if v.dtype.kind == "i" and float(np.abs(v.astype(float)).sum()) + abs(inside) >= 2.0**63:
+                        raise OverflowError(f"the sum {k} does not fit 64 bits")
+                    before = np.where(bounds > 0, total[bounds - 1], 0)
+                    total = total - np.repeat(before, size)
+                    total[: size[0]] += inside
+                else:
+                    total = np.bitwise_xor.accumulate(v)
+                    before = np.where(bounds > 0, total[bounds - 1], 0)
+                    total = total ^ np.repeat(before, size)
+                    total[: size[0]] ^= inside
+                carry[k] = total[-1].item()
+                found.append(pa.array(total))
+            last = int(g[-1])
+            # The range's first group, until another one begins.
+            other = g != first
+            head = np.zeros(len(g), dtype=bool) if passed else ~np.maximum.accumulate(other)
+            passed = passed or bool(other.any())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(g), pa.array(head), *found], names=[*plain, "_g", "_head", *names])
+
+    schema = T.StructType([*(rows.schema[c] for c in plain), T.StructField("_g", T.LongType()), T.StructField("_head", T.BooleanType()), *(T.StructField(k, rows.schema[f"_v_{k}"].dataType) for k in values)])
+    at = F.monotonically_increasing_id()
+    rows = rows.mapInArrow(sum_up, schema).withColumn("_id", at)
+    rows = written(rows, what).withColumn("_part", F.shiftright("_id", _ROW_BITS))
+    ends = rows.groupBy("_part").agg(F.min_by("_g", "_id").alias("first"), F.max_by(F.struct("_g", *values), "_id").alias("last")).sort("_part").collect()
+    carries, open_, held = [], None, zero
+    for r in ends:
+        held = held if r["first"] == open_ else zero
+        carries.append((r["_part"], *held.values()))
+        whole = r["first"] == r["last"]["_g"]
+        held = {k: (held[k] + r["last"][k] if k in sums else held[k] ^ r["last"][k]) if whole else r["last"][k] for k in values}
+        open_ = r["last"]["_g"]
+        if big := [k for k, v in held.items() if isinstance(v, int) and not -(1 << 63) <= v < 1 << 63]:
+            raise OverflowError(f"the sum {big[0]} does not fit 64 bits")
+    earlier = df.sparkSession.createDataFrame(carries, ", ".join(["_part bigint", *(f"`_c_{k}` {t}" for k, t in kinds.items())]))
+    here = {k: F.when(F.col("_head"), F.col(f"_c_{k}")).otherwise(F.lit(0).cast(t)) for k, t in kinds.items()}
+    both = [(F.col(k) + here[k] if k in sums else F.col(k).bitwiseXOR(here[k])).alias(k) for k in values]
+    # As many rows as there are ranges.
+    return rows.join(F.broadcast(earlier), "_part").select(*plain, *both)
 
 
 def summed(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[Column | str], sums: Mapping[str, str], xors: Mapping[str, str] | None = None) -> DataFrame:
@@ -60,7 +132,7 @@ def summed(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[Co
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], out: str = "number", what: str = "numbered") -> DataFrame:
     """df with `out`, 1, 2, ... by `order` in each group; rows that are equal
     in the order get their numbers in any order."""
-    return running(df, groups, order, {out: F.lit(1).cast("bigint")}, what)
+    return running(df, groups, order, {out: F.lit(1).cast("bigint")}, what=what)
 
 
 def followed(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[str], nexts: Mapping[str, str]) -> DataFrame:
