@@ -189,9 +189,11 @@ def language_name(tag: Column) -> Column:
     return choose(F.lower(F.substring_index(tag, "-", 1)), LANGUAGES, tag)
 
 
-def rendition_name(tag: Column, role: Column) -> Column:
-    """`Language`, or `Language (Label)` where there is a role."""
-    return F.when(role.isNull(), language_name(tag)).otherwise(F.concat(language_name(tag), F.lit(" ("), choose(role, ROLE_LABELS), F.lit(")")))
+def rendition_name(tag: Column, role: Column, name: Column | None = None) -> Column:
+    """`Language`, or `Language (Label)` where there is a role. name: that of
+    the language, where it was looked up in a full table."""
+    language = language_name(tag) if name is None else name
+    return F.when(role.isNull(), language).otherwise(F.concat(language, F.lit(" ("), choose(role, ROLE_LABELS), F.lit(")")))
 
 
 def is_forced(role: Column) -> Column:

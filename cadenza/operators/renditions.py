@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
+from cadenza.sources.languages import with_language_names
 
 
 def ordered_groups(tracks: DataFrame, key: Column, by: list[str], pos: str = "pos", member: str = "id") -> DataFrame:
@@ -56,6 +57,7 @@ def media_entries(tracks: DataFrame, by: list[str], pos: str = "pos", id_col: st
     selected by itself if it is the default, or alone in its group with its
     (type, language, forced, characteristics)."""
     rows = tracks.filter(F.col("type").isin("audio", "text")).join(default_audio(tracks, by, pos, id_col), by)
+    rows = with_language_names(rows, "language", "_named")
     forced, traits = X.is_forced(F.col("role")), X.characteristics(F.col("role"))
     alone = F.count("*").over(Window.partitionBy(*by, "type", "language", forced, F.coalesce(traits, F.lit("")))) == 1
     default = F.coalesce(F.col(id_col) == F.col("default_id"), F.lit(False))
@@ -63,7 +65,7 @@ def media_entries(tracks: DataFrame, by: list[str], pos: str = "pos", id_col: st
         *by, pos, id_col,
         F.when(F.col("type") == "audio", "AUDIO").otherwise("SUBTITLES").alias("media_type"),
         F.when(F.col("type") == "audio", "audio").otherwise("subtitles").alias("group_name"),
-        "language", X.rendition_name(F.col("language"), F.col("role")).alias("name"),
+        "language", X.rendition_name(F.col("language"), F.col("role"), F.col("_named")).alias("name"),
         default.alias("is_default"), (default | alone).alias("autoselect"), forced.alias("forced"), traits.alias("characteristics"),
         F.when(F.col("type") == "audio", F.col("channels").cast("string")).alias("channels"),
     )

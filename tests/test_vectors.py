@@ -194,6 +194,24 @@ def test_options():
             filters.parse_options(bad)
 
 
+def test_filter_errors_name_their_offset():
+    for text, offset in (("type == video language == en", 14), ("", 0), ("  ", 2), ("bitrate == 5", 0), ("type > text", 5), ("width == x", 9), ("type == video &&", 16), ("type == video) || (", 13), ("(type == video", 14), ("(type == video width == 1)", 15), ("type = video", 5), ("width == 12abc", 11), ("width == 18446744073709551616", 9), ("type ==", 7), ("() || type == text", 1), ("type == video | width == 1", 14)):
+        with pytest.raises(filters.FilterError) as e:
+            filters.to_sql(text)
+        assert e.value.offset == offset, text
+        assert f"at offset {offset}" in str(e.value)
+
+
+def test_option_notation():
+    parse = filters.parse_options
+    assert parse("(a:'my file')") == filters.Options("my file") == parse("a:'my file'")
+    assert parse("('a':'it!'s (1,2):!!',c:!f,'sml':7)") == filters.Options("it's (1,2):!", 7)
+    assert parse("a:'!''") == filters.Options("'") and parse("a:'7'") == filters.Options("7")
+    for bad, offset in (("a:!n", 2), ("a:!t", 2), ("a:7", 2), ("a:-x", 2), ("a:'x", 2), ("a:x,", 4), ("a:x,,c:!t", 4), ("a:x c:!t", 3), ("(a:x", 4), ("a", 1), ("a:x,c:1", 6), ("a:x,sml:!n", 8), ("a:x,sml:'5'", 8), ("a:x,sml:4294967296", 8), ("a:x,sml:!(1)", 8), ("a:x)", 3), ("x:1", 0)):
+        with pytest.raises(ValueError, match=f"offset {offset}:"):
+            parse(bad)
+
+
 def test_selection(spark):
     t = spark.createDataFrame([(0, "a", 1280), (1, "b", 1920), (2, "c", 1920)], "pos long, id string, width long").withColumn("g", F.lit(1))
     assert [R.nearest_source(t, w, ["g"]).first()["source_id"] for w in (540, 1281, 2000)] == ["a", "b", "b"]
