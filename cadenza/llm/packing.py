@@ -26,84 +26,73 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadenza.llm.session import written
+from cadenza.llm.token_counts import BYTE_LEVEL
 from cadenza.operators.ordered import numbered
 
-#: Bytes of encoded words that a worker remembers at most; beyond it starts
-#: afresh. What each takes beside its text and ids; longer ones are not kept.
-REMEMBERED_BYTES, ENTRY, LONGEST = 128 << 20, 200, 200
 #: Rows of a batch of pieces; ids of a batch of sequences.
 _ROWS = 10_000
 _KEY_BITS = 40
 
 
-class SpaceEncoder:
-    """Texts -> ids as little-endian 32-bit integers, for byte-level tokenizers
-    without a normalizer. Their pre-tokens always begin at a space that a
-    visible character follows, so the words between such spaces are encoded
-    alone, with their space, and remembered."""
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for:
+    visible Latin characters for themselves, those from 256 on, in order, for
+    the other bytes."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    #: A space where text is cut, and one where it is not. Fixed ranges: ASCII
-    #: and Latin characters that no version of Unicode takes for white space.
-    cut = re.compile(" (?=[!-~¡-˿])").split
-    odd = re.compile(" (?![!-~¡-˿])").search
+
+class RankEncoder:
+    """Texts -> ids as little-endian 32-bit integers, equal to the `tokenizers`
+    library's, for byte-level tokenizers without a normalizer. Where a
+    vocabulary's ids are its merges' ranks, which the constructor checks, Latin
+    text is encoded by rank with `tiktoken`, many times as fast; other text,
+    where classes of characters could be disputed, and text with the strings of
+    added tokens go to the library."""
+
+    #: All but ASCII, its common white space, and Latin letters and signs.
+    odd = re.compile("[^\t\n\r -~¡-ɏ]").search
 
     def __init__(self, spec: str):
         config = json.loads(spec)
         if config["pre_tokenizer"]["type"] != "ByteLevel" or config["pre_tokenizer"]["add_prefix_space"] or config["normalizer"]:
-            raise ValueError("words are independent in byte-level tokenizers without a normalizer or a prefix space")
+            raise ValueError("a byte-level tokenizer without a normalizer or a prefix space is needed")
         self.tokenizer = Tokenizer.from_str(spec)
         self.added = [t["content"] for t in config["added_tokens"]]
-        self.words: dict[str, bytes] = {}
-        self.held = 0
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Remembers the ids of words, each after a space; returns those of
-        words too long to be remembered."""
-        long = {}
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                if len(w) > LONGEST:
-                    long[w] = ids
-                else:
-                    self.words[w] = ids
-                    self.held += ENTRY + len(w) + len(ids)
-        return long
+        vocab, merges = config["model"]["vocab"], config["model"]["merges"]
+        by_rank = all(vocab["".join(m.split(" ") if isinstance(m, str) else m)] == 256 + i for i, m in enumerate(merges))
+        self.fast = None
+        if by_rank and config["model"]["type"] == "BPE":
+            byte = byte_of()
+            ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in self.added}
+            self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self.ids(text)
-        first, *words = self.cut(text) if self.odd(text) else text.split(" ")
-        if self.held > REMEMBERED_BYTES:
-            self.words, self.held = {}, 0
-        new = set(words) - self.words.keys()
-        long = self.learn(list(new)) if new else {}
-        ids = (long.get(w) or self.words[w] for w in words) if long else map(self.words.__getitem__, words)
-        return self.ids(first) + b"".join(ids)
+        if self.fast is None or self.odd(text) or any(a in text for a in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
-_encoders: dict[int, SpaceEncoder] = {}
+_encoders: dict[int, RankEncoder] = {}
 
 
-def _encoder(spec: str) -> SpaceEncoder:
+def _encoder(spec: str) -> RankEncoder:
     key = hash(spec)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = SpaceEncoder(spec)
+        _encoders[key] = RankEncoder(spec)
     return _encoders[key]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadenza.llm import queries as Q
-from cadenza.llm.packing import SCORES, Limits, SpaceEncoder, best_fit, pack_documents, packed_sequences, scored
+from cadenza.llm.packing import SCORES, Limits, RankEncoder, best_fit, byte_of, pack_documents, packed_sequences, scored
 from tests.llm.common import prose, table
 from tests.test_oracles import SF_DIR
 
@@ -24,11 +24,14 @@ def library(texts):
 
 def test_ids_are_the_librarys():
     rng = random.Random(4)
-    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + ["x" * 5000 + " y" * 5000, " " * 300 + "a", "w" * 300 + " " + "w" * 300]
+    latin = ["a", "Zz", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "'ll", "12", "½", "é", "ß", "ɏ", "ª", "²", "¡", "\xad", "…", ".", "#", " x", " '", "_"]
+    texts = ["".join(rng.choice(latin) for _ in range(rng.randint(0, 20))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + ["x" * 5000 + " y" * 5000, " " * 300 + "a", "w" * 300 + " " + "w" * 300]
     with open(FILE, encoding="utf-8") as f:
-        encoder = SpaceEncoder(f.read())
+        encoder = RankEncoder(f.read())
     for text, ids in zip(texts, library(texts), strict=True):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, repr(text)
+    assert encoder.fast is not None and byte_of()["\u0120"] == 0x20 and len(byte_of()) == 256 == len(set(byte_of().values()))
 
 
 def one_by_one(counts, limits, score):
