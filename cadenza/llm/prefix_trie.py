@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.session import partitions, written
-from cadenza.operators.ordered import numbered, ordered, running, summed
+from cadenza.operators.ordered import numbered, ordered, running
 
 #: Turns whose digests are one part of a sort key; turns, or ranks, that are
 #: summed or joined at a time; bits of ids that are listed at a time.
@@ -49,12 +49,6 @@ def lengths(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv").agg(F.max("pos").alias("n"))
 
 
-def sliced(convs: DataFrame, last: Column) -> DataFrame:
-    """convs with a row for each slice of its positions, to be joined to turns
-    on (conv, slice): a long conversation is no hot key."""
-    return convs.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slice_of(last))))
-
-
 def slice_of(position: Column) -> Column:
     return F.floor(position / SLICE)
 
@@ -69,34 +63,48 @@ def spliced(turns: DataFrame, base: Column, head: Column) -> DataFrame:
     conversation `base` (all if there are fewer, none if there is no such one),
     then their own after the first `head`. Both are expressions of conv. Turns
     as of `ordered_turns`; the result has a row of position 0 for each."""
-    own = lengths(turns)
-    convs = own.withColumns({"base": base, "head": head.cast("bigint")})
-    known = convs.join(own.select(F.col("conv").alias("base"), F.col("n").alias("n_base")), "base", "left")
-    convs = written(known.withColumn("taken", F.least("head", F.coalesce("n_base", F.lit(0).cast("bigint")))).drop("n_base"), "spliced")
-    tails = turns.withColumn("slice", slice_of(F.col("pos"))).join(sliced(convs.select("conv", "n", "head", "taken"), F.col("n")), ["conv", "slice"]).filter("pos > head")
-    tails = tails.select("conv", (F.col("pos") - F.col("head") + F.col("taken")).alias("pos"), "key", "bytes")
-    takers = sliced(convs.filter("taken > 0").select(F.col("base"), F.col("conv").alias("taker"), "taken"), F.col("taken"))
-    heads = turns.withColumn("slice", slice_of(F.col("pos"))).join(takers, (F.col("conv") == F.col("base")) & (takers["slice"] == slice_of(F.col("pos"))) & (F.col("pos") <= F.col("taken")))
-    return rooted(tails.unionByName(heads.select(F.col("taker").alias("conv"), "pos", "key", "bytes")), convs)
+    own = written(lengths(turns), "lengths")
+    each = turns.withColumn("head", head.cast("bigint"))
+    tails = each.filter("pos > head").select("conv", F.lit(1).alias("own"), "pos", "key", "bytes")
+    takers = own.select(base.alias("base"), F.col("conv").alias("taker"), head.cast("bigint").alias("head")).filter("head > 0")
+    takers = takers.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slice_of(F.col("head")))))
+    heads = turns.withColumn("slice", slice_of(F.col("pos"))).alias("t").join(takers.alias("k"), (F.col("t.conv") == F.col("k.base")) & (F.col("t.slice") == F.col("k.slice")) & (F.col("t.pos") <= F.col("k.head")))
+    heads = heads.select(F.col("taker").alias("conv"), F.lit(0).alias("own"), "pos", "key", "bytes")
+    joined = numbered(heads.unionByName(tails), ["conv"], ["own", "pos"], "place", "spliced")
+    return rooted(joined.select("conv", F.col("place").alias("pos"), "key", "bytes"), own)
+
+
+def _digests(where: Column) -> Column:
+    """The digests of the turns there, in order, as one text."""
+    listed = F.array_sort(F.collect_list(F.when(where, F.struct("pos", F.hex("key").alias("key")))))
+    return F.array_join(F.transform(listed, lambda t: t["key"]), "")
+
+
+def _later_places(turns: DataFrame) -> DataFrame:
+    """(conv, later): for conversations of more than CHUNK turns, the places
+    that their later parts of CHUNK turns have among all such parts."""
+    parts = turns.filter(F.col("pos") > CHUNK).groupBy("conv", F.floor((F.col("pos") - 1) / CHUNK).alias("part")).agg(_digests(F.lit(True)).alias("digests"))
+    parts = written(parts.withColumn("same", F.unhex(F.md5(F.col("digests").cast("binary")))), "parts")
+    places = ordered(parts.groupBy("same").agg(F.min("digests").alias("digests")), ["digests"], "part-order")
+    place = F.concat(F.lpad(F.hex("_part"), 8, "0"), F.lpad(F.hex("_at"), 9, "0"))
+    found = parts.drop("digests").join(places.select("same", place.alias("place")), "same")
+    listed = F.array_sort(F.collect_list(F.struct("part", "place")))
+    return found.groupBy("conv").agg(F.array_join(F.transform(listed, lambda p: p["place"]), "").alias("later"))
 
 
 def _sequences(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as (conv, n, p1, p2), by what identifies their whole, and
     the distinct ones in sorted order: (conv, n, p1, p2, copies, rank), conv
-    being the smallest of the equal ones and rank 0, 1, ..."""
-    wholes = written(turns.groupBy("conv").agg(F.max("pos").alias("n"), F.bit_xor("x1").alias("p1"), F.bit_xor("x2").alias("p2")), "wholes")
-    kinds = written(wholes.groupBy("n", "p1", "p2").agg(F.min("conv").alias("conv"), F.count("*").alias("copies")), "sequences")
-    # Parts of CHUNK digests, told apart by their place among all parts.
-    listed = F.array_sort(F.collect_list(F.struct("pos", F.hex("key").alias("key"))))
-    parts = turns.filter("pos > 0").groupBy("conv", F.floor((F.col("pos") - 1) / CHUNK).alias("part")).agg(F.array_join(F.transform(listed, lambda t: t["key"]), "").alias("digests"))
-    parts = parts.join(kinds.select("conv"), "conv", "left_semi")
-    parts = written(parts.withColumn("same", F.unhex(F.md5(F.col("digests").cast("binary")))), "parts")
-    places = ordered(parts.groupBy("same").agg(F.min("digests").alias("digests")), ["digests"], "part-order")
-    place = F.concat(F.lpad(F.hex("_part"), 8, "0"), F.lpad(F.hex("_at"), 9, "0"))
-    keys = parts.drop("digests").join(places.select("same", place.alias("place")), "same").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", "place"))).alias("places"))
-    keyed = kinds.join(keys.select("conv", F.array_join(F.transform("places", lambda p: p["place"]), "").alias("order")), "conv", "left")
-    ranked = numbered(keyed.withColumn("order", F.coalesce("order", F.lit(""))), [], ["order"], "rank", "sequence-order")
-    return wholes, written(ranked.select("conv", "n", "p1", "p2", "copies", (F.col("rank") - 1).alias("rank")), "ranks")
+    being the smallest of the equal ones and rank 0, 1, ... The sort key is the
+    digests of the first CHUNK turns, then the places of the later parts."""
+    wholes = written(turns.groupBy("conv").agg(F.max("pos").alias("n"), F.bit_xor("x1").alias("p1"), F.bit_xor("x2").alias("p2"), _digests(F.col("pos").between(1, CHUNK)).alias("digests")), "wholes")
+    kinds = wholes.groupBy("n", "p1", "p2").agg(F.min("conv").alias("conv"), F.count("*").alias("copies"), F.first("digests").alias("digests"))
+    if (wholes.agg(F.max("n").alias("n")).first()["n"] or 0) > CHUNK:
+        kinds = kinds.join(_later_places(turns), "conv", "left").withColumn("later", F.coalesce("later", F.lit("")))
+    else:
+        kinds = kinds.withColumn("later", F.lit(""))
+    ranked = numbered(kinds, [], ["digests", "later"], "rank", "sequences")
+    return wholes.drop("digests"), ranked.select("conv", "n", "p1", "p2", "copies", (F.col("rank") - 1).alias("rank"))
 
 
 def _ends(wholes: DataFrame) -> DataFrame:
@@ -133,44 +141,38 @@ def _ends(wholes: DataFrame) -> DataFrame:
 
 def _points(paths: DataFrame, sequences: DataFrame) -> DataFrame:
     """The compressed tree: (depth, p1, p2, low, high, conv_id, n_convs, upto,
-    up_depth, up_bytes, up_conv, n_children, below, leaves). Members are the
-    sequences of rank low to high; up_* are of the point above; upto is the
-    length of all texts to here; below sums what the points under it save."""
-    shared = paths.alias("a").join(paths.select(F.col("rank") + 1, "depth", "p1", "p2").toDF("rank", *_BEGINNING).alias("b"), ["rank", *_BEGINNING]).groupBy("rank").agg(F.max(F.struct(*_BEGINNING)).alias("s"))
-    shared = written(shared.select("rank", "s.*"), "shared")
-    ends = sequences.select(F.col("n").alias("depth"), "p1", "p2")
-    root = sequences.limit(1).select(*[F.lit(0).cast("bigint").alias(c) for c in _BEGINNING])
-    points = shared.select(*_BEGINNING).union(ends).union(root).distinct()
-    members = paths.groupBy(*_BEGINNING).agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("conv").alias("conv_id"), F.sum("copies").alias("n_convs"), F.min("upto").alias("upto"))
-    points = written(members.join(points, _BEGINNING), "points")
+    n_children, up_depth, up_conv, below, n_leaves). Members are the sequences
+    of rank low to high; up_* are of the point above; upto is the length of all
+    texts to here; below sums what the points under it save."""
+    members = paths.groupBy(*_BEGINNING).agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("conv").alias("conv_id"), F.sum("copies").alias("n_convs"), F.min("upto").alias("upto"), F.min("x1").alias("x1"), F.min("x2").alias("x2"))
+    members = written(members, "members")
+    # A sequence leaves the one before it above the first beginning of its own.
+    up = F.struct((F.col("depth") - 1).alias("depth"), F.col("p1").bitwiseXOR(F.col("x1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("x2")).alias("p2"))
+    shared = members.filter("low > 0").groupBy("low").agg(F.min(up).alias("at"))
+    marks = shared.select("at.*", F.lit(1).alias("joins"), F.lit(0).alias("ends"))
+    marks = marks.union(sequences.select("n", "p1", "p2", F.lit(0), F.lit(1))).union(members.filter("depth = 0").select(*_BEGINNING, F.lit(0), F.lit(0)))
+    # Each time that a neighbour leaves here there is one more way on; the first
+    # way leaves a conversation that ends here, or nothing.
+    marks = marks.groupBy(*_BEGINNING).agg((F.sum("joins") + 1 - F.max("ends")).alias("n_children"))
+    points = written(members.drop("x1", "x2").join(marks, _BEGINNING), "points")
 
     # Above a point is the one before it on the path of its first member, or,
     # for the first of those, where that member leaves the one before it.
     chain = Window.partitionBy("low").orderBy("depth")
     facts = [*_BEGINNING, "conv_id", "upto"]
-    inner = points.withColumn("up", F.lag(F.struct(*facts)).over(chain))
-    tops = inner.filter("up IS NULL").drop("up").join(shared.select(F.col("rank").alias("low"), F.struct(*_BEGINNING).alias("at")), "low", "left")
-    # The point of which many are children is joined in slices of their ranks.
-    above = points.withColumn("slice", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high"))))).select("slice", F.struct(*_BEGINNING).alias("at"), F.struct(*facts).alias("up"))
-    tops = tops.withColumn("slice", slice_of(F.col("low"))).join(above, ["slice", "at"], "left").select(*points.columns, "up")
-    linked = written(inner.filter("up IS NOT NULL").select(*points.columns, "up").unionByName(tops), "links")
-
-    children = linked.filter("up IS NOT NULL").groupBy(*[F.col(f"up.{c}").alias(c) for c in _BEGINNING]).agg(F.count("*").alias("n_children"))
-    tree = linked.join(children, _BEGINNING, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("bigint")))
+    inner = written(points.withColumn("up", F.lag(F.struct(*facts)).over(chain)).join(shared, "low", "left"), "chains")
+    # A point from which many lead on is joined in slices of their ranks.
+    above = points.withColumn("slice", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high"))))).select("slice", F.struct(*_BEGINNING).alias("at"), F.struct(*facts).alias("above"))
+    tops = inner.filter("up IS NULL").drop("up").withColumn("slice", slice_of(F.col("low"))).join(above, ["slice", "at"], "left")
+    linked = inner.filter("up IS NOT NULL").select(*points.columns, "up").unionByName(tops.select(*points.columns, F.col("above").alias("up")))
+
     edge = F.col("upto") - F.coalesce(F.col("up.upto"), F.lit(0))
-    tree = tree.withColumns({"saved": (F.col("n_convs") - 1) * edge, "leaf": (F.col("n_children") == 0).cast("bigint")})
-    tree = written(running(tree, [], ["low", "depth"], {"saved_upto": "saved", "leaves_upto": "leaf"}, "preorder"), "tree")
+    tree = linked.select(*points.columns, F.coalesce(F.col("up.depth"), F.lit(-1)).cast("bigint").alias("up_depth"), F.col("up.conv_id").alias("up_conv"), ((F.col("n_convs") - 1) * edge).alias("saved"), (F.col("n_children") == 0).cast("bigint").alias("leaf"))
+    tree = running(tree, [], ["low", "depth"], {"saved_upto": "saved", "leaves_upto": "leaf"}, what="tree")
     # The last point below one is the end of the last sequence that it has.
     last = tree.groupBy(F.col("low").alias("high")).agg(F.max(F.struct("depth", "saved_upto", "leaves_upto")).alias("last"))
-    found = tree.join(last, "high")
-    return found.select(
-        *points.columns,
-        F.coalesce(F.col("up.depth"), F.lit(-1)).alias("up_depth"),
-        F.col("up.conv_id").alias("up_conv"),
-        "n_children",
-        (F.col("last.saved_upto") - F.col("saved_upto")).alias("below"),
-        (F.col("last.leaves_upto") - F.col("leaves_upto") + F.col("leaf")).alias("n_leaves"),
-    )
+    below = (F.col("last.saved_upto") - F.col("saved_upto")).alias("below")
+    return tree.join(last, "high").select(*points.columns, "up_depth", "up_conv", below, (F.col("last.leaves_upto") - F.col("leaves_upto") + F.col("leaf")).alias("n_leaves"))
 
 
 def prefix_trie(turns: DataFrame) -> DataFrame:
@@ -189,13 +191,13 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     """
     place = F.col("pos") > 0
     hashes = {f"x{i}": F.when(place, F.xxhash64(F.lit(i), "pos", "key")).otherwise(F.lit(0).cast("bigint")) for i in (1, 2)}
-    turns = written(turns.select("conv", "pos", "key", "bytes").withColumns(hashes), "turns")
+    turns = turns.select("conv", "pos", "key", "bytes").withColumns(hashes)
     wholes, sequences = _sequences(turns)
-    chosen = sliced(sequences.select("conv", "n", "copies", "rank"), F.col("n")).drop("n")
-    rows = turns.drop("key").withColumn("slice", slice_of(F.col("pos"))).join(chosen, ["conv", "slice"])
-    paths = summed(rows, ["rank"], "slice", ["pos"], {"upto": "bytes"}, {"p1": "x1", "p2": "x2"})
-    paths = written(paths.select("rank", "conv", "copies", F.col("pos").alias("depth"), "p1", "p2", "bytes", "upto", "slice"), "paths")
-    points = written(_points(paths, sequences), "points")
+    # A long conversation is no hot key: it is joined slice by slice.
+    chosen = sequences.select("conv", "copies", "rank", F.explode(F.sequence(F.lit(0).cast("bigint"), slice_of(F.col("n")))).alias("slice"))
+    rows = turns.drop("key").withColumn("slice", slice_of(F.col("pos"))).join(chosen, ["conv", "slice"]).withColumnRenamed("pos", "depth")
+    paths = running(rows, ["rank"], ["depth"], {"upto": "bytes"}, {"p1": "x1", "p2": "x2"}, "paths")
+    points = _points(paths, sequences)
 
     # Edges back to turns: those of the path of the first member.
     edges = points.withColumn("slice", F.explode(F.sequence(slice_of(F.col("up_depth") + 1), slice_of(F.col("depth")))))
@@ -217,5 +219,5 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
 
 def conversation_trie(conversations: DataFrame, **columns: str) -> DataFrame:
     """`prefix_trie` of a table of turns; see `ordered_turns` for columns."""
-    turns = written(ordered_turns(conversations, **columns), "ordered-turns")
+    turns = ordered_turns(conversations, **columns)
     return prefix_trie(rooted(turns, lengths(turns)))

@@ -18,7 +18,6 @@ from cadenza.llm.mixing import mix_sources
 from cadenza.llm.packing import Limits, pack_documents
 from cadenza.llm.pii import BASE, personal_data, written_spans
 from cadenza.llm.prefix_trie import ordered_turns, prefix_trie, spliced
-from cadenza.llm.session import written
 from cadenza.llm.sql import ORACLES
 from cadenza.llm.substring_dedup import deduplicated
 from cadenza.llm.token_counts import token_counts
@@ -80,7 +79,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = written(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "ordered-turns")
+    turns = ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie(spliced(turns, F.expr("conv - conv % 5"), F.crc32(F.col("conv").cast("string").cast("binary")) % 9))
 
 
