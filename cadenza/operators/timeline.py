@@ -89,18 +89,31 @@ def served_groups(segments: DataFrame, minimum_ms: int, boundaries: Sequence[int
     return groups.withColumn("group_id", (F.row_number().over(Window.partitionBy(track).orderBy("first_order")) - 1).cast("bigint"))
 
 
-def run_length_encoded(segments: DataFrame, track: str = "track", order: str = "idx", start: str = "st", end: str = "en") -> DataFrame:
-    """(track, run, t, d, r): a run is a stretch of segments of one duration
-    without gaps. t, its start, is there for the first run and after a gap; r,
-    the repeats, is one less than the segments, and null for none."""
+def absolute_runs(segments: DataFrame, track: str = "track", order: str = "idx", start: str = "st", end: str = "en") -> DataFrame:
+    """(track, run, first, d, n, number, gap): a run is a stretch of n segments
+    of one duration d without gaps, from `first` on; number of them come before
+    it in the track. gap: whether it does not start where the run before ends,
+    as the first one does not."""
     w = _ordered(track, order)
     d = F.col(end) - F.col(start)
     rows = segments.withColumn("_d", d).withColumn("_gap", ~F.coalesce(F.lag(end).over(w) == F.col(start), F.lit(False)))
-    rows = rows.withColumn("_new", (F.col("_gap") | (F.lag("_d").over(w) != F.col("_d"))).cast("int"))
+    rows = rows.withColumns({"_new": (F.col("_gap") | (F.lag("_d").over(w) != F.col("_d"))).cast("int"), "_number": F.row_number().over(w) - 1})
     rows = rows.withColumn("run", (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("bigint"))
     first = F.min_by(F.struct("_gap", F.col(start).alias("s")), order)
-    out = rows.groupBy(track, "run").agg(first.alias("f"), F.first("_d").alias("d"), (F.count("*") - 1).alias("n"))
-    return out.select(track, "run", F.when(F.col("f._gap"), F.col("f.s")).alias("t"), "d", F.when(F.col("n") > 0, F.col("n")).alias("r"))
+    out = rows.groupBy(track, "run").agg(first.alias("f"), F.first("_d").alias("d"), F.count("*").alias("n"), F.min("_number").cast("bigint").alias("number"))
+    return out.select(track, "run", F.col("f.s").alias("first"), "d", "n", "number", F.col("f._gap").alias("gap"))
+
+
+def run_length_encoded(segments: DataFrame, track: str = "track", order: str = "idx", start: str = "st", end: str = "en") -> DataFrame:
+    """(track, run, t, d, r): a run is a stretch of segments of one duration
+    without gaps. t, its start, is there for the first run and after a gap; r,
+    the repeats, is one less than the segments, and null for none."""
+    return written_runs(absolute_runs(segments, track, order, start, end), track)
+
+
+def written_runs(runs: DataFrame, track: str = "track") -> DataFrame:
+    """(track, run, t, d, r) of runs (track, run, first, d, n, gap)."""
+    return runs.select(track, "run", F.when(F.col("gap"), F.col("first")).alias("t"), "d", F.when(F.col("n") > 1, F.col("n") - 1).alias("r"))
 
 
 def run_length_expanded(runs: DataFrame, track: str = "track", run: str = "run") -> DataFrame:
