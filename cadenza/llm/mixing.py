@@ -61,7 +61,7 @@ def fair_targets(weighted: DataFrame, budget: float, most_passes: int) -> DataFr
     it: running sums, no rounds."""
     rows = weighted.withColumns({"_room": most_passes * F.col("n"), "_null": F.col("source").isNull()}).withColumn("_ratio", F.col("_room") / F.col("weight"))
     order = ["_ratio", "_null", "source"]
-    rows = written(running(rows, [], order, {"_rooms": "_room", "_weights": "weight"}, "mix-rooms"), "mix-levels")
+    rows = written(running(rows, [], order, {"_rooms": "_room", "_weights": "weight"}, what="mix-rooms"), "mix-levels")
     whole = rows.agg(F.sum("weight").alias("w")).first()["w"]
     level = (F.lit(float(budget)) - (F.col("_rooms") - F.col("_room"))) / (F.lit(whole) - (F.col("_weights") - F.col("weight")))
     rows = rows.withColumns({"_level": level, "_place": F.struct(*order)})
@@ -120,7 +120,7 @@ def mix_decisions(docs: DataFrame, weigh: Weigh = cycle_123, most_passes: int =
     rows = written(rows.groupBy("turn", "variant", "id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
     before = F.lit(0).cast("bigint")
     if variant is not None and (rows.groupBy("turn").count().agg(F.max("count").alias("n")).first()["n"] or 0) > 1:
-        rows = running(rows, ["turn"], ["variant"], {"upto": "copies"}, "mix-variants")
+        rows = running(rows, ["turn"], ["variant"], {"upto": "copies"}, what="mix-variants")
         before = F.col("upto") - F.col("copies")
     rows = rows.withColumn("before", before).drop("upto")
     sources = written(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.max("size").alias("big")), "mix-source-sizes")
