@@ -3,6 +3,8 @@ tables and read again, with their SQL."""
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,9 @@ from cadenza.operators import timeline as L
 from cadenza.plans import playlists, requests
 from cadenza.plans.filters import Options
 from cadenza.plans.queries import _SQL as PLAN_SQL
-from cadenza.plans.tables import CUES, DAY, TRACKS, cues, tracks
-from cadenza.sources import assets, boxes, descriptors, webvtt, wvtt
+from cadenza.plans.tables import CUES, DAY, SEGMENTS, TRACKS, cues, segments, tracks
+from cadenza.sources import assets, boxes, descriptors, media, webvtt, wvtt
+from cadenza.sources.stored import fresh_path
 
 HOUR6 = 6 * 3_600_000
 _QUERIES, _SQL = {}, {}
@@ -150,3 +153,53 @@ def text_manifest(spark, sf_dir):
     none = spark.createDataFrame([], "id string, idx long, st long, en long, sm long, em long, sz long")
     index = requests.with_text(none, _whole_seconds(spark, sf_dir), options, cuts)
     return playlists.media_playlist(requests.served(index, options, cuts), F.lit(demand.TIMESCALE), True, "id")
+
+
+def _moov(kind: str) -> bytes:
+    """The movie box of a small track of that kind, at 1000 ticks a second."""
+    box, full = wvtt._plain, wvtt._full
+    entry = {
+        "vide": box("avc1", bytes(24), struct.pack(">HH", 640, 360), bytes(50), box("avcC", bytes([1, 0x42, 0xC0, 0x1E, 0xFF]))),
+        "soun": box("mp4a", bytes(16), struct.pack(">HHI", 2, 16, 0), struct.pack(">I", 48000 << 16), box("esds", bytes(4), bytes([3, 25, 0, 0, 0, 4, 17]), bytes(13), bytes([5, 2, 0x11, 0x90]))),
+        "text": box("wvtt", bytes(8)),
+    }[kind]
+    language = sum((ord(c) - 0x60) << at for c, at in zip("nld", (10, 5, 0), strict=True))
+    mdia = box("mdia", full("mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, 1000, 0, language, 0)), full("hdlr", 0, 0, bytes(4), kind.encode(), bytes(13)), box("minf", box("stbl", full("stsd", 0, 0, struct.pack(">I", 1), entry))))
+    return box("moov", box("mvhd", bytes(100)), box("trak", mdia), box("mvex", box("trex", struct.pack(">IIIIII", 0, 1, 1, 40, 0, 0))))
+
+
+KINDS = ["vide", "soun", "text"]
+
+
+def _media(spark: SparkSession, sf_dir: str) -> str:
+    """Writes a file for each user, of a kind by the user's number: a head, then
+    a fragment for each segment. Returns their folder."""
+    fragment = wvtt._plain("moof", wvtt._plain("traf", wvtt._full("tfhd", 0, 0, struct.pack(">I", 1)), wvtt._full("trun", 0, 0, struct.pack(">I", 1))))
+    rows = segments(spark, sf_dir).select("track", "idx", F.greatest(F.col("em") - F.col("sm"), F.lit(1)).alias("d"), F.concat(F.lit(fragment), F.expr("CAST(repeat(chr(97 + idx % 26), CAST(sz % 5000 AS int)) AS binary)")).alias("data"))
+    path = F.format_string("m/%d.mp4", "track")
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.length("data").alias("size"), "d"))), lambda r: F.concat(wvtt.number(r["size"], 4), wvtt.number(r["d"], 4), F.lit(struct.pack(">I", 0x90000000))))
+    moov = F.element_at(F.array(*[F.lit(wvtt.FTYP + _moov(k)) for k in KINDS]), (F.col("track") % 3 + 1).cast("int"))
+    sidx = wvtt.box("sidx", 24 + 12 * F.size("r"), struct.pack(">IIIIIH", 0, 1, 1000, 0, 0, 0), wvtt.number(F.size("r"), 2), wvtt.joined(F.col("r")))
+    heads = rows.groupBy("track").agg(refs.alias("r")).select(path.alias("path"), F.lit(-1).cast("bigint").alias("place"), F.concat(moov, sidx).alias("data"))
+    root = fresh_path(spark, "media")
+    media.write_pieces(heads.unionByName(rows.select(path.alias("path"), F.col("idx").alias("place"), "data")), root)
+    return root
+
+
+MEDIA = f"""{SEGMENTS}, md AS (SELECT track, idx, greatest(em - sm, 1) AS d, 48 + sz % 5000 AS size, repeat(chr(CAST(97 + idx % 26 AS INTEGER)), CAST(sz % 5000 AS INTEGER)) AS fill FROM seg),
+mx AS (SELECT track, idx, CAST(sum(d) OVER w - d AS BIGINT) AS a, CAST(sum(d) OVER w AS BIGINT) AS b, size, md5(fill) AS fill FROM md WINDOW w AS (PARTITION BY track ORDER BY idx))"""
+
+
+@query(f"WITH {MEDIA} SELECT 'm/' || track || '.mp4' AS file, idx, a AS \"start\", b AS \"end\", size, fill FROM mx WHERE a < {20 * DAY} AND b >= {2 * DAY}")
+def media_ranges(spark, sf_dir):
+    """Files are written by the sink; segments of some days are read of them."""
+    got = media.read_ranges(spark, _media(spark, sf_dir), stretch=200_000).filter(f"start < {20 * DAY} AND end >= {2 * DAY}")
+    fill = F.md5(F.expr("substring(data, 49)"))
+    return got.select(F.concat(F.lit("m/"), F.substring_index("path", "/", -1)).alias("file"), "idx", "start", "end", F.length("data").cast("bigint").alias("size"), fill.alias("fill"))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id AS t FROM events) SELECT 'm/' || t || '.mp4' AS file, (['video', 'audio', 'text'])[t % 3 + 1] AS type, (['avc1.42c01e', 'mp4a.40.2', 'wvtt'])[t % 3 + 1] AS codec, CASE t % 3 WHEN 0 THEN CAST(640 AS BIGINT) END AS width, CASE t % 3 WHEN 0 THEN CAST(360 AS BIGINT) END AS height, CASE t % 3 WHEN 0 THEN '25/1' END AS frame_rate, CASE t % 3 WHEN 1 THEN CAST(48000 AS BIGINT) END AS sample_rate, CASE t % 3 WHEN 1 THEN CAST(2 AS BIGINT) END AS channels, CASE WHEN t % 3 > 0 THEN 'nld' END AS language, CAST(1000 AS BIGINT) AS timescale FROM u""")
+def media_headers(spark, sf_dir):
+    """Video, audio and text headers, read by range."""
+    found = boxes.tracks(boxes.read(spark, _media(spark, sf_dir) + "/m"))
+    return found.select(F.concat(F.lit("m/"), F.substring_index("path", "/", -1)).alias("file"), "type", "codec", "width", "height", "frame_rate", "sample_rate", F.col("channels").cast("bigint").alias("channels"), "language", "timescale")

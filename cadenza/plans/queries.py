@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
 from cadenza.operators import renditions as R
+from cadenza.operators import sprites as sprite_ops
 from cadenza.operators import timeline as L
 from cadenza.plans import filters, playlists
 from cadenza.plans.tables import BOUNDARIES, CUES, DAY, HALF_DAY, SEGMENTS, START, TIMESCALE, TRACKS, cues, segments, table, tracks
@@ -412,3 +413,27 @@ def sprite_sizes(spark, sf_dir):
     w = (F.lit(40) * (F.col("pos") % 9 + 1)).cast("bigint")
     t = tracks(spark, sf_dir).filter("type = 'video'")
     return t.select("pos", "id", w.alias("sprite_width"), X.sprite_height(w, F.lit(3), F.col("width"), F.col("height")).alias("sprite_height"), X.sprite_bandwidth(w, F.col("height"), F.col("pos") * 7).alias("bandwidth"))
+
+
+_ALIGNED = f"""h AS (SELECT track, idx, sm // 3600000 AS hh, 40 + CAST(sum(sz) OVER w AS BIGINT) - sz AS a, 40 + CAST(sum(sz) OVER w AS BIGINT) AS b FROM seg WINDOW w AS (PARTITION BY track ORDER BY idx)), c AS (SELECT track, {HOURS} AS v, count(*) AS n FROM seg GROUP BY ALL), m AS (SELECT track, arg_max(v, (n, v)) AS v FROM c GROUP BY track),
+o AS (SELECT h.*, hh - first_value(hh) OVER (PARTITION BY h.track ORDER BY idx) AS o, v FROM h JOIN m ON m.track = h.track WHERE v <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY idx) - 1 AS k FROM o WHERE o % v <= CAST(ceil(v / 100) AS BIGINT) OR v - o % v <= CAST(ceil(v / 100) AS BIGINT)),
+tiles AS (SELECT 's' || track || '-' || size AS id, k // (size * size) + 1 AS number, k % (size * size) AS place, k % (size * size) % size AS "column", k % (size * size) // size AS "row", track AS source_id, idx, hh AS target, a AS start_byte, b AS end_byte FROM f, (VALUES (CAST(2 AS BIGINT)), (3)) t(size))"""
+
+
+def _tiles(spark, sf_dir):
+    """Two sheets of each user's segments, 2 and 3 tiles wide."""
+    s = L.prefix_index(segments(spark, sf_dir).drop("start", "end").withColumn("d", F.col("en") - F.col("st")), duration="d", size="sz", first_byte=40).withColumn("hh", F.expr("sm div 3600000")).withColumn("id", F.col("track"))
+    sheets = s.select("track").distinct().select(F.col("track").alias("source_id"), F.explode(F.array(F.lit(2), F.lit(3))).alias("tile_size")).withColumn("id", F.format_string("s%d-%d", "source_id", "tile_size"))
+    return sprite_ops.sprite_tiles(sheets, s, F.expr("(en - st) div 3600000000"), "hh")
+
+
+@query(f"WITH {SEGMENTS}, {_ALIGNED} SELECT * FROM tiles")
+def sprite_tiles(spark, sf_dir):
+    return _tiles(spark, sf_dir)
+
+
+@query(f"""WITH {SEGMENTS}, {_ALIGNED}, n AS (SELECT *, CASE WHEN start_byte - lag(end_byte) OVER w > 500 OR lag(end_byte) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM tiles WINDOW w AS (PARTITION BY id, number ORDER BY start_byte, place)), r AS (SELECT *, sum(nw) OVER (PARTITION BY id, number ORDER BY start_byte, place) AS read FROM n)
+SELECT id, number, source_id, min(start_byte) AS start_byte, max(end_byte) AS end_byte, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM r GROUP BY id, number, source_id, read""")
+def sprite_reads(spark, sf_dir):
+    return sprite_ops.sprite_reads(_tiles(spark, sf_dir), 500).withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
 from cadenza.operators import renditions as R
+from cadenza.operators import sprites
 from cadenza.operators import text as demand
 from cadenza.operators import timeline as L
 from cadenza.plans import filters, mpd, playlists
@@ -135,6 +136,16 @@ def sprite(thumbnails: DataFrame, thumbnail_id: str, number: str) -> DataFrame:
     return rows.withColumns({"start_ms": start, "end_ms": start + F.col("image_ms")})
 
 
+def sprite_sources(thumbnails: DataFrame, segments: DataFrame, thumbnail_id: str, number: str, gap: int = 0) -> DataFrame:
+    """(id, number, source_id, start_byte, end_byte, places): what of its source
+    the sprite with that number is made of, beside the initialization. segments:
+    (id, idx, st, en, start_byte, end_byte). No row past the last sprite;
+    NotFound if it is no number from 1."""
+    _, n = dispatch(thumbnail_id, f"{number}.jpg")
+    tiles = sprites.sprite_tiles(thumbnails.filter(F.col("id") == thumbnail_id), segments)
+    return sprites.sprite_reads(tiles.filter(F.col("number") == n), gap)
+
+
 def text_segment(cues: DataFrame, track_id: str, start: str, options: Options, boundaries: Sequence[int] = ()) -> DataFrame:
     """(id, content): the cues of the served segment that starts there, clipped
     to it, as a document; without a such segment, no row. cues: (id, pos,

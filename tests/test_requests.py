@@ -121,3 +121,14 @@ def test_text_is_cut_as_the_request_asks(asset, spark):
     assert made.mime_type and made.start_byte == 0 and made.end_byte == 579 == len(made.content) and bytes(made.content[4:8]) == b"ftyp"
     stored = requests.initialization(t.withColumns({"path": F.lit("a.mp4"), "init_end": F.lit(700)}), cues, "wide").first()
     assert (stored.path, stored.start_byte, stored.end_byte, stored.content) == ("a.mp4", 0, 700, None)
+
+
+def test_sources_of_a_sprite(asset, spark):
+    t, s, sheets = asset
+    thumbs = requests.thumbnails_of(t, s, sheets)
+    wide = spark.createDataFrame([("slim", k, 1200 * k + (3 if k == 4 else 0), 1200 * k + 1200, 100 + 10 * k + (500 if k > 2 else 0), 110 + 10 * k + (500 if k > 2 else 0)) for k in range(6)], "id string, idx long, st long, en long, start_byte long, end_byte long")
+    reads = lambda n, gap=0: sorted((r.start_byte, r.end_byte, r.places) for r in requests.sprite_sources(thumbs, wide, "sheet", n, gap).collect())
+    assert reads("1") == [(100, 130, [0, 1, 2]), (630, 640, [3])] and reads("1", 500) == [(100, 640, [0, 1, 2, 3])]
+    assert reads("2") == [(640, 660, [0, 1])] and reads("3") == []
+    with pytest.raises(requests.NotFound):
+        requests.sprite_sources(thumbs, wide, "sheet", "0")
