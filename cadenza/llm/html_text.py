@@ -4,18 +4,20 @@ A tree is built from the tags, with the ends that HTML implies (a new list item
 ends the one before, a block ends an open paragraph, and so on). What a browser
 would not show is left out: elements without visible content, hidden ones, and
 those that a style makes invisible, be it their own or one of a style sheet's
-rules for a tag, class or id (or a combination of these on one element; rules
-for elements inside others, and those under at-rules, are not followed).
+rules for tags, classes and ids, for elements inside such elements too (`.a .b`,
+`.a > .b`; at-rules, siblings, attributes and states are not followed).
 Visibility is inherited and can be regained; no display can't.
 
 The tree is then rendered: white space collapses outside of pre, blocks start on
 lines of their own with a blank line where paragraphs have one, list items get
-bullets or numbers and are indented (to INDENT columns at most), and the cells
-of a table are padded so that columns line up, below cells that span rows too.
+bullets or numbers and are indented, and the cells of a table are padded so that
+columns line up, below cells that span rows too.
 
-All of this is linear in the page, however deep it is nested: there is no
-recursion, and a table is left without padding where padding would be more than
-PADDING times its text.
+Layout has fixed bounds, as a screen has, which keep text and time linear in the
+page: lists indent to column INDENT; a cell of more than WIDE columns does not
+widen its column, and none is pushed beyond column FAR; a table has COLUMNS
+columns, behind which cells follow each other; tables that lie in more than DEEP
+others with columns are set cell below cell. There is no recursion.
 
 One row in, one row out, in the tasks that read the pages; no shuffle.
 """
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
@@ -60,61 +62,104 @@ IMPLIED = {
 #: A block ends an open paragraph unless one of these is in between.
 _HOLDS_P = frozenset("button table td th li dd blockquote div section article body".split())
 _SCOPE = frozenset(["table", "td", "th", "html", "body"])
-#: The deepest indentation, and the most padding of a table for each character.
-INDENT, PADDING = 40, 8
+#: See above.
+INDENT, WIDE, FAR, COLUMNS, DEEP = 40, 80, 160, 1000, 6
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _DECLARATION = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_COMBINATOR = re.compile(r"(\s*>\s*|\s+)")
 _SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "look")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: (displayed, visibility) of the node by itself.
+        self.look: tuple[bool, str | None] = (True, None)
+
+
+#: {property: (weight, value)}
+Values = dict[str, tuple[tuple, str]]
+
+
+def _stronger(best: Values, values: Values) -> None:
+    for name, found in values.items():
+        if name not in best or found[0] > best[name][0]:
+            best[name] = found
 
 
 class Styles:
-    """The display and visibility rules of a page's style sheets."""
+    """The display and visibility rules of a page's style sheets.
+
+    A selector is a chain of compounds, each of which needs some names (tag,
+    classes, id) of one element. Chains that begin alike share their beginnings,
+    and rules with the same chain are one. A compound is looked up by the rarest
+    name that it needs; which beginnings hold for the elements around is counted
+    on the way down, so no element looks back at all those around it."""
 
     def __init__(self, sheets: list[str]):
-        #: (tag, class or id) -> (needed classes and ids, tag, {property: (weight, value)})
-        self.rules: dict[str, list[tuple[frozenset[str], str, dict[str, tuple[tuple, str]]]]] = {}
+        #: (beginning before, whether that is the parent's, needs) -> its number, values, whether chains go on
+        links: dict[tuple[int, bool, frozenset[str]], tuple[int, Values, list]] = {}
         count = 0
         for sheet in sheets:
             for selector, body in _rules(re.sub(r"/\*.*?(\*/|$)", " ", sheet, flags=re.S)):
                 found = _DECLARATION.findall(body)
                 for one in selector.split(",") if found else ():
-                    m = _SELECTOR.fullmatch(one.strip())
-                    if not m or not one.strip():
+                    parts = _COMBINATOR.split(one.strip())
+                    matches = [_SELECTOR.fullmatch(p) for p in parts[0::2]]
+                    if not all(m and m[0] for m in matches):
                         continue
-                    tag = (m[1] or "*").lower()
-                    needs = frozenset(re.findall(r"[.#][\w-]+", m[2]))
                     count += 1
-                    weight = (sum(n[0] == "#" for n in needs), sum(n[0] == "." for n in needs), tag != "*", count)
+                    needs = [frozenset([m[1].lower()] if m[1] and m[1] != "*" else []) | frozenset(re.findall(r"[.#][\w-]+", m[2])) for m in matches]
+                    names = [n for need in needs for n in need]
+                    weight = (sum(n[0] == "#" for n in names), sum(n[0] == "." for n in names), sum(n[0] not in "#." for n in names), count)
                     values = {name.lower(): ((bool(important), *weight), value.lower()) for name, value, important in found}
-                    self.rules.setdefault(next(iter(sorted(needs)), tag), []).append((needs, tag, values))
-
-    def of(self, node: Node) -> tuple[bool, str | None]:
-        """(displayed, visibility) of a node by itself."""
-        a = node.attrs
-        best: dict[str, tuple[tuple, str]] = {}
+                    before = -1
+                    for k, need in enumerate(needs):
+                        before, best, further = links.setdefault((before, k > 0 and ">" in parts[2 * k - 1], need), (len(links), {}, []))
+                        further += [True] if k < len(needs) - 1 and not further else []
+                    _stronger(best, values)
+        often = Counter(n for _, _, need in links for n in need)
+        self.rules: dict[str, list] = {}
+        for (before, child, need), (number, values, further) in links.items():
+            self.rules.setdefault(min(need, key=lambda n: (often[n], n), default="*"), []).append((need, before, child, number, values, bool(further)))
+
+    def resolve(self, root: Node) -> None:
+        """Sets the look of all nodes."""
+        around: Counter[int] = Counter()
+        held: set[int] = set()
+        waiting = [(iter([root]), held)]
+        while waiting:
+            rest, parent = waiting[-1]
+            node = next(rest, None)
+            if node is None:
+                waiting.pop()
+                around.subtract(parent)
+            elif not isinstance(node, str):
+                held = self.enter(node, parent, around)
+                around.update(held)
+                waiting.append((iter(node.children), held))
+
+    def enter(self, node: Node, parent: set[int], around: Counter[int]) -> set[int]:
+        """Sets the node's look; returns the beginnings of chains that it ends."""
+        a, best, begun = node.attrs, {}, set()
         if "hidden" in a or (node.tag == "dialog" and "open" not in a):
             best["display"] = ((), "none")
         if self.rules:
-            names = {f".{c}" for c in (a.get("class") or "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
-            for key in (*names, node.tag, "*"):
-                for needs, tag, values in self.rules.get(key, ()):
-                    if needs <= names and tag in ("*", node.tag):
-                        for name, found in values.items():
-                            if name not in best or found[0] > best[name][0]:
-                                best[name] = found
+            names = {node.tag, *(f".{c}" for c in (a.get("class") or "").split()), *([f"#{a['id']}"] if a.get("id") else ())}
+            for key in (*names, "*"):
+                for needs, before, child, number, values, further in self.rules.get(key, ()):
+                    if needs <= names and (before < 0 or (before in parent if child else around[before] > 0)):
+                        _stronger(best, values)
+                        if further:
+                            begun.add(number)
         if style := a.get("style"):
             for name, value, important in _DECLARATION.findall(style):
-                found = ((bool(important), 99), value.lower())
-                if name.lower() not in best or found[0] > best[name.lower()][0]:
-                    best[name.lower()] = found
-        return best.get("display", ((), ""))[1] != "none", best["visibility"][1] if "visibility" in best else None
+                _stronger(best, {name.lower(): ((bool(important), 1 << 30), value.lower())})
+        if best:
+            node.look = best.get("display", ((), ""))[1] != "none", best["visibility"][1] if "visibility" in best else None
+        return begun
 
 
 def _rules(sheet: str) -> Iterator[tuple[str, str]]:
@@ -144,22 +189,22 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.counts: Counter[str] = Counter()
+        #: tag -> places of the open elements with it.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.sheets: list[str] = []
 
+    def _last(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
     def _end(self, tags: frozenset[str], stop: frozenset[str]) -> None:
-        if not any(self.counts[t] for t in tags):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                self._close(i)
-                return
-            if self.open[i].tag in stop:
-                return
+        """Ends the innermost of these elements, unless one of stop is in it."""
+        at = self._last(tags)
+        if at >= 0 and at >= self._last(stop):
+            self._close(at)
 
     def _close(self, i: int) -> None:
         for node in self.open[i:]:
-            self.counts[node.tag] -= 1
+            self.places[node.tag].pop()
         del self.open[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -176,8 +221,8 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, dict(reversed(attrs)))
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
-            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -199,12 +244,18 @@ class TreeBuilder(HTMLParser):
 
 
 class Lines:
-    """Finished lines, the line being written, and the blank line that is due."""
+    """Finished lines, the line being written, the blank line that is due, and
+    the marks of items that have no line yet."""
 
     def __init__(self):
         self.done: list[str] = []
         self.now: list[str] = []
         self.blank = False
+        #: Where lines start, and the marks before the next one; where those start.
+        self.indent = self.mark_at = 0
+        self.marks: list[str] = []
+        #: No line yet in the innermost part (an item, a cell).
+        self.fresh = True
 
     def text(self, data: str, pre: bool) -> None:
         if pre:
@@ -228,11 +279,41 @@ class Lines:
         if self.blank and self.done:
             self.done.append("")
         self.blank = False
-        self.done += lines
+        for line in lines:
+            self.fresh = False
+            if line and self.marks:
+                self.done.append(" " * self.mark_at + "".join(self.marks) + line)
+                self.marks = []
+            else:
+                self.done.append(" " * self.indent + line if line else "")
 
     def edge(self, spaced: bool) -> None:
         self.done_line()
-        self.blank |= spaced
+        self.blank |= spaced and not self.fresh
+
+    def begin(self, mark: str = "") -> tuple[int, int, bool, bool]:
+        """A part of its own, behind a mark: no blank line leads or trails."""
+        self.done_line()
+        state = self.indent, len(self.marks), self.fresh, self.blank
+        if mark:
+            if not self.marks:
+                self.mark_at = self.indent
+            self.marks.append(mark)
+            self.indent = min(self.indent + len(mark), INDENT)
+        self.fresh = True
+        return state
+
+    def end(self, state: tuple[int, int, bool, bool]) -> None:
+        self.done_line()
+        self.indent, marks, fresh, blank = state
+        empty, self.blank = self.fresh, False
+        if empty:
+            self.blank = blank
+            del self.marks[marks:]
+        else:
+            while len(self.done) > 1 and not self.done[-1]:
+                self.done.pop()
+        self.fresh = fresh and empty
 
 
 def _number(value: str | None, default: int) -> int:
@@ -254,24 +335,22 @@ def _laid_out(rows: list[list[Cell]]) -> list[str]:
     starts = sorted({c.at for row in rows for c in row})
     rank = {at: k for k, at in enumerate(starts)}
     width = [0] * len(starts)
+    wide = lambda c: max((len(x) for x in c.lines if len(x) <= WIDE), default=0)
     for row in rows:
         for c in row:
             if c.span == 1:
-                width[rank[c.at]] = max(width[rank[c.at]], max(map(len, c.lines), default=0))
+                width[rank[c.at]] = max(width[rank[c.at]], wide(c))
     # A cell that spans columns takes the room of those that start inside it.
     for row in rows:
         for c in row:
             if c.span > 1:
                 k, n = rank[c.at], bisect_left(starts, c.at + c.span) - 1
                 room = sum(width[k : n + 1]) + 2 * (n - k)
-                width[n] += max(0, max(map(len, c.lines), default=0) - room)
+                width[n] += max(0, wide(c) - room)
     offset, total = [], 0
     for at, w in zip(starts, width, strict=True):
-        offset.append(2 * at + total)
+        offset.append(min(2 * at + total, FAR))
         total += w
-    text = sum(len(line) for row in rows for c in row for line in c.lines)
-    padded = sum(offset[rank[c.at]] for row in rows for c in row[-1:] for _ in range(max((len(x.lines) for x in row), default=0)))
-    aligned = padded <= PADDING * text + 4096
     out = []
     for row in rows:
         # The few cells that go on are kept apart, so that a long one costs its own lines.
@@ -279,7 +358,7 @@ def _laid_out(rows: list[list[Cell]]) -> list[str]:
         while live := [c for c in live if len(c.lines) > i]:
             line, end = [], 0
             for c in live:
-                gap = max(offset[rank[c.at]] - end, 2 if line else 0) if aligned else 2 * bool(line)
+                gap = max(offset[rank[c.at]] - end, 2 if line else 0)
                 line.append(" " * gap + c.lines[i])
                 end += gap + len(c.lines[i])
             out.append("".join(line).rstrip())
@@ -291,8 +370,9 @@ class Renderer:
     """Lines of a tree. The methods are generators that yield what is to be
     rendered next and are resumed with its lines, so nothing recurses."""
 
-    def __init__(self, styles: Styles):
-        self.styles = styles
+    def __init__(self):
+        #: Tables with columns around.
+        self.depth = 0
 
     def run(self, work: Generator) -> list[str]:
         stack, value = [work], None
@@ -309,9 +389,7 @@ class Renderer:
         """Whether text in the node is visible; None if it has no display."""
         if node.tag in UNSEEN:
             return None
-        if not node.attrs and not self.styles.rules:
-            return visible
-        displayed, visibility = self.styles.of(node)
+        displayed, visibility = node.look
         if not displayed:
             return None
         return visible if visibility in (None, "inherit") else visibility not in ("hidden", "collapse")
@@ -365,6 +443,17 @@ class Renderer:
         if block:
             out.edge(tag in SPACED)
 
+    def inside(self, nodes: list[Node | str], out: Lines, pre: bool, visible: bool, mark: str = "") -> Generator:
+        """The nodes as a part of its own among the lines."""
+        state = out.begin(mark)
+        for c in nodes:
+            if isinstance(c, str):
+                if visible:
+                    out.text(c, pre)
+            else:
+                yield self.node(c, out, pre, visible)
+        out.end(state)
+
     def list(self, node: Node, out: Lines, pre: bool, visible: bool) -> Generator:
         step = -1 if node.tag == "ol" and "reversed" in node.attrs else 1
         items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
@@ -377,17 +466,13 @@ class Renderer:
                 number = _number(c.attrs.get("value"), number)
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += step
-                lines = yield self.lines(c.children, pre, seen)
-                first = next((len(x) - len(x.lstrip(" ")) for x in lines[1:2]), 0)
-                indent = " " * len(mark) if first < INDENT else ""
-                out.add([(mark if i == 0 else indent) + line if line else "" for i, line in enumerate(lines)])
+                yield self.inside(c.children, out, pre, seen, mark)
             else:
                 yield self.node(c, out, pre, visible)
         out.edge(False)
 
     def table(self, node: Node, out: Lines, pre: bool, visible: bool) -> Generator:
         """What HTML does not allow in a table stands before it."""
-        rows: list[list[Cell]] = []
         strays: list[tuple[Node | str, bool]] = []
         # (row, visibility, group): rows of one group, beyond which no cell spans.
         found: list[tuple[Node, bool, int]] = []
@@ -413,10 +498,15 @@ class Renderer:
                 yield self.node(c, out, pre, seen)
             else:
                 strays.append((c, seen))
-        taken: dict[int, tuple[int, int]] = {}  # column -> (its last row, group)
+        # (first column, column behind, last row, group) of cells that reach
+        # into later rows; they don't overlap.
+        taken: list[tuple[int, int, int, int]] = []
+        placed: list[list[tuple[Node, bool, int, int]]] = []
+        plain = True
         for r, (tr, seen, group) in enumerate(found):
-            row: list[Cell] = []
-            at = 0
+            row: list[tuple[Node, bool, int, int]] = []
+            taken = sorted(t for t in taken if t[2] >= r and t[3] == group)
+            at = k = 0
             for c in tr.children:
                 if isinstance(c, str) or c.tag not in ("td", "th"):
                     if not isinstance(c, str) or (seen and c.strip()):
@@ -425,32 +515,48 @@ class Renderer:
                 inner = self.shown(c, seen)
                 if inner is None:
                     continue
-                while taken and at in taken and taken[at][0] >= r and taken[at][1] == group:
-                    at += 1
-                span = min(max(_number(c.attrs.get("colspan"), 1), 1), 1000)
+                while k < len(taken) and taken[k][0] <= at:
+                    at = max(at, taken[k][1])
+                    k += 1
+                at = min(at, COLUMNS)
+                span = min(max(_number(c.attrs.get("colspan"), 1), 1), COLUMNS - at or 1)
                 down = _number(c.attrs.get("rowspan"), 1)
-                if down != 1:
-                    for k in range(at, at + span):
-                        taken[k] = (r + min(down, 65_534) - 1 if down > 0 else len(found), group)
-                lines = yield self.lines(c.children, False, inner)
-                row.append(Cell(at, span, lines))
+                if down != 1 and at < COLUMNS:
+                    plain = False
+                    taken.insert(k, (at, at + span, r + min(down, 65_534) - 1 if down > 0 else len(found), group))
+                    k += 1
+                row.append((c, inner, at, span))
                 at += span
-            rows.append(row)
+            plain &= len(row) <= 1
+            placed.append(row)
         for c, seen in strays:
             if isinstance(c, str):
                 out.text(c, pre)
             else:
                 yield self.node(c, out, pre, seen)
         out.edge(False)
+        if plain or self.depth >= DEEP:
+            for row in placed:
+                for c, inner, _, _ in row:
+                    yield self.inside(c.children, out, False, inner)
+            return
+        self.depth += 1
+        rows: list[list[Cell]] = []
+        for row in placed:
+            rows.append([])
+            for c, inner, at, span in row:
+                lines = yield self.lines(c.children, False, inner)
+                rows[-1].append(Cell(at, span, lines))
+        self.depth -= 1
         out.add(_laid_out(rows))
 
-
 def page_text(html: str | None) -> str:
     """The visible text of a page; empty for null."""
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    renderer = Renderer(Styles(builder.sheets))
+    Styles(builder.sheets).resolve(builder.root)
+    renderer = Renderer()
     text = "\n".join(renderer.run(renderer.lines(builder.root.children, False, True)))
     # The tree can be too deep for Python to free it by recursion.
     waiting = [builder.root]
@@ -465,7 +571,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """(id_col, text, n_chars, n_lines) for each row of pages: the rendered
     visible text, its code points, and its lines that are not blank. A null
     page has the empty text. Ids may be null or repeat; other columns are not
-    read. Deep, wide and long pages are read whole. colspan counts to 1,000 and
+    read. Deep, wide and long pages are read whole. colspan counts to COLUMNS and
     rowspan to 65,534, as HTML has it."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
 

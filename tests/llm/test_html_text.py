@@ -1,4 +1,7 @@
 import re
+import time
+
+import pytest
 
 from cadenza.llm.html_text import extracted, page_text
 
@@ -81,7 +84,12 @@ def test_styles():
         ("<style>.ad, #x {display:none} p.q{display:none}</style><p class='a ad'>no</p><p id=x>no</p><p class=q>no</p><div class=q>yes</div>", "yes"),
         ("<style>.a{display:none} .b{display:block}</style><p class='a b'>yes<p class=a>no", "yes"),
         ("<style>p{display:none !important}</style><p style='display:block'>no</p>yes", "yes"),
-        ("<style>/* p{display:none} */ @media print {p{display:none}} div p {display:none} b{}</style><div><p>yes</div>", "yes"),
+        ("<style>/* p{display:none} */ @media print {p{display:none}} b{}</style><div><p>yes</div>", "yes"),
+        ("<style>div p {display:none}</style><div><b><p>no</b></div><p>yes", "yes"),
+        ("<style>.a .b{display:none}</style><div class=a>x<i><b class=b>SECRET</b></i></div><b class=b>y</b>", "x\ny"),
+        ("<style>.a > .b{display:none}</style><p class=a>x<b class=b>no</b><i><b class=b>y</b></i>", "xy"),
+        ("<style>body #n .b i{display:none}</style><body><p id=n><span class=b>x<i>no</i></span><i>y</i>", "xy"),
+        ("<style>.a .b{visibility:hidden} .b{visibility:visible} .c + .b, .b:hover{display:none}</style><p class=a><b class=b>no</b>", ""),
         ("<style>#n{visibility:hidden} .m{visibility:visible}</style><div id=n>no<i class=m>yes</i></div>", "yes"),
         ("<style>p{display:none", ""),
         ("<p style='display:none' style='display:block'>no</p>yes", "yes"),
@@ -98,6 +106,54 @@ def test_deep_nesting_keeps_visibility():
     assert page_text("<b>" * 50_000 + "x" + "<p>y" * 1000).count("y") == 1000
 
 
+PAGES = {
+    "lists": lambda n: "<ul><li>a" * (n // 9),
+    "numbered lists": lambda n: "<ol><li>a<p>b" * (n // 13),
+    "row spans": lambda n: "<table><tr>" + "<td rowspan=2 colspan=1000>x" * (n // 28) + "<tr><td>y</table>",
+    "rows of spans": lambda n: "<table>" + "<tr><td rowspan=3>x<td colspan=900>y" * (n // 36) + "</table>",
+    "rules": lambda n: "<style>" + "p{display:none}" * (n // 30) + "</style>" + "<p>x</p>" * (n // 16),
+    "rules of classes": lambda n: "<style>" + "".join(f".a .b{k},.a.c{k}{{display:none}}" for k in range(n // 60)) + "</style>" + "<p class='a b7'>x" * (n // 34),
+    "rules in depth": lambda n: "<style>" + "".join(f"div .b{k % 9} i{{display:none}}" for k in range(n // 100)) + "</style>" + "<div><b class=b5>" * (n // 34) + "x",
+    "stray ends": lambda n: "<b><table><td>" + "<span>" * (n // 12) + "</b>" * (n // 8) + "x",
+    "nested tables": lambda n: "<table><tr><td>" * (n // 15) + "x",
+    "nested columns": lambda n: "<table><tr><td>a<td>" * (n // 20) + "x",
+    "rows below a wide row": lambda n: "<table><tr>" + "<td>c" * (n // 10) + "<tr><td>d" * (n // 18),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_time_and_text_grow_with_the_page(name):
+    def seconds(n):
+        began = time.process_time()
+        text = page_text(PAGES[name](n))
+        return time.process_time() - began, len(text)
+
+    (a, small), (b, large) = seconds(120_000), seconds(480_000)
+    assert large <= 4.2 * small + 1000 and large <= 24 * 480_000
+    assert b <= 8 * a + 0.5
+
+
+def test_a_long_cell_leaves_the_others_aligned():
+    text = page_text("<table>" + "<tr><td>name<td>1<tr><td>x<td>22" + "<tr><td>" + "long " * 100 + "<td>3</table>")
+    assert text.split("\n")[:2] == ["name  1", "x     22"] and text.endswith("  3")
+
+
+def test_indentation_has_a_bound():
+    lines = page_text("<ul><li>a" * 100).split("\n")
+    assert [len(x) - len(x.lstrip()) for x in lines if x] == [min(2 * k, 40) for k in range(100)]
+
+
+def test_items():
+    for html, want in [
+        ("<ul><li><p>a</p><p>b</p><li><p>c</p></ul>d", "- a\n\n  b\n- c\n\nd"),
+        ("<ul><li><li>a<li></ul>", "- a"),
+        ("x<ul>y<li>a</ul>", "x\n\ny\n- a"),
+        ("<ol><li><ul><li>a<li>b</ul><li>c</ol>", "1. - a\n   - b\n2. c"),
+        ("<table><tr><td><p>a</p><p>b</p><tr><td><ul><li>c</ul></table>", "a\n\nb\n- c"),
+    ]:
+        assert page_text(html) == want, html
+
+
 def test_tables_take_linear_memory():
     long = "<table><tr><td>" + "x" * 500_000 + "<td>y" + "<tr><td>a<td>b" * 30_000 + "</table>"
     text = page_text(long)
