@@ -174,12 +174,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the labelled rows of docs (null labels and texts are left
     out), or None if there are none. About `rows` of them, chosen by a hash of
     id and text, are read, whole; every language has an equal part, so a rare
-    one is learned whatever the others' sizes. ValueError for more than
-    MOST_LANGUAGES."""
+    one is learned whatever the others' sizes. Of more than MOST_LANGUAGES
+    labels those with the most rows are learned, by name where equal; the others
+    are predicted for no text."""
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()}
+    frequent = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1)
+    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
     if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        sizes.popitem()
+        labelled = labelled.filter(F.col("lang").isin(list(sizes)))
     part = {lang: rows / len(sizes) / n for lang, n in sizes.items()}
     if any(p < 1 for p in part.values()):
         share = F.create_map(*[F.lit(x) for lang, p in part.items() for x in (lang, min(1.0, p))])[F.col("lang")]
