@@ -13,6 +13,10 @@ which rounds run until one finds nothing:
   of words), on average over those with enough tokens to tell, are confident
   enough and it has the kind's least shape; wherever it occurs it is known then.
 
+What can be discovered is a token with a digit or an @, and of digit groups as
+many as have MOST_DIGITS digits together, the most that a card has. The scan is
+linear in a text but for sorting, however many spans it has.
+
 Only pairs of (pattern, token) are shuffled, distinct before and counted with
 partial aggregation. Texts are read once: what the expressions find goes to a
 table in the shared folder, without the texts.
@@ -79,6 +83,22 @@ def running(lengths: Column) -> Column:
     return let(lengths, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast("array<int>")))
 
 
+def counted(points: Column, queries: Column, upto: bool) -> Column:
+    """For each query the number of points below it, or, with upto, not above
+    it; arrays of ints in any order. Both are sorted together and counted."""
+    marks = F.concat(
+        F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(int(not upto)).alias("side"), F.lit(-1).alias("i"))),
+        F.transform(queries, lambda q, i: F.struct(q.alias("at"), F.lit(int(upto)).alias("side"), i.alias("i"))),
+    )
+
+    def ranked(ordered: Column) -> Column:
+        upto_here = running(F.transform(ordered, lambda m: (m["i"] < 0).cast("int")))
+        both = F.zip_with(ordered, upto_here, lambda m, n: F.struct(m["i"].alias("i"), n.alias("n")))
+        return F.transform(F.array_sort(F.filter(both, lambda m: m["i"] >= 0)), lambda m: m["n"])
+
+    return let(F.array_sort(marks), ranked)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value, before>> of the leftmost non-overlapping
     matches: code points, and the text from the match before to this one."""
@@ -132,13 +152,12 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("found", F.flatten(F.array(*(spans(k, kind) for k, kind in enumerate(BASE)))))
     parts = F.transform(F.split("text", TOKEN, -1), lambda p: F.struct(_edge(p).alias("head"), F.reverse(_edge(F.reverse(p))).alias("tail"), (p == " ").alias("space")))
 
-    def piece(base: Column, around: Column, s: Column, i: Column) -> Column:
+    def piece(around: Column, free: Column, s: Column, i: Column) -> Column:
         def words(j: Column, side: str) -> Column:
             return F.nullif(F.get(around, j)[side], F.lit(""))
 
         left = F.when(i == 0, F.concat_ws(" ", F.lit("^ ^"), words(i, "tail"))).otherwise(F.concat_ws(" ", F.when(i == 1, "^").otherwise("#"), words(i - 1, "tail"), F.lit("#"), words(i, "tail")))
         right = F.when(i == F.size(around) - 2, F.concat_ws(" ", words(i + 1, "head"), F.lit("$ $"))).otherwise(F.concat_ws(" ", words(i + 1, "head"), F.lit("#"), words(i + 2, "head"), F.when(i == F.size(around) - 3, "$").otherwise("#")))
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
@@ -151,13 +170,23 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.char_length(F.regexp_replace(s["value"], "[^0-9]", "")).alias("digits"),
         )
 
-    pieces = let(F.struct(F.col("found").alias("base"), parts.alias("around")), lambda v: F.transform(located(F.col("text"), TOKEN), lambda s, i: piece(v["base"], v["around"], s, i)))
-    rows = rows.withColumn("pieces", F.when(F.col("text").rlike("[0-9@]"), pieces).otherwise(F.array().cast(PIECE)))
-
-    def seed(b: Column) -> Column:
-        inside = F.filter("pieces", lambda s: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    # A piece is free of base spans if as many end before it as start before its
+    # end; both sides are counted, no piece is held against every span.
+    field = lambda a, name: F.transform(a, lambda x: x[name])
+    hits = let(
+        F.struct(F.col("found").alias("base"), parts.alias("around"), located(F.col("text"), TOKEN).alias("hits")),
+        lambda v: let(
+            F.struct(counted(field(v["base"], "end"), field(v["hits"], "start"), True).alias("ended"), counted(field(v["base"], "start"), field(v["hits"], "end"), False).alias("begun")),
+            lambda n: F.transform(v["hits"], lambda s, i: piece(v["around"], F.get(n["ended"], i) == F.get(n["begun"], i), s, i)),
+        ),
+    )
+    rows = rows.withColumn("pieces", F.when(F.col("text").rlike("[0-9@]"), hits).otherwise(F.array().cast(PIECE)))
+
+    def seed(n: Column, b: Column, i: Column) -> Column:
+        first, last = F.get(n["ended"], i), F.get(n["begun"], i) - 1
         value = F.when(b["kind"] >= 2, F.regexp_replace(b["value"], "[^0-9]", "")).otherwise(b["value"])
-        return let(inside, lambda x: F.struct(b["start"].alias("start"), b["end"].alias("end"), value.alias("token"), F.get(x, F.lit(0))["left"].alias("left"), F.try_element_at(x, F.lit(-1))["right"].alias("right"), F.lit(True).alias("first"), F.lit(True).alias("last"), b["kind"].alias("known")))
+        left, right = (F.when(first <= last, F.get("pieces", at)[side]).alias(side) for at, side in ((first, "left"), (last, "right")))
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), value.alias("token"), left, right, F.lit(True).alias("first"), F.lit(True).alias("last"), b["kind"].alias("known"))
 
     def reading(group: Column, n: Column, longest: Column) -> Column:
         a, z = F.get(group, F.lit(0)), F.get(group, n - 1)
@@ -188,7 +217,9 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.when(s["free"], many)
 
     free = F.flatten(F.filter(F.transform("pieces", readings), lambda r: r.isNotNull()))
-    tokens = F.concat(F.transform("found", seed), F.filter(free, lambda t: t["end"] > t["start"]))
+    touched = F.struct(counted(field("pieces", "end"), field("found", "start"), True).alias("ended"), counted(field("pieces", "start"), field("found", "end"), False).alias("begun"))
+    seeds = let(touched, lambda n: F.transform("found", lambda b, i: seed(n, b, i)))
+    tokens = F.concat(seeds, F.filter(free, lambda t: t["end"] > t["start"]))
     base = F.transform("found", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     return rows.select("id", "hash", base.alias("base"), tokens.alias("tokens"))
 

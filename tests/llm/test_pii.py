@@ -1,9 +1,15 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
-from cadenza.llm.pii import BASE, personal_data, written_spans
-from tests.llm.common import table
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cadenza.llm.pii import BASE, SHAPE, bootstrapped, counted, personal_data, written_spans
+from tests.llm.common import prose, table
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -96,3 +102,86 @@ def test_rounds_go_on_while_something_is_found(spark):
         texts += [f"{left} {left} 555{n:02d}{i:05d} {right} {right}" for i in range(n)]
     got = found(spark, texts)
     assert all(got[i] == "phone:6:16" for i in range(256, len(texts)))
+
+
+def graph(pairs, support, confidence):
+    """Bootstrapping on plain dictionaries: token -> kind."""
+    known, edges = defaultdict(set), {}
+    for side, pattern, token, kind, counts in pairs:
+        if kind is not None:
+            known[token].add(kind)
+        edges[side, pattern, token] = edges.get((side, pattern, token), False) or counts
+    tokens = defaultdict(set)
+    for (side, pattern, token), counts in edges.items():
+        if counts:
+            tokens[side, pattern].add(token)
+    shapes = [re.compile(SHAPE[k]).search for k in BASE]
+    told = {p: len(t) for p, t in tokens.items() if len(t) >= support}
+    kept = [e for e in edges if e[:2] in told and any(f(e[2]) for f in shapes)]
+    found = {t: set(k) for t, k in known.items()}
+    while True:
+        hits, sums, degree = Counter(), Counter(), Counter()
+        for e in kept:
+            degree[e[2], e[0]] += 1
+            if edges[e]:
+                hits.update((e[0], e[1], k) for k in found.get(e[2], ()))
+        for side, pattern, token in kept:
+            for k in range(len(BASE)):
+                if hits[side, pattern, k] >= support:
+                    sums[token, side, k] += hits[side, pattern, k] / told[side, pattern]
+        new = {(t, k) for (t, side, k), s in sums.items() if s / degree[t, side] >= confidence and shapes[k](t) and t not in known}
+        if all(k in found.get(t, ()) for t, k in new):
+            return {t: min(k) for t, k in found.items()}
+        for t, k in new:
+            found.setdefault(t, set()).add(k)
+
+
+@pytest.mark.parametrize("seed,support,confidence", [(1, 3, 0.8), (2, 2, 0.5), (3, 3, 0.6)])
+def test_the_graph_equals_one_of_dictionaries(spark, seed, support, confidence):
+    rng = random.Random(seed)
+    tokens = [rng.choice([f"55512345{k:02}", f"u{k}@x.y", f"10.0.0.{k}", f"id{k}", f"411111111111{k:04}"]) for k in range(40)]
+    kinds = {t: next((k for k, s in enumerate(SHAPE.values()) if re.search(s, t)), 0) for t in tokens}
+    rows = set()
+    for _ in range(260):
+        t = rng.choice(tokens)
+        known = kinds[t] if rng.random() < 0.3 and t[-1] in "02468y" else None
+        rows.add((rng.choice(["l2", "l1", "r2", "r1"]), f"p{(kinds[t] * 3 + rng.randint(0, 3)) % 9}", t, known, rng.random() < 0.8))
+    got = bootstrapped(spark.createDataFrame(sorted(rows, key=str), "side string, pattern string, token string, known int, counts boolean"), None, support, confidence).collect()
+    assert {r.token: r.kind for r in got} == graph(rows, support, confidence)
+
+
+def test_planted_identifiers_are_found(spark):
+    """Phones and mail addresses in forms that the base expressions miss, in
+    contexts in which seven of eight are known, and numbers that are none."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for i in range(600):
+        digits = "".join(rng.choice("0123456789") for _ in range(10))
+        plain, odd = f"+1 {digits[:3]} {digits[3:]}", rng.choice([f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", digits, f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"])
+        mail, strange = f"u{i}@mail{i % 5}.com", f"u{i}@host{i % 7}"
+        filler = prose(rng, rng.randint(3, 30))
+        parts = [filler, rng.choice(["please call", "phone number"]), plain if i % 8 else odd, "or write", "send mail", mail if i % 8 else strange, "about order", f"{rng.randint(10**7, 10**9)}", "paid twice", prose(rng, 5)]
+        text = " ".join(parts)
+        rows.append((i, text))
+        if i % 8 == 0:
+            planted[i] = {("phone", text.index(odd), text.index(odd) + len(odd)), ("email", text.index(strange), text.index(strange) + len(strange))}
+    got = personal_data(table(spark, rows)).collect()
+    found = {r.doc_id: {(list(BASE)[s.kind], s.start, s.end) for s in r.spans} - {(list(BASE)[s.kind], s.start, s.end) for s in r.base} for r in got}
+    hits = sum(len(found[i] & want) for i, want in planted.items())
+    recall, precision = hits / sum(map(len, planted.values())), hits / max(1, sum(map(len, found.values())))
+    print(f"planted identifiers: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"a{k}@b{k % 7}.com 10.0.{k % 256}.{k % 250}" for k in range(3000))
+    r = personal_data(table(spark, [(1, text)])).first()
+    assert len(r.base) == 6000 and all(text[s.start : s.end].count("@") == (s.kind == 0) for s in r.base)
+
+
+@given(st.lists(st.integers(0, 30), max_size=40), st.lists(st.integers(0, 30), max_size=40), st.booleans())
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_counts_below(spark, points, queries, upto):
+    ints = lambda a: F.array(*map(F.lit, a)).cast("array<int>")
+    got = spark.range(1).select(counted(ints(points), ints(queries), upto).alias("n")).first().n
+    assert got == [sum(p <= q if upto else p < q for p in points) for q in queries]
