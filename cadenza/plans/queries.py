@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs as X
+from cadenza.operators import long_tracks
 from cadenza.operators import renditions as R
 from cadenza.operators import sprites as sprite_ops
 from cadenza.operators import timeline as L
@@ -437,3 +438,35 @@ def sprite_tiles(spark, sf_dir):
 SELECT id, number, source_id, min(start_byte) AS start_byte, max(end_byte) AS end_byte, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM r GROUP BY id, number, source_id, read""")
 def sprite_reads(spark, sf_dir):
     return sprite_ops.sprite_reads(_tiles(spark, sf_dir), 500).withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))
+
+
+# All lines of all orders as one track, each as long as its quantities.
+_LINES = """l0 AS (SELECT l_orderkey * 10 + l_linenumber AS idx, CAST(sum(CAST(l_quantity AS BIGINT)) * 100 AS BIGINT) AS d, CAST(sum(l_partkey % 997) AS BIGINT) AS sz FROM lineitem GROUP BY 1),
+ln AS (SELECT row_number() OVER w - 1 AS i, idx, d, sz, CAST(sum(d) OVER w AS BIGINT) - d AS st, CAST(sum(d) OVER w AS BIGINT) AS en, CAST(sum(sz) OVER w AS BIGINT) AS upto FROM l0 WINDOW w AS (ORDER BY idx))"""
+_LINE_CUTS = [5_000_000, 777_700, 777_700, -1, 10**12]
+
+
+def _lines(spark, sf_dir):
+    place = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+    rows = table(spark, sf_dir, "lineitem").groupBy(place.alias("idx")).agg((F.sum(F.col("l_quantity").cast("bigint")) * 100).alias("duration"), F.sum(F.col("l_partkey") % 997).cast("bigint").alias("size"))
+    return long_tracks.long_prefix_index(rows.withColumn("track", F.lit(0).cast("bigint")), first_byte=40)
+
+
+@query(f"WITH {_LINES} SELECT idx, st AS \"start\", en AS \"end\", 40 + upto - sz AS start_byte, 40 + upto AS end_byte FROM ln")
+def long_track_index(spark, sf_dir):
+    return _lines(spark, sf_dir).select("idx", "start", "end", "start_byte", "end_byte")
+
+
+@query(f"WITH {_LINES}, f AS (SELECT *, CASE WHEN lag(d) OVER (ORDER BY i) IS DISTINCT FROM d THEN 1 ELSE 0 END AS nw FROM ln), g AS (SELECT *, sum(nw) OVER (ORDER BY i) - 1 AS run FROM f) SELECT CAST(run AS BIGINT) AS run, min(st) AS first, any_value(d) AS d, count(*) AS n, min(i) AS number, run = 0 AS gap FROM g GROUP BY run")
+def long_track_runs(spark, sf_dir):
+    return long_tracks.long_runs(_lines(spark, sf_dir), start="start", end="end").drop("track")
+
+
+@query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT count(*) AS n FROM ln), cu AS (SELECT ln.*, (SELECT min(b) FROM (VALUES {", ".join(f"({b})" for b in _LINE_CUTS)}) v(b) WHERE b > st) AS cut FROM ln),
+e AS (SELECT a.i, b.i + 1 AS after FROM ln a ASOF LEFT JOIN ln b ON a.st + 600000 <= b.en), c AS (SELECT a.i, b.i AS cut FROM cu a ASOF LEFT JOIN ln b ON a.cut <= b.st),
+nx AS (SELECT e.i, least(coalesce(after, n), coalesce(cut, n), n) AS nxt FROM e JOIN c USING (i), n),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS group_id UNION ALL SELECT nxt, group_id + 1 FROM g JOIN nx USING (i), n WHERE nxt < n.n)
+SELECT group_id, a.idx AS first_order, a.st AS "start", b.en AS "end", b.upto - a.upto + a.sz AS bytes, nxt - g.i AS n_segments FROM g JOIN nx USING (i) JOIN ln a ON a.i = g.i JOIN ln b ON b.i = nxt - 1""")
+def long_track_groups(spark, sf_dir):
+    s = _lines(spark, sf_dir).select("track", "idx", F.col("start").alias("st"), F.col("end").alias("en"), F.col("start").alias("sm"), F.col("end").alias("em"), F.col("size").alias("sz"))
+    return long_tracks.long_served_groups(s, 600_000, _LINE_CUTS).select("group_id", "first_order", "start", "end", "bytes", "n_segments")
