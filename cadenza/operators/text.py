@@ -23,11 +23,13 @@ BOX, INITIALIZATION, SIDX, REFERENCE = 8, 579, 40, 12
 TIMESCALE = 1000
 
 
-def divisions(tracks: DataFrame, length_ms: int, boundaries: Sequence[int], duration: str = "duration") -> Column:
+def divisions(tracks: DataFrame, length_ms: int | Column, boundaries: Sequence[int], duration: str = "duration") -> Column:
     """The points at which a text track is cut into segments: multiples of the
-    length (0: none) and boundaries, strictly inside its duration."""
+    length (0: none) and boundaries, strictly inside its duration. The length
+    can be an expression of the track."""
     listed = F.array(*[F.lit(int(b)).cast("bigint") for b in boundaries]).cast("array<bigint>")
-    grid = F.sequence(F.lit(length_ms).cast("bigint"), F.greatest(F.col(duration), F.lit(length_ms)), F.lit(length_ms).cast("bigint")) if length_ms else listed
+    length = (F.lit(length_ms) if isinstance(length_ms, int) else length_ms).cast("bigint")
+    grid = F.when(length > 0, F.sequence(length, F.greatest(F.col(duration), length), F.greatest(length, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
     return F.filter(F.concat(listed, grid), lambda b: (b > 0) & (b < F.col(duration)))
 
 
@@ -37,7 +39,7 @@ def durations(cues: DataFrame, track: str = "track") -> DataFrame:
     return cues.groupBy(track).agg(F.max("end_ms").alias("duration")).filter("duration > 0")
 
 
-def text_samples(cues: DataFrame, length_ms: int, boundaries: Sequence[int] = (), track: str = "track") -> DataFrame:
+def text_samples(cues: DataFrame, length_ms: int | Column, boundaries: Sequence[int] = (), track: str = "track") -> DataFrame:
     """(track, segment, start, n_active, bytes): one row for each sample that a
     packaged track has, from 0 to its duration, with the bytes of the sample.
     A sample begins at 0, at a division and at an edge of a cue. cues: (track,
@@ -56,7 +58,7 @@ def text_samples(cues: DataFrame, length_ms: int, boundaries: Sequence[int] = ()
     return rows.select(track, (F.col("segments") - 1).alias("segment"), F.col("at").alias("start"), F.col("active").alias("n_active"), F.when(F.col("active") > 0, F.col("held")).otherwise(len(NO_CUE)).alias("bytes"))
 
 
-def text_index(cues: DataFrame, length_ms: int, boundaries: Sequence[int] = (), track: str = "track") -> DataFrame:
+def text_index(cues: DataFrame, length_ms: int | Column, boundaries: Sequence[int] = (), track: str = "track") -> DataFrame:
     """(track, idx, st, en, sm, em, sz, start_byte, end_byte, n_samples): the
     segments of each track's cues, packaged, in ms and bytes of the file that
     packaging would write. Nothing is packaged. A track without time has none."""

@@ -51,17 +51,17 @@ def snapped(segments: DataFrame, boundaries: Sequence[int], track: str = "track"
     return merged.withColumn("position", F.sum("n").over(before)).filter("n = 0").select(track, F.col("at").alias("boundary"), F.col("position").cast("bigint").alias("position"))
 
 
-def served_groups(segments: DataFrame, minimum_ms: int, boundaries: Sequence[int] = (), track: str = "track", order: str = "idx", start: str = "st", end: str = "en", start_ms: str = "sm", end_ms: str = "em", size: str = "sz") -> DataFrame:
+def served_groups(segments: DataFrame, minimum_ms: int | Column, boundaries: Sequence[int] = (), track: str = "track", order: str = "idx", start: str = "st", end: str = "en", start_ms: str = "sm", end_ms: str = "em", size: str = "sz") -> DataFrame:
     """Greedy groups of consecutive segments: (track, group_id, first_order,
     start, end, start_ms, end_ms, bytes, n_segments).
 
     A group closes when it lasts minimum_ms, at a boundary's cut, or with the
     track; a short tail stays. minimum_ms 0 gives every segment its own group
-    and no heed to boundaries. Groups restart at cuts, so the fold runs per
+    and no heed to boundaries; it can be an expression of track. Groups restart at cuts, so the fold runs per
     (track, cut span); its memory is one span. The fold keeps the places where
     groups start, which are then sliced out. It goes by stretches of STRETCH
     segments, so that appending a place copies a stretch's places at most."""
-    if minimum_ms == 0:
+    if isinstance(minimum_ms, int) and minimum_ms == 0:
         groups = segments.select(track, F.col(order).alias("first_order"), F.col(start).alias("start"), F.col(end).alias("end"), F.col(start_ms).alias("start_ms"), F.col(end_ms).alias("end_ms"), F.col(size).cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("n_segments"))
     else:
         cuts = cut_after(segments, boundaries, track, order, start_ms)

@@ -73,13 +73,25 @@ def text_fragments(spark, sf_dir):
 
 
 #: ftyp and moov of a text track have 579 bytes together; a sidx of n references has 40 + 12 n.
-@query(f'WITH {FRAGMENTS}, n AS (SELECT track, count(*) AS n FROM fr GROUP BY track) SELECT CAST(track AS VARCHAR) AS path, row_number() OVER w - 1 AS idx, "start", CAST("start" + duration AS BIGINT) AS "end", CAST(619 + 12 * n + sum(size) OVER w - size AS BIGINT) AS start_byte, CAST(619 + 12 * n + sum(size) OVER w AS BIGINT) AS end_byte FROM fr JOIN n USING (track) WINDOW w AS (PARTITION BY track ORDER BY segment)')
+PACKAGED = f'WITH {FRAGMENTS}, n AS (SELECT track, count(*) AS n FROM fr GROUP BY track) SELECT CAST(track AS VARCHAR) AS path, row_number() OVER w - 1 AS idx, "start", CAST("start" + duration AS BIGINT) AS "end", CAST(619 + 12 * n + sum(size) OVER w - size AS BIGINT) AS start_byte, CAST(619 + 12 * n + sum(size) OVER w AS BIGINT) AS end_byte FROM fr JOIN n USING (track) WINDOW w AS (PARTITION BY track ORDER BY segment)'
+
+
+@query(PACKAGED)
 def packaged_segments(spark, sf_dir):
     """Text is packaged as files; their headers are read again."""
     files = wvtt.packaged(_samples(spark, sf_dir)).select(F.col("track").cast("string").alias("path"), "content")
     return boxes.segments(boxes.headers(files)).drop("timescale")
 
 
+@query(PACKAGED)
+def packaged_files(spark, sf_dir):
+    """Text is written as files, piece by piece; they are read again by range."""
+    root = fresh_path(spark, "text-files")
+    media.write_pieces(wvtt.pieces(_samples(spark, sf_dir)).withColumn("path", F.format_string("%d.mp4", "track")), root)
+    found = boxes.segments(boxes.read(spark, root)).drop("timescale")
+    return found.withColumn("path", F.regexp_extract("path", r"([0-9]+)\.mp4$", 1))
+
+
 def _descriptors(rows: DataFrame, by: str) -> DataFrame:
     """(path, content): a descriptor per group of tracks, in the order of pos."""
     names = [f.name for f in descriptors.TRACK.fields]

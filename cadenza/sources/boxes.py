@@ -279,18 +279,48 @@ def ranged(files: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.select("path", "idx", F.when(inside, data).otherwise(F.raise_error(F.lit("the range ends past the file"))).alias("data"))
 
 
+#: Bytes of a file whose ranges are one task's, and of one read.
+STRETCH, READ = 64 << 20, 8 << 20
+
+
 def stored_ranges(ranges: DataFrame) -> DataFrame:
     """(path, idx, data) as `ranged`, of stored files; tasks read the ranges,
-    which may lie anywhere in a file of any size."""
+    which may lie anywhere in a file of any size. Ranges of one stretch of a
+    file go to one task, which opens the file once and reads ranges that touch
+    each other together."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, f = None, None
         for batch in batches:
-            for path, idx, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, at = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_file(at) as f:
-                    data = f.read_at(end - start, start)
-                if len(data) < end - start:
+            for group in _touching(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                path, low, high = group[0][0], group[0][2], max(r[3] for r in group)
+                if path != current:
+                    if f:
+                        f.close()
+                    fs, at = pyarrow.fs.FileSystem.from_uri(path)
+                    current, f = path, fs.open_input_file(at)
+                data = f.read_at(high - low, low)
+                if len(data) < high - low:
                     raise ValueError(f"{path}: the range ends past the file")
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([idx], pa.int64()), pa.array([data], pa.binary())], names=["path", "idx", "data"])
-
-    return ranges.select("path", F.col("idx").cast("bigint").alias("idx"), "start_byte", "end_byte").mapInArrow(fetch, "path string, idx bigint, data binary")
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(group)), pa.array([r[1] for r in group], pa.int64()), pa.array([data[r[2] - low : r[3] - low] for r in group], pa.binary())], names=["path", "idx", "data"])
+        if f:
+            f.close()
+
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ranges.select("path", F.col("idx").cast("bigint").alias("idx"), "start_byte", "end_byte")
+    dealt = rows.repartition(n, "path", F.floor(F.col("start_byte") / STRETCH)).sortWithinPartitions("path", "start_byte", "end_byte")
+    return dealt.mapInArrow(fetch, "path string, idx bigint, data binary")
+
+
+def _touching(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (path, idx, start, end), in that order, by what one read fetches."""
+    group: list[tuple] = []
+    end = 0
+    for r in rows:
+        if group and (r[0] != group[0][0] or r[2] > end or r[3] - group[0][2] > READ):
+            yield group
+            group = []
+        end = max(end, r[3]) if group else r[3]
+        group.append(r)
+    if group:
+        yield group

@@ -14,6 +14,8 @@ import struct
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cadenza.sources.stored import written
+
 # The parts of the format that no sample changes.
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 FTYP = bytes.fromhex("0000001c") + b"ftypiso6" + bytes(4) + b"iso6cmfccmft"
@@ -119,3 +121,15 @@ def packaged(samples: DataFrame, track: str = "track", timescale: int = 1000, tr
     head = heads(pieces.withColumn("size", F.length("fragment")), track, timescale, track_id)
     bodies = pieces.groupBy(track).agg(F.array_sort(F.collect_list(F.struct("segment", "fragment"))).alias("f"))
     return bodies.join(head, track).select(track, F.concat("head", joined(F.transform("f", lambda f: f["fragment"]))).alias("content"))
+
+
+def pieces(samples: DataFrame, track: str = "track", timescale: int = 1000, track_id: int = 1) -> DataFrame:
+    """(track, place, data): each track's file in pieces, the head and then the
+    fragments, for a sink that appends them (`media.write_pieces`). No row is
+    more than one of them."""
+    made = written(fragments(samples, track, track_id), "fragments")
+    head = heads(made.withColumn("size", F.length("fragment")), track, timescale, track_id)
+    first = head.select(track, F.lit(None).cast("bigint").alias("place"), F.col("head").alias("data"))
+    rest = made.select(track, F.col("segment").cast("bigint").alias("place"), F.col("fragment").alias("data"))
+    # A segment's number may be any; the head stands before them all.
+    return first.unionByName(rest).withColumn("place", F.coalesce("place", F.lit(-(1 << 63))))

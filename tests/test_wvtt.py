@@ -76,3 +76,13 @@ def test_from_document_to_segments(spark):
     assert segs.agg(F.max(X.bitrate(F.col("sz"), F.col("end") - F.col("start"), F.col("timescale"))).alias("r")).first()["r"] > 0
     first = L.clipped(cues, 0, 750)
     assert webvtt.formatted(first).first()["content"] == "WEBVTT\n\n00:00:00.500 --> 00:00:00.750\na\n"
+
+
+def test_pieces_are_the_file(spark):
+    rows = [("a", 0, 0, 100, ["x"]), ("a", 0, 100, 250, []), ("a", 1, 250, 300, ["y", "z"]), ("b", -3, 0, 10, [])]
+    samples = spark.createDataFrame(rows, "track string, segment long, start long, end long, active array<string>")
+    whole = {r.track: bytes(r.content) for r in wvtt.packaged(samples).collect()}
+    parts = {}
+    for r in sorted(wvtt.pieces(samples).collect(), key=lambda r: (r.track, r.place)):
+        parts[r.track] = parts.get(r.track, b"") + bytes(r.data)
+    assert parts == whole
