@@ -3,11 +3,12 @@
     spark.read.format("media_ranges").load(uri)      segments with their bytes
     rows.write.format("media_files").save(uri)       files from pieces in order
 
-Reading deals files out in stretches of bytes, as file scans do. A task reads
-the header of its file, takes the segments that start in its stretch and pass
-what was pushed down (path, idx, start, end), and fetches neighbouring ones in
-one read; it opens the file once and holds one such read. Writing appends pieces
-as they come to staged files, which get their names when all tasks are done.
+Reading deals files out in stretches of bytes, as file scans do; where there are
+many, a task takes several one after the other. It reads the header of a file,
+takes the segments that start in its stretch and pass what was pushed down
+(path, idx, start, end), and fetches neighbouring ones in one read; it opens the
+file once and holds one such read. Writing appends pieces as they come to staged
+files, which get their names when all tasks are done.
 
 Paths are URIs that pyarrow's file systems know (local files, HDFS, S3, GCS).
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,6 +46,11 @@ PIECE = "path string, place bigint, data binary"
 #: Bytes of a file that are one task's, and of one read; bytes between segments
 #: that are read along rather than asked for anew.
 STRETCH, READ, GAP = 64 << 20, 8 << 20, 64 << 10
+#: So many stretches are a task each. Of more, a task takes TASK bytes, or what
+#: deals them to so many tasks; opening a file counts as OPEN bytes.
+TASKS, TASK, OPEN = 256, 64 << 20, 256 << 10
+#: Files that a commit names at a time.
+NAMING = 16
 _TESTS = {EqualTo: "__eq__", GreaterThan: "__gt__", GreaterThanOrEqual: "__ge__", LessThan: "__lt__", LessThanOrEqual: "__le__"}
 
 
@@ -53,6 +60,29 @@ class Stretch(InputPartition):
     length: int
     first: int
     stop: int
+    others: tuple["Stretch", ...] = ()
+
+
+def dealt(stretches: list[Stretch], tasks: int = TASKS, task: int = TASK) -> list[Stretch]:
+    """Stretches, in order, as partitions: each with the others of its task.
+    Neighbours in a file become one."""
+    if len(stretches) <= tasks:
+        return stretches
+    weights = [min(s.stop, s.length) - s.first + OPEN for s in stretches]
+    most = min(task, -(-sum(weights) // tasks))
+    groups: list[list[Stretch]] = []
+    held = most
+    for s, weight in zip(stretches, weights, strict=True):
+        if held + weight > most:
+            groups.append([])
+            held = 0
+        last = groups[-1][-1] if groups[-1] else None
+        if last and last.path == s.path and last.stop == s.first:
+            groups[-1][-1] = Stretch(s.path, s.length, last.first, s.stop)
+        else:
+            groups[-1].append(s)
+        held += weight
+    return [Stretch(g[0].path, g[0].length, g[0].first, g[0].stop, tuple(g[1:])) for g in groups]
 
 
 class RangeReader(DataSourceReader):
@@ -80,11 +110,14 @@ class RangeReader(DataSourceReader):
         found = fs.get_file_info(base)
         files = [found] if found.is_file else fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True))
         listed = [(prefix + f.path, f.size) for f in files if f.is_file and not f.base_name.startswith((".", "_"))]
-        return [Stretch(path, size, at, at + self.stretch) for path, size in sorted(listed) if self.passes(path=path) for at in range(0, size, self.stretch)] or [Stretch("", 0, 0, 0)]
+        return dealt([Stretch(path, size, at, at + self.stretch) for path, size in sorted(listed) if self.passes(path=path) for at in range(0, size, self.stretch)]) or [Stretch("", 0, 0, 0)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+        for part in (partition, *partition.others):
+            if part.path:
+                yield from self.stretch_of(part)
+
+    def stretch_of(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         fs, at = pyarrow.fs.FileSystem.from_uri(partition.path)
         with fs.open_input_file(at) as f:
             try:
@@ -125,7 +158,8 @@ class RangeReader(DataSourceReader):
 
 class MediaRanges(DataSource):
     """The segments of fragmented files under `path`, with their bytes. Options:
-    stretch, bytes of a file for a task; gap, bytes read along between segments."""
+    stretch, bytes of a file for a task, which may take several such stretches;
+    gap, bytes read along between segments."""
 
     @classmethod
     def name(cls) -> str:
@@ -179,10 +213,12 @@ class PieceWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Staged | None]) -> None:
         fs, base = pyarrow.fs.FileSystem.from_uri(self.root)
-        for staged, path in (m for message in messages if message for m in message.moves):
-            target = f"{base}/{path}"
-            fs.create_dir(target.rpartition("/")[0], recursive=True)
-            fs.move(staged, target)
+        moves = [(staged, f"{base}/{path}") for message in messages if message for staged, path in message.moves]
+        for folder in sorted({target.rpartition("/")[0] for _, target in moves}):
+            fs.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(NAMING) as pool:
+            for _ in pool.map(lambda m: fs.move(*m), moves):
+                pass
 
     def abort(self, messages: list[Staged | None]) -> None:
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.root)

@@ -91,3 +91,21 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
         media.write_pieces(rows, f"file://{tmp_path}/out")
     left = os.listdir(tmp_path / "out") if (tmp_path / "out").exists() else []
     assert left == []
+
+
+def test_many_files_share_tasks(spark, tmp_path):
+    for n in range(600):
+        (tmp_path / f"{n:03d}.mp4").write_bytes(file(2 + n % 9))
+    reader = media.RangeReader(f"file://{tmp_path}", 100, 0, ["path", "idx"])
+    parts = reader.partitions()
+    assert len(parts) <= media.TASKS + 1 and max(len(p.others) for p in parts) < 20
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == sum(2 + n % 9 for n in range(600))
+    got = media.read_ranges(spark, f"file://{tmp_path}", stretch=100)
+    assert got.rdd.getNumPartitions() <= media.TASKS + 1
+    assert got.select("path", "idx").distinct().count() == got.count() == sum(2 + n % 9 for n in range(600))
+
+
+def test_large_tasks_are_cut_by_bytes():
+    many = [media.Stretch(f"f{k // 10}", 10 * media.STRETCH, k % 10 * media.STRETCH, (k % 10 + 1) * media.STRETCH) for k in range(400)]
+    assert len(media.dealt(many)) == 400
+    assert [(p.first, p.stop) for p in media.dealt([media.Stretch("f", 100, k, k + 10) for k in range(0, 100, 10)], 2)] == [(0, 50), (50, 100)]
