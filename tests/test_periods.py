@@ -37,3 +37,14 @@ def test_runs_by_period_equal_segments_by_period(spark, seed, timescale):
     for r in edge.collect():
         rows = held[r.track, r.period_id]
         assert r.starts == any(r.tick == a for _, a, _ in rows) and r.ends == any(r.tick == b for _, _, b in rows)
+
+
+def test_runs_are_cut_without_wide_divisions(spark):
+    runs = spark.createDataFrame([("a", 0, 0, 10, 7, 0, True), ("b", 0, 5, 0, 2, 0, True)], "track string, run long, first long, d long, n long, number long, gap boolean")
+    spans = periods.spans_of(F.lit(50).cast("bigint"), [20, 33])
+    at = spark.createDataFrame([("a", 1000), ("b", 1000)], "track string, timescale long")
+    pieces = periods.clipped_runs(runs.join(at.withColumn("spans", periods.ticked(spans, F.col("timescale"))), "track"))
+    # Once for each track, below the join, and not for its runs.
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan[: plan.index("Join")]
+    assert sorted((r.track, r.period_id, r["first"], r.n) for r in pieces.collect()) == [("a", 0, 0, 2), ("a", 1, 20, 2), ("a", 2, 30, 2), ("b", 0, 5, 2)]
