@@ -151,7 +151,11 @@ g AS (SELECT x.track, x.period_id, any_value(em0.b) AS b, any_value(period_start
 
 
 def _steps(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("idx")).filter("(idx div 4) % 5 <> 2")
+    """40 steps for each customer, less what is left out. Customers are dealt
+    out first: a file of many is one task, and what steps give is grouped there."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track")).repartition(n, "track")
+    c = dealt.select("track", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("idx")).filter("(idx div 4) % 5 <> 2")
     sm = F.col("idx") * 21_600_000 + START
     em = sm + F.when((F.col("idx") + F.col("track")) % 3 == 0, 18_000_000).otherwise(21_600_000)
     return c.select("track", "idx", sm.alias("sm"), em.alias("em"))

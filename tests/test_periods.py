@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import periods, timeline
+from cadenza.plans import queries
 
 
 @pytest.mark.parametrize("seed,timescale", [(1, 1000), (2, 600), (3, 90_000), (4, 7), (5, 48_000)])
@@ -48,3 +49,12 @@ def test_runs_are_cut_without_wide_divisions(spark):
     plan = pieces._jdf.queryExecution().optimizedPlan().toString()
     assert "decimal" not in plan[: plan.index("Join")]
     assert sorted((r.track, r.period_id, r["first"], r.n) for r in pieces.collect()) == [("a", 0, 0, 2), ("a", 1, 20, 2), ("a", 2, 30, 2), ("b", 0, 5, 2)]
+
+
+def test_customers_are_dealt_out_before_their_steps(spark):
+    """A small file is one task, whose groups would all be in its memory."""
+    for name in ("period_relationship", "template_shift"):
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [track" in plan and plan.index("Generate explode(") < plan.index("RepartitionByExpression [track")
+    steps = queries._steps(spark, "/root/testdata/sf0.001")
+    assert steps.rdd.getNumPartitions() == 4 and steps.count() == steps.select("track").distinct().count() * 32
