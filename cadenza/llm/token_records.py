@@ -36,8 +36,8 @@ from tokenizers import Tokenizer
 from cadenza.llm.session import fresh_path, partitions
 
 MASK_DELTA = 0xA282EAD8
-#: Bytes of encoded words that a worker remembers at most; beyond it starts
-#: afresh. What one of them takes beside its text and ids.
+#: Bytes of encoded words that a worker remembers at most; beyond it keeps those
+#: of the last texts. What one of them takes beside its text and ids.
 REMEMBERED_BYTES, ENTRY = 96 << 20, 220
 _FLUSH = 4 << 20
 #: Text that is cut into words at a time.
@@ -95,6 +95,8 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.held = 0
+        #: Words and pieces of the last texts.
+        self.last: list[set[str]] = [set(), set()]
         if self.by_piece:
             vocab = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -104,28 +106,42 @@ class WordEncoder:
             self.cut = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", _members("L")).replace(r"\p{N}", _members("N"))).findall
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self.found(text).tobytes()
 
-    def learn(self, known: dict[str, bytes], new: set[str], together: bool) -> None:
+    def found(self, text: str) -> np.ndarray:
+        # Of one text, the batch's form gives the same ids without offsets.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def learn(self, known: dict[str, bytes], fresh: list[str], together: bool) -> None:
         """Takes in new words or pieces, so that looking them up finds them."""
-        fresh = list(new)
         for k in range(0, len(fresh), 5000):
             part = fresh[k : k + 5000]
             found = None
             if together:
-                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+                ids = self.found(" ".join(part))
                 stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
                 if len(stops) == len(part) and stops[-1] == len(ids):
                     data, step = ids.tobytes(), ids.itemsize
                     found = [data[a * step : b * step] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
             found = found or [self.ids(p) for p in part]
             known.update(zip(part, found, strict=True))
-            self.held += sum(map(len, part)) + sum(map(len, found)) + ENTRY * len(part)
+            self.held += self.taken(part, found)
+
+    @staticmethod
+    def taken(words, ids) -> int:
+        return sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
+
+    def forget(self) -> None:
+        """Keeps what the last texts had: of common words, most."""
+        self.words, self.pieces = ({w: known[w] for w in had if w in known} for known, had in ((self.words, self.last[0]), (self.pieces, self.last[1])))
+        self.held = sum(self.taken(known, known.values()) for known in (self.words, self.pieces))
+        if self.held > REMEMBERED_BYTES // 2:
+            self.words, self.pieces, self.held = {}, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts, of about _CHUNK characters together."""
         if self.held > REMEMBERED_BYTES:
-            self.words, self.pieces, self.held = {}, {}, 0
+            self.forget()
         out: list[bytes] = []
         cut: list[tuple[dict, list[str]] | None] = []
         for t in texts:
@@ -135,9 +151,11 @@ class WordEncoder:
                 cut.append((self.words, t.split()))
             else:
                 cut.append(None)
-        for known, together in ((self.pieces, True), (self.words, False)):
-            if new := set().union(*(c[1] for c in cut if c and c[0] is known)) - known.keys():
-                self.learn(known, new, together)
+        for k, (known, together) in enumerate(((self.words, False), (self.pieces, True))):
+            self.last[k] = set().union(*(c[1] for c in cut if c and c[0] is known))
+            # Not a difference of sets: that would go through all that is known.
+            if fresh := [w for w in self.last[k] if w not in known]:
+                self.learn(known, fresh, together)
         for t, c in zip(texts, cut, strict=True):
             out.append(self.ids(t) if c is None else b"".join(map(c[0].__getitem__, c[1])))
         return out

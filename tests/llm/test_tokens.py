@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cadenza.llm.token_counts import token_counts
+from cadenza.llm import token_records as records
 from cadenza.llm.token_records import frame, token_records, unframe
 from tests.llm.common import table
 
@@ -51,3 +52,16 @@ def test_damaged_record_is_refused():
         with pytest.raises(ValueError):
             _, after = unframe(bytes(broken))
             unframe(bytes(broken), after)
+
+
+def test_common_words_are_kept_when_others_are_forgotten(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    encoder, tok, learned = records.WordEncoder(spec), Tokenizer.from_str(spec), []
+    monkeypatch.setattr(records, "REMEMBERED_BYTES", 40 * records.ENTRY)
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda known, fresh, together: (learned.extend(fresh), learn(known, fresh, together)))
+    for k in range(30):
+        text = f"the common words of all texts w{k}x q{k}y"
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert learned.count("common") == 1 and len(encoder.pieces) < 60
