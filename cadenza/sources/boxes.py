@@ -185,13 +185,19 @@ def _of(path: str, *source) -> dict:
         raise ValueError(f"{path}: {e}") from e
 
 
+#: Files whose headers are given at a time.
+AT_ONCE = 200
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """A HEADER row for each row (path, content) of files that are in memory. A
-    malformed file raises."""
+    """A HEADER row for each row (path, content) of files that are in memory, of
+    which a task copies one at a time. A malformed file raises."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch([_of(path, content) for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                yield _batch([_of(path.as_py(), content.as_py()) for path, content in zip(*part.columns, strict=True)])
 
     return validated(files.select("path", "content").mapInArrow(scan, HEADER))
 

@@ -2,6 +2,7 @@
 
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -87,3 +88,22 @@ def test_wide_index_and_late_repeat():
     assert boxes.header(content)["earliest"] == 1 << 33
     twice = good(moov=movie(AVC, timescale=5) + movie(AVC, timescale=7))
     assert boxes.header(twice)["timescale"] == 7
+
+
+def test_headers_come_in_small_batches(spark, monkeypatch):
+    """However many files a batch brings, few headers are held at once."""
+    held, batch = [], boxes._batch
+    monkeypatch.setattr(boxes, "AT_ONCE", 3)
+    monkeypatch.setattr(boxes, "_batch", lambda rows: (held.append(len(rows)), batch(rows))[1])
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, scan, schema):
+            paths = pa.array([str(k) for k in range(8)])
+            self.out = list(scan(iter([pa.RecordBatch.from_arrays([paths, pa.array([good()] * 8, pa.binary())], names=["path", "content"])])))
+            return self
+
+    monkeypatch.setattr(boxes, "validated", lambda rows: rows)
+    assert sum(b.num_rows for b in boxes.headers(Files()).out) == 8 and held == [3, 3, 2]
