@@ -9,11 +9,15 @@ shared folder, which the tasks that hold a shard read: neither queries nor
 results pass the driver.
 
 In a shard, pruning goes by upper bounds, as in WAND, for all documents at once.
-A query's terms are sorted by their greatest contributions to a score; those
-that together stay below the floor can't lift a document above it alone, so only
-documents with another term are looked at. Of these the blocks' own greatest
-contributions say which can still reach the floor, and only in the blocks that
-hold such documents are the postings of the weak terms read.
+Of words that many of the shard's documents have, which hold most of a query's
+postings, the weights are kept by document too. A query's words of this kind are
+sorted by their greatest contributions to a score; those that together stay
+below the floor can't lift a document above it alone, so only documents with
+another term are looked at. Of these the blocks' own greatest contributions say
+which can still reach the floor, and only they are scored by the weak terms:
+bounds of blocks and scores of documents are products with a matrix, and no
+posting of a weak term is read. What a block of queries asks for is looked up in
+a shard once, not query by query.
 
 Shards are searched in rounds, for each block of queries first 1 shard, then 3,
 12, 48 and so on, another shard for each block to begin with. After a round the
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,8 @@ from cadenza.llm.wordhash import block
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: A word in more than one of so many documents of a shard is kept by document.
+OFTEN = 10
 #: Query text in a block, of which each query counts as some bytes at least;
 #: and the least number of blocks, which are searched side by side.
 QUERY_BYTES, QUERY_LEAST, QUERY_BLOCKS = 16 << 20, 1 << 12, 32
@@ -108,14 +115,26 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(build, "shard int, n_docs bigint, n_words bigint, ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary")
 
 
+class Met(NamedTuple):
+    """What a shard has of each word that a block of queries asks for."""
+
+    have: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    bound: np.ndarray
+    column: np.ndarray
+    idf: np.ndarray
+
+
 class Shard:
     """An index row, ready to be searched. It reads the row's buffers where they
-    are, and holds a weight for each posting beside them."""
+    are, and holds a weight for each posting beside them; for the most frequent
+    words also one for each document, of which there are no more than postings."""
 
     def __init__(self, row: dict[str, pa.Buffer], mean: float):
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<u4")
         self.terms, self.starts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        n = int(self.starts[-1])
+        n, held = int(self.starts[-1]), len(self.ids)
         self.docs = _wide(row["docs"], n)
         self.weight = _wide(row["counts"], n).astype(np.float64)
         slack = (K1 * (1 - B + B * lengths / mean))[self.docs]
@@ -123,60 +142,63 @@ class Shard:
         self.weight *= K1 + 1
         self.weight /= slack
         del slack
-        # The greatest weight of each term in each block that has it.
-        cell = self.docs // BLOCK
-        edge = np.ones(n, dtype=bool)
-        np.not_equal(cell[1:], cell[:-1], out=edge[1:])
-        edge[self.starts[:-1]] = True
-        new = np.flatnonzero(edge)
-        self.cell, self.cell_at = cell[new], np.append(new, n)
-        self.cell_max = np.maximum.reduceat(self.weight, new) if n else np.empty(0)
-        self.cell_start = np.searchsorted(new, self.starts)
-        self.term_max = np.maximum.reduceat(self.cell_max, self.cell_start[:-1]) if n else np.empty(0)
-        self.blocks = -(-len(self.ids) // BLOCK)
-
-    def _scores(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Each document's score by these terms alone."""
-        low, high = self.starts[at].tolist(), self.starts[at + 1].tolist()
-        docs = np.concatenate([self.docs[:0], *[self.docs[a:b] for a, b in zip(low, high)]])
-        weight = np.concatenate([self.weight[:0], *[self.weight[a:b] for a, b in zip(low, high)]])
-        weight *= np.repeat(idf, self.starts[at + 1] - self.starts[at])
-        return np.bincount(docs, weight, minlength=len(self.ids))
-
-    def _rest(self, at: np.ndarray, idf: np.ndarray, acc: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of those whose score acc by other terms can reach
-        the floor with these terms; the scores are by all terms."""
-        low, high = self.cell_start[at].tolist(), self.cell_start[at + 1].tolist()
-        cell = np.concatenate([self.cell[:0], *[self.cell[a:b] for a, b in zip(low, high)]])
-        most = np.concatenate([self.cell_max[:0], *[self.cell_max[a:b] for a, b in zip(low, high)]])
-        n = self.cell_start[at + 1] - self.cell_start[at]
-        idf = np.repeat(idf, n)
-        bound = np.bincount(cell, most * idf, minlength=self.blocks)
-        found = np.flatnonzero((acc > 0) & (acc + np.repeat(bound, BLOCK)[: len(acc)] >= floor - _SLACK))
-        inside = np.zeros(self.blocks, bool)
-        inside[found // BLOCK] = True
-        mine = np.flatnonzero(inside[cell])
-        number = (np.repeat(self.cell_start[at] - (np.cumsum(n) - n), n) + np.arange(len(cell)))[mine]
-        m = self.cell_at[number + 1] - self.cell_at[number]
-        posting = np.repeat(self.cell_at[number] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        acc = acc + np.bincount(self.docs[posting], self.weight[posting] * np.repeat(idf[mine], m), minlength=len(acc))
-        return found, acc[found]
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self.term_max = np.maximum.reduceat(self.weight, self.starts[:-1]) if n else np.empty(0)
+        df = np.diff(self.starts)
+        often = np.flatnonzero(df * OFTEN > held)
+        often = often[np.argsort(-df[often], kind="stable")[: n // max(held, 1)]]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.by_doc = np.zeros((held, len(often)))
+        for j, t in enumerate(often.tolist()):
+            mine = slice(self.starts[t], self.starts[t + 1])
+            self.by_doc[self.docs[mine], j] = self.weight[mine]
+        # The greatest weight of each frequent word in each block.
+        self.block_max = np.maximum.reduceat(self.by_doc, np.arange(0, held, BLOCK)) if held else self.by_doc
+
+    def meet(self, terms: np.ndarray, idf: np.ndarray) -> Met:
+        """These words in this shard."""
+        if not len(self.terms):
+            none = np.zeros(len(terms), np.int64)
+            return Met(none > 0, none, none, none, none, idf)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return Met(self.terms[at] == terms, self.starts[at], self.starts[at + 1] - self.starts[at], self.term_max[at] * idf, self.column[at], idf)
+
+    def _scores(self, met: Met, words: np.ndarray) -> np.ndarray:
+        """Each document's score by these words alone."""
+        n = met.n[words]
+        posting = np.repeat(met.first[words] - (np.cumsum(n) - n), n)
+        posting += np.arange(len(posting))
+        weight = self.weight.take(posting)
+        weight *= np.repeat(met.idf[words], n)
+        return np.bincount(self.docs.take(posting), weight, minlength=len(self.ids))
+
+    def _rest(self, met: Met, words: np.ndarray, acc: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of those whose score acc by other words can reach
+        the floor with these frequent ones; the scores are by all words."""
+        asked = np.zeros(self.by_doc.shape[1])
+        asked[met.column[words]] = met.idf[words]
+        bound = np.repeat(self.block_max @ asked, BLOCK)[: len(acc)]
+        found = np.flatnonzero((acc > 0) & (acc + bound >= floor - _SLACK))
+        return found, acc[found] + self.by_doc[found] @ asked
+
+    def search(self, met: Met, words: np.ndarray, k: int, floor: float = 0.0, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, rounded scores) of this shard's k best, by score and then id,
-        if they are before (floor, before) in that order."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[have], idf[have]
-        bound = self.term_max[at] * idf
-        order = np.argsort(bound, kind="stable")
-        at, idf = at[order], idf[order]
-        weak = int(np.searchsorted(np.cumsum(bound[order]), floor - _SLACK, "left")) if floor > _SLACK else 0
-        acc = self._scores(at[weak:], idf[weak:])
-        found = np.flatnonzero(acc)
-        scores = acc[found]
-        if weak and len(found):
-            found, scores = self._rest(at[:weak], idf[:weak], acc, floor)
+        if they are before (floor, before) in that order. words: a query's, as
+        places in what was met."""
+        strong = words[met.have[words]]
+        weak = strong[:0]
+        if floor > _SLACK:
+            often = met.column[strong] >= 0
+            sorted_ = strong[often]
+            sorted_ = sorted_[np.argsort(met.bound[sorted_], kind="stable")]
+            below = int(np.searchsorted(np.cumsum(met.bound[sorted_]), floor - _SLACK, "left"))
+            weak, strong = sorted_[:below], np.concatenate([strong[~often], sorted_[below:]])
+        acc = self._scores(met, strong)
+        if len(weak):
+            found, scores = self._rest(met, weak, acc, floor)
+        else:
+            found = np.flatnonzero(acc)
+            scores = acc[found]
         ids, scores = self.ids[found], np.round(scores.astype(np.float64), 4)
         keep = scores >= floor if before is None else (scores > floor) | ((scores == floor) & (ids < before))
         ids, scores = ids[keep], scores[keep]
@@ -203,8 +225,10 @@ def _get(fs: pyarrow.fs.FileSystem, path: str) -> pa.Table | None:
 
 
 def query_blocks(index: DataFrame, queries: DataFrame, n_docs: int, out: str) -> int:
-    """Writes the queries (id, text) as files out/block-N: a row of (id, terms,
-    idf) each, terms and idf packed. Returns the number of blocks."""
+    """Writes the queries (id, text) as files: out/words-N has the words that
+    block N asks for, with their inverse document frequencies, and out/block-N a
+    row (id, words) of each query, its words as packed places in that list.
+    Returns the number of blocks."""
     n = partitions(index.sparkSession)
     size = queries.agg(F.sum(F.length("text") + QUERY_LEAST)).first()[0] or 0
     blocks = max(QUERY_BLOCKS, -(-size // QUERY_BYTES))
@@ -250,10 +274,11 @@ def query_blocks(index: DataFrame, queries: DataFrame, n_docs: int, out: str) ->
         terms, df = get("terms", "<u8"), get("df", "<i8")
         order = np.argsort(terms)
         terms, idf = terms[order], np.log1p((n_docs - df[order] + 0.5) / (df[order] + 0.5))
-        of = [idf[np.searchsorted(terms, np.frombuffer(b, "<u8"))].tobytes() for b in table.column("terms").to_pylist()]
+        places = [np.searchsorted(terms, np.frombuffer(b, "<u8")).astype("<i4").tobytes() for b in table.column("terms").to_pylist()]
         fs, root = pyarrow.fs.FileSystem.from_uri(out)
         block = table.column("block")[0].as_py()
-        _put(fs, f"{root}/block-{block}", pa.table({"id": table.column("id"), "terms": table.column("terms"), "idf": pa.array(of, pa.binary())}))
+        _put(fs, f"{root}/words-{block}", pa.table({"terms": pa.array(terms), "idf": pa.array(idf)}))
+        _put(fs, f"{root}/block-{block}", pa.table({"id": table.column("id"), "words": pa.array(places, pa.binary())}))
         return pa.table({"block": pa.array([block], pa.int32()), "n": pa.array([table.num_rows], pa.int64())})
 
     packed = written(asked.groupBy("block").applyInArrow(pack, "block int, id bigint, terms binary"), "bm25-queries")
@@ -317,9 +342,10 @@ def _searched(out: str, low: int, high: int, shards: int, blocks: int, mean: flo
                     if floors is not None:
                         for q, s, d in zip(*(c.to_pylist() for c in floors.columns), strict=True):
                             floor[q], before[q] = s, d
+                    met = shard.meet(*(c.to_numpy() for c in _get(fs, f"{root}/words-{b}").columns))
                     n, d, s = [], [], []
-                    for q, (terms, idf) in enumerate(zip(queries.column("terms").to_pylist(), queries.column("idf").to_pylist(), strict=True)):
-                        hit, score = shard.search(np.frombuffer(terms, "<u8"), np.frombuffer(idf, "<f8"), k, floor[q], before[q])
+                    for q, words in enumerate(queries.column("words").to_pylist()):
+                        hit, score = shard.search(met, np.frombuffer(words, "<i4"), k, floor[q], before[q])
                         n.append(len(hit))
                         d.append(hit)
                         s.append(score)

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from cadenza.llm import bm25
 from cadenza.llm.bm25 import top_k
 from tests.llm.common import prose, table
@@ -66,3 +68,21 @@ def test_scores_that_round_alike_are_ties(spark):
         assert [r[:3] for r in got] == [r[:3] for r in want]
     rows = docs()
     assert [r[:3] for r in result(spark, rows, 10)] == [r[:3] for r in brute(rows, [r for r in rows if r[0] is not None and r[0] % 100 == 0], 10)]
+
+
+def test_a_floor_spares_the_postings_of_frequent_words(spark, monkeypatch):
+    """Whatever the floor, a shard finds the same; with one, no posting of a
+    frequent word is read, and a block's words are looked up once."""
+    rng = random.Random(3)
+    rows = [(i, "the of and to " + prose(rng, 40, 400) + (" rare odd" if i % 40 == 0 else "")) for i in range(1, 401)]
+    row = max(bm25.build_index(table(spark, rows), "doc_id", "text").collect(), key=lambda r: r["n_docs"]).asDict()
+    shard = bm25.Shard(row, 45.0)
+    terms = bm25.term_counts([b"the of and to rare odd unseen"])[1]
+    met = shard.meet(terms, np.where(np.isin(terms, bm25.term_counts([b"the of and to"])[1]), 0.01, 5.0))
+    read, scores = [], shard._scores
+    monkeypatch.setattr(shard, "_scores", lambda m, w: read.append(int(m.n[w].sum())) or scores(m, w), raising=False)
+    words = np.arange(len(terms), dtype=np.int32)
+    ids, found = shard.search(met, words, 1)
+    again = shard.search(met, words, 1, float(found[-1]), int(ids[-1]) + 1)
+    assert ids.tolist() == again[0].tolist() and found.tolist() == again[1].tolist()
+    assert read[0] >= 4 * row["n_docs"] and read[1] == read[0] - 4 * row["n_docs"] > 0
